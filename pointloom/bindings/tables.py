@@ -68,8 +68,8 @@ def place(key: Column) -> tuple[Column, Column]:
 
 
 def place_sql(key: str) -> str:
-    return (f"CAST(({key} * 7919) % 36000 AS DOUBLE) / 100.0::DOUBLE - 180 AS lon, "
-            f"CAST(({key} * 104729) % 17800 AS DOUBLE) / 100.0::DOUBLE - 89 AS lat")
+    return (f"CAST((({key}) * 7919) % 36000 AS DOUBLE) / 100.0::DOUBLE - 180 AS lon, "
+            f"CAST((({key}) * 104729) % 17800 AS DOUBLE) / 100.0::DOUBLE - 89 AS lat")
 
 
 def points(spark: SparkSession, folder: str) -> PointTable:

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from .values import clamp
+
 # Fixed values.
 EARTH_RADIUS = 6371008.8
 FOOT = 0.3048
@@ -19,7 +21,7 @@ def coordinates_ok(lon: Column, lat: Column) -> Column:
 
 
 def clamp_latitude(lat: Column) -> Column:
-    return F.greatest(F.lit(-MAX_MERCATOR_LATITUDE), F.least(F.lit(MAX_MERCATOR_LATITUDE), lat))
+    return clamp(lat, -MAX_MERCATOR_LATITUDE, MAX_MERCATOR_LATITUDE)
 
 
 def is_clamped(lat: Column) -> Column:
@@ -35,7 +37,7 @@ def mercator_y(lat: Column) -> Column:
     """0 at the top of the map, 1 at the bottom."""
     angle = F.lit(math.pi / 4) + clamp_latitude(lat) * F.lit(math.pi) / 360
     y = (1 - F.log(F.tan(angle)) / F.lit(math.pi)) / 2
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), y))
+    return clamp(y, 0.0, 1.0)
 
 
 def mercator_point(lon: float, lat: float) -> tuple[float, float]:
@@ -52,7 +54,7 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2)
     h = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), h))))
+    return F.lit(2 * EARTH_RADIUS) * F.asin(F.sqrt(clamp(h, 0.0, 1.0)))
 
 
 def to_feet(metres: Column) -> Column:

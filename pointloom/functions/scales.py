@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, functions as F
 
-from .values import MAX_DOUBLE, MIN_DOUBLE
+from .values import MAX_DOUBLE, MIN_DOUBLE, clamp
 
 LINEAR, LOG10 = "linear", "log10"
 
@@ -24,7 +24,7 @@ def log10_scale(v: Column) -> Column:
 
 def unlog10(v: Column) -> Column:
     """Inverse of :func:`log10_scale`, held inside the positive double range."""
-    return F.greatest(F.lit(MIN_DOUBLE), F.least(F.lit(MAX_DOUBLE), F.pow(F.lit(10.0), v)))
+    return clamp(F.pow(F.lit(10.0), v), MIN_DOUBLE, MAX_DOUBLE)
 
 
 def on_scale(v: Column, scale: str) -> Column:

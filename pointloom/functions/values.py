@@ -9,10 +9,12 @@ from pyspark.sql import Column, functions as F
 
 # The accepted number form, time form and white space.
 NUMBER_PATTERN = r"(?i)^[+-]?(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?$"
-BOOLEAN_PATTERN = r"(?i)^(true|false)$"
-TIME_PATTERN = (r"^\d{4}-\d{2}-\d{2}(?:[Tt ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)?"
-                r"(?:[Zz]|[+-]\d{2}:?\d{2})?$")
-SPACES = "\\t\\n\\x0B\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+BOOLEAN_PATTERN = r"(?i)^(?:true|false)$"
+DAY, ZONE = r"(\d{4}-\d{2}-\d{2})", r"(Z|[+-]\d{2}:?\d{2})?"
+TIME_PATTERN = (r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?"
+                r"(?:Z|[+-](?:0\d|1[0-3]):?[0-5]\d|[+-]14:?00)$")
+SPACES = ("\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000\ufeff")
 
 MAX_DOUBLE = 1.7976931348623157e308
 MIN_DOUBLE = 5e-324
@@ -20,12 +22,12 @@ MIN_DOUBLE = 5e-324
 
 def trimmed(c: Column) -> Column:
     """Text without leading and trailing Unicode white space."""
-    return F.regexp_replace(c, f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
     """True for null, empty or white-space-only text."""
-    return F.coalesce(~F.rlike(c, F.lit(f"[^{SPACES}]")), F.lit(True))
+    return F.coalesce(trimmed(c) == "", F.lit(True))
 
 
 def finite(v: Column) -> Column:
@@ -33,16 +35,20 @@ def finite(v: Column) -> Column:
     return F.when(F.abs(v) <= F.lit(MAX_DOUBLE), v)
 
 
+def clamp(v: Column, low: float, high: float) -> Column:
+    """The value held inside a range; null stays null."""
+    return F.when(v < low, F.lit(low)).when(v > high, F.lit(high)).otherwise(v)
+
+
 def to_number(text: Column) -> Column:
     """A finite decimal, or null; hexadecimal, ``Infinity`` and suffixes are refused."""
-    t = trimmed(text)
-    return F.when(F.rlike(t, F.lit(NUMBER_PATTERN)), finite(t.try_cast("double")))
+    # Text that is no number extracts to nothing, and nothing casts to null.
+    return finite(F.regexp_extract(trimmed(text), NUMBER_PATTERN, 0).try_cast("double"))
 
 
 def to_boolean(text: Column) -> Column:
     """``true``/``false`` in any case, or null."""
-    t = F.lower(trimmed(text))
-    return F.when(t == "true", F.lit(True)).when(t == "false", F.lit(False))
+    return F.regexp_extract(trimmed(text), BOOLEAN_PATTERN, 0).try_cast("boolean")
 
 
 def to_flag(text: Column) -> Column:
@@ -54,23 +60,13 @@ def parse_utc(text: Column) -> Column:
     """ISO-8601 text to a UTC timestamp in whole milliseconds, or null.
 
     Unzoned means UTC; offsets reach ±14:00; out-of-range days or hours do not roll over.
+    The accepted forms are completed step by step to one form that Spark casts itself.
     """
-    t = trimmed(text)
-    rest = F.substring(t, 11, 64)
-    zone = F.regexp_extract(rest, r"([Zz]|[+-]\d{2}:?\d{2})$", 1)
-    clock = F.regexp_replace(rest, r"([Zz]|[+-]\d{2}:?\d{2})$", "")
-    clock = F.substring(clock, 2, 32)
-    clock = (F.when(F.length(clock) == 0, F.lit("00:00:00"))
-             .when(F.length(clock) == 5, F.concat(clock, F.lit(":00")))
-             .otherwise(clock))
-    stamp = F.concat(F.substring(t, 1, 10), F.lit(" "), clock, F.lit("Z")).try_cast("timestamp")
-    numeric_zone = F.length(zone) > 1
-    hours = F.when(numeric_zone, F.substring(zone, 2, 2).try_cast("int")).otherwise(F.lit(0))
-    minutes = F.when(numeric_zone, F.right(zone, F.lit(2)).try_cast("int")).otherwise(F.lit(0))
-    valid = (hours * 60 + minutes <= 14 * 60) & (minutes <= 59)
-    sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    millis = F.unix_millis(stamp) - (sign * (hours * 60 + minutes)).cast("bigint") * 60000
-    return F.when(F.rlike(t, F.lit(TIME_PATTERN)) & valid, F.timestamp_millis(millis))
+    t = F.upper(trimmed(text))
+    t = F.regexp_replace(t, f"^{DAY}{ZONE}$", "$1T00:00:00$2")
+    t = F.regexp_replace(t, rf"^{DAY}[T ](\d{{2}}:\d{{2}}){ZONE}$", "$1T$2:00$3")
+    t = F.regexp_replace(t, rf"^{DAY}[T ](\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d{{1,9}})?)$", "$1T$2Z")
+    return F.date_trunc("MILLISECOND", F.regexp_extract(t, TIME_PATTERN, 0).try_cast("timestamp"))
 
 
 def utc_iso(ts: Column) -> Column:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import EARTH_RADIUS, NAUTICAL_MILE, clamp_latitude, mercator_x, mercator_y
-from ..functions.values import to_number
+from ..functions.values import clamp, to_number
 from ..table import STRING, PointTable
 from .ordering import with_position
 
@@ -102,7 +102,7 @@ def ellipse_outlines(table: PointTable, config: EllipseConfig, vertices: int = 3
         sinc = F.when(reach < 1e-8, F.lit(1.0)).otherwise(F.sin(reach) / reach)
         sine = F.sin(lat) * F.cos(reach) + F.cos(lat) * north * sinc
         dx = F.atan2(east * sinc, F.cos(lat) * F.cos(reach) - F.sin(lat) * north * sinc) / (2 * math.pi)
-        end = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sine))))
+        end = F.degrees(F.asin(clamp(sine, -1.0, 1.0)))
         return F.struct((mercator_x(F.col("lon")) + dx).alias("x"), mercator_y(end).alias("y"))
 
     return (params.withColumn("bucket", bucket).join(F.broadcast(ellipse_templates(table, vertices)), "bucket")

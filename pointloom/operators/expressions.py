@@ -14,7 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from ..functions.values import NUMBER_PATTERN, SPACES, iso_from_millis, literal_text, parse_utc, parse_utc_millis
+from ..functions.values import NUMBER_PATTERN, iso_from_millis, literal_text, parse_utc, parse_utc_millis
 from ..table import BOOLEAN, DATE, NUMBER, STRING, Field, PointTable, quote
 
 # The limits of one filter and of one list of load rules.
@@ -70,9 +70,6 @@ def literal_of(value: object) -> str:
 
 # --- literals -------------------------------------------------------------
 
-_BLANK = re.compile(f"^[{SPACES}]*$")
-
-
 def number_literal(text: str) -> float:
     if not re.match(NUMBER_PATTERN, text.strip()) or not math.isfinite(float(text)):
         raise ValueError(f"Invalid number: {text}")

@@ -51,7 +51,7 @@ def records_order(table: PointTable, sort: str = "", descending: bool = False) -
     return [key.desc_nulls_last() if descending else key.asc_nulls_last(), row]
 
 
-def records_sort(table: PointTable, sort: str, descending: bool = False, search: str = "",
+def records_sort(table: PointTable, sort: str = "", descending: bool = False, search: str = "",
                  predicate: Column | None = None) -> DataFrame:
     """All matching records in order."""
     return matching(table, search, predicate).orderBy(*records_order(table, sort, descending))
@@ -85,7 +85,7 @@ def records_page(table: PointTable, offset: int, limit: int = MAX_PAGE, sort: st
     return page.orderBy("position").drop("position"), total
 
 
-def records_index(table: PointTable, sort: str, descending: bool = False, search: str = "",
+def records_index(table: PointTable, sort: str = "", descending: bool = False, search: str = "",
                   predicate: Column | None = None) -> DataFrame:
     """Records with their dense position; write it once to serve any page cheaply."""
     return with_position(matching(table, search, predicate), records_order(table, sort, descending))

@@ -24,11 +24,16 @@ from .spec import AnalysisSpec, SavedChart, SourceAnalysis, schema_compatible
 
 @dataclass
 class AnalysisRun:
-    """Tables, selections and results of one run, by source id."""
+    """Tables, selections and results of one run, by source id.
+
+    ``results`` holds all single-table charts of a source, which share one scan;
+    ``charts`` picks one chart out of them, or a comparison of several sources.
+    """
 
     tables: dict[str, PointTable]
     selections: dict[str, Column]
     reports: dict[str, DataFrame]
+    results: dict[str, DataFrame] = field(default_factory=dict)
     charts: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     skipped_filters: list[str] = field(default_factory=list)
 
@@ -73,9 +78,9 @@ def run_tables(spec: AnalysisSpec, tables: Mapping[str, PointTable]) -> Analysis
         alone = [c.spec for c in saved if not c.series and c.spec.binned]
         if alone:
             # All single-source charts of a table share one scan.
-            result = run_charts(table, alone, predicate=run.selections[source])
+            run.results[source] = run_charts(table, alone, predicate=run.selections[source])
             for c in alone:
-                run.charts[source, c.id] = result.where(F.col("chart_id") == c.id)
+                run.charts[source, c.id] = run.results[source].where(F.col("chart_id") == c.id)
         for c in saved:
             if c.series:
                 run.charts[source, c.spec.id] = _compare(run, source, c)

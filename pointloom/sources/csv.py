@@ -76,7 +76,7 @@ class _Patterns:
 
     @property
     def blank(self) -> str:
-        return r"^[ ﻿]*\r?$" if self.delimiter == "\t" else r"^[ \t﻿]*\r?$"
+        return "^\ufeff?[ ]*\r?$" if self.delimiter == "\t" else "^\ufeff?[ \t]*\r?$"
 
 
 def _raw_lines(spark: SparkSession, path: str | Sequence[str], patterns: _Patterns) -> DataFrame:
@@ -203,10 +203,10 @@ def _header_record(lines: Sequence[str], patterns: _Patterns) -> str | None:
         if record is None:
             if re.match(patterns.blank, text):
                 continue
-            record, still = text.lstrip("﻿"), patterns.opens
+            record, still = text.lstrip("\ufeff"), patterns.opens
         else:
             record, still = record + "\n" + text, patterns.stays
-        if not re.match(still, text.lstrip("﻿")):
+        if not re.match(still, text.lstrip("\ufeff")):
             return record.removesuffix("\r")
     return None
 
@@ -220,7 +220,8 @@ class CsvRecords:
     config: SourceConfig
 
     def cell(self, name: str) -> Column:
-        return F.coalesce(F.col(f"__cells.c{self.headers.index(name)}"), F.lit(""))
+        """Text of one column; nothing and blank are the same."""
+        return F.col(f"__cells.c{self.headers.index(name)}")
 
 
 def read_records(spark: SparkSession, config: SourceConfig) -> CsvRecords:
