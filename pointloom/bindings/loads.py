@@ -13,17 +13,18 @@ from ..sinks.bundle import export_bundle, import_bundle
 from ..sinks.export import write_points
 from ..sources.bounds import LoadBounds
 from ..sources.config import SourceConfig
-from ..sources.csv import CsvRecords, import_report, infer_csv_types, load_csv, validate_rows
+from ..sources.csv import CsvRecords, import_report, infer_csv_types, load_csv, stage_rows, validate_rows, with_texts
 from ..sources.generate import observations
 from ..sources.pages import (GmlLayout, geojson_points, gml_points, infer_gml_schema, infer_json_schema, page_total, read_geojson_pages,
                              read_gml_pages)
 from ..sources.roles import resolve_role_predictions
 from ..operators.picking import pick_rectangle
+from ..session import scratch_folder
 from ..table import Field
 from .charts import customer
 from .filters import NESTED, NESTED_SQL
 from .rows import PLACED
-from .tables import LINEITEM, POINTS, categories_sql, histogram_sql, lineitem, points, read, register, scratch
+from .tables import LINEITEM, POINTS, categories_sql, histogram_sql, lineitem, points, read, register
 
 # --- rows of text, some of them damaged -----------------------------------
 
@@ -42,8 +43,8 @@ def text_records(spark, folder, **config) -> CsvRecords:
              F.when(n % 53 == 10, F.lit("")).otherwise(F.initcap(F.col("active").cast("string"))), F.lit("  ")]
     problem = F.when(n % 59 == 11, F.lit("Malformed CSV quoting")).when(n % 61 == 12, F.lit("Expected 7 columns; found 6"))
     rows = df.select(n.alias("__row"), F.lit(0).cast("bigint").alias("__file"), (n + 2).alias("__line"), problem.alias("__problem"),
-                     F.when(problem.isNull(), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cells)])).alias("__cells"))
-    return CsvRecords(TEXT_HEADERS, rows, SourceConfig(id="t", type="csv", path="-", longitude_field="lon", latitude_field="lat",
+                     F.when(problem.isNull(), F.array(*cells)).alias("__cells"), F.lit(True).alias("__padded"))
+    return CsvRecords(TEXT_HEADERS, with_texts(rows), SourceConfig(id="t", type="csv", path="-", longitude_field="lon", latitude_field="lat",
                                                        time_field="when", **config))
 
 
@@ -85,19 +86,19 @@ def validated(spark, folder):
 @register("import_totals", f"SELECT count(*) AS total, count(*) FILTER (reject_reason IS NULL AND NOT outside) AS imported, count(*) FILTER (reject_reason IS NOT NULL) AS rejected, "
                            f"count(*) FILTER (reject_reason IS NULL AND outside) AS filtered FROM {JUDGED_SQL} j")
 def totals(spark, folder):
-    return import_report(judged(spark, folder))[0]
+    return import_report(stage_rows(judged(spark, folder), scratch_folder(spark)))[0]
 
 
 @register("import_report", f"SELECT reject_reason AS reason, count(*) AS count, array_to_string(list_slice(list(row_id + 2 ORDER BY row_id), 1, 5), ',') AS lines FROM {JUDGED_SQL} j WHERE reject_reason IS NOT NULL GROUP BY 1")
 def issues(spark, folder):
     """Every reason with its count and first five lines."""
-    return import_report(judged(spark, folder))[1].select("reason", "count", F.array_join("lines", ",").alias("lines"))
+    return import_report(stage_rows(judged(spark, folder), scratch_folder(spark)))[1].select("reason", "count", F.array_join("lines", ",").alias("lines"))
 
 
 # --- CSV files ------------------------------------------------------------
 
 def write_text(spark, df: DataFrame) -> str:
-    path = scratch(spark)
+    path = scratch_folder(spark)
     df.write.option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
     return path
 
@@ -349,14 +350,14 @@ def report(spark, folder):
 @register("write_points", f"SELECT row_id AS row FROM {PLACED} m WHERE x BETWEEN 0.1 AND 0.3 AND y BETWEEN 0.6 AND 0.8")
 def written(spark, folder):
     """A table laid out by map cell and a rectangle that reads only the cells it touches."""
-    table = write_points(points(spark, folder), scratch(spark), 16)
+    table = write_points(points(spark, folder), scratch_folder(spark), 16)
     return pick_rectangle(table, 0.1, 0.6, 0.3, 0.8, cell_column="grid_cell")
 
 
 @register("export_bundle", f"SELECT 'customers' AS source, count(*) AS rows, round(sum(c_acctbal), 2) AS total FROM customer UNION ALL SELECT 'events', count(*), round(sum(value), 2) FROM {POINTS} p")
 def bundle(spark, folder):
     """Two tables through a backup and back."""
-    path = scratch(spark)
+    path = scratch_folder(spark)
     export_bundle(spark, path, {"events": points(spark, folder), "customers": customer(spark, folder)})
     tables, _ = import_bundle(spark, path)
     parts = [tables[s].df.agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(c), 2).alias("total")).select(F.lit(s).alias("source"), "rows", "total")

@@ -7,12 +7,11 @@ latitude limit of the map.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..session import checkpoint_folder, configure
+from ..session import configure
 from ..table import PointTable, describe, quote
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,11 +55,6 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, where every executor can write."""
-    return f"{checkpoint_folder(spark)}/pointloom-{uuid.uuid4().hex}"
-
-
 def place(key: Column) -> tuple[Column, Column]:
     lon = ((key * 7919) % 36000).cast("double") / F.lit(100.0) - F.lit(180.0)
     lat = ((key * 104729) % 17800).cast("double") / F.lit(100.0) - F.lit(89.0)

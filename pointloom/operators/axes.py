@@ -11,13 +11,12 @@ import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scales import LINEAR, LOG10, check_scale, scale_value, unscale_value
 from ..functions.values import iso_from_millis, literal_text, short_number, shown_from_millis
-from ..table import BOOLEAN, DATE, NUMBER, STRING, PointTable
+from ..table import BOOLEAN, DATE, NUMBER, STRING, PointTable, quote, sql_number, sql_text
 from .expressions import and_, or_, rule
 
 # Fixed values.
@@ -46,38 +45,36 @@ class Domain:
 
 # --- profiles -------------------------------------------------------------
 
-def measure(table: PointTable, name: str) -> Column:
+def measure_sql(table: PointTable, name: str) -> str:
     """The attribute as a double: dates in epoch milliseconds, booleans as 0 and 1."""
-    c, kind = table.col(name), table.field(name).kind
+    c, kind = quote(name), table.field(name).kind
     if kind == DATE:
-        return F.unix_millis(c.cast("timestamp")).cast("double")
-    if kind == BOOLEAN:
-        return c.cast("int").cast("double")
-    return c.cast("double")
+        return f"CAST(unix_millis(CAST({c} AS TIMESTAMP)) AS DOUBLE)"
+    return f"CAST(CAST({c} AS INT) AS DOUBLE)" if kind == BOOLEAN else f"CAST({c} AS DOUBLE)"
+
+
+def measure(table: PointTable, name: str) -> Column:
+    return F.expr(measure_sql(table, name))
 
 
 def profile_numeric(table: PointTable, names: Sequence[str]) -> DataFrame:
     """Extremes of number, date and boolean attributes: one scan, one row per attribute."""
-    sums = []
+    sums, rows = [], []
     for i, name in enumerate(names):
-        v = measure(table, name)
-        positive = F.when(v > 0, v)
-        sums += [F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}"),
-                 F.min(positive).alias(f"minp_{i}"), F.max(positive).alias(f"maxp_{i}")]
-    rows = [F.struct(F.lit(name).alias("field"), F.lit(table.field(name).kind).alias("kind"),
-                     F.col(f"min_{i}").alias("min"), F.col(f"max_{i}").alias("max"),
-                     F.col(f"minp_{i}").alias("min_positive"), F.col(f"maxp_{i}").alias("max_positive"))
-            for i, name in enumerate(names)]
-    return table.df.agg(*sums).select(F.inline(F.array(*rows)))
+        v = measure_sql(table, name)
+        positive = f"FILTER (WHERE {v} > 0)"
+        sums += [F.expr(f"min({v}) AS min_{i}"), F.expr(f"max({v}) AS max_{i}"), F.expr(f"min({v}) {positive} AS minp_{i}"),
+                 F.expr(f"max({v}) {positive} AS maxp_{i}")]
+        rows.append(f"struct({sql_text(name)} AS field, '{table.field(name).kind}' AS kind, min_{i} AS min, max_{i} AS max, "
+                    f"minp_{i} AS min_positive, maxp_{i} AS max_positive)")
+    return table.df.agg(*sums).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def category_counts(table: PointTable, names: Sequence[str]) -> DataFrame:
     """Count and first row of every value of the given text attributes, in one scan."""
-    pairs = [F.struct(F.lit(n).alias("field"), table.col(n).alias("value")) for n in names]
-    return (table.df.select(table.col(table.row).alias("at"), F.explode(F.array(*pairs)).alias("p"))
-            .where(F.col("p.value").isNotNull())
-            .groupBy(F.col("p.field").alias("field"), F.col("p.value").alias("value"))
-            .agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first_row")))
+    pairs = ", ".join(f"struct({sql_text(n)} AS field, {quote(n)} AS value)" for n in names)
+    return (table.df.selectExpr(f"{quote(table.row)} AS at", f"inline(array({pairs}))").where("value IS NOT NULL")
+            .groupBy("field", "value").agg(F.expr("count(1) AS count"), F.expr("min(at) AS first_row")))
 
 
 def profile_categories(table: PointTable, names: Sequence[str], top: int = TOP_CATEGORIES) -> DataFrame:
@@ -93,23 +90,28 @@ def profile_categories(table: PointTable, names: Sequence[str], top: int = TOP_C
 def chart_domains(table: PointTable, names: Iterable[str]) -> dict[str, Domain]:
     """Domains of several attributes; known ones come from the table's memory.
 
-    At most two jobs run: one aggregate for all numeric attributes and one for all
-    text attributes. What returns to the driver is at most 24 rows per attribute.
+    One job runs for all of them: an aggregate of numeric attributes beside a ranked
+    count of text attributes. At most 24 rows per attribute return to the driver.
     """
     wanted = list(dict.fromkeys(names))
     new = [n for n in wanted if n not in table.domains]
     numeric = [n for n in new if table.field(n).kind != STRING]
     text = [n for n in new if table.field(n).kind == STRING]
+    parts = []
     if numeric:
-        for r in profile_numeric(table, numeric).collect():
-            table.domains[r["field"]] = Domain(r["kind"], r["min"], r["max"], r["min_positive"], r["max_positive"])
+        parts.append(profile_numeric(table, numeric).withColumns({"rank": F.lit(None).cast("int"), "value": F.lit(None).cast("string")}))
     if text:
-        found: dict[str, list] = {n: [] for n in text}
-        for r in profile_categories(table, text, TOP_CATEGORIES + 1).collect():
+        nothing = {n: F.lit(None).cast("double") for n in ("min", "max", "min_positive", "max_positive")}
+        parts.append(profile_categories(table, text, TOP_CATEGORIES + 1).drop("count").withColumns({"kind": F.lit(STRING), **nothing}))
+    found: dict[str, list] = {n: [] for n in text}
+    for r in reduce(DataFrame.unionByName, parts).collect() if parts else ():
+        if r["kind"] == STRING:
             found[r["field"]].append((r["rank"], r["value"]))
-        for n, ranked in found.items():
-            labels = tuple(v for _, v in sorted(ranked))
-            table.domains[n] = Domain(STRING, labels=labels[:TOP_CATEGORIES], more=len(labels) > TOP_CATEGORIES)
+        else:
+            table.domains[r["field"]] = Domain(r["kind"], r["min"], r["max"], r["min_positive"], r["max_positive"])
+    for n, ranked in found.items():
+        labels = tuple(v for _, v in sorted(ranked))
+        table.domains[n] = Domain(STRING, labels=labels[:TOP_CATEGORIES], more=len(labels) > TOP_CATEGORIES)
     return {n: table.domains[n] for n in wanted}
 
 
@@ -162,39 +164,47 @@ class Axis:
 
     def bin(self, table: PointTable) -> Column:
         """Bin number of each row, null when the row has no place on the axis."""
-        c = table.col(self.field)
+        return F.expr(self.bin_sql(table))
+
+    def bin_sql(self, table: PointTable) -> str:
+        """The same as one SQL expression: a chart then is a single parsed text."""
+        c = quote(self.field)
         if self.size == 0:
-            return F.lit(None).cast("int")
-        if self.kind == STRING:
-            place = F.array_position(F.array(*[F.lit(v) for v in self.values]), c).cast("int") if self.values \
-                else F.when(c.isNotNull(), F.lit(0))
-            return F.when(place > 0, place - 1).when(place == 0, F.lit(len(self.values)) if self.other else F.lit(None))
+            return "CAST(NULL AS INT)"
         if self.kind == BOOLEAN:
-            return c.cast("int")
-        return self._range_bin(measure(table, self.field))
-
-    def _range_bin(self, v: Column) -> Column:
+            return f"CAST({c} AS INT)"
+        if self.kind != STRING:
+            return self._range_sql(measure_sql(table, self.field))
+        if not self.values:
+            return f"CASE WHEN {c} IS NOT NULL THEN 0 END"
+        # A position of 0 means the value is not listed, and null that it is missing.
+        place = f"CAST(array_position(array({', '.join(map(sql_text, self.values))}), {c}) AS INT)"
+        return f"COALESCE(NULLIF({place}, 0), CASE WHEN {c} IS NOT NULL THEN {len(self.values) + 1} END) - 1"
+
+    def _range_sql(self, v: str) -> str:
         n = self.size
-        present = v > 0 if self.scale == LOG10 else v.isNotNull()
+        present = f"{v} > 0" if self.scale == LOG10 else f"{v} IS NOT NULL"
         if n == 1:
-            return F.when(present, F.lit(0))
+            return f"CASE WHEN {present} THEN 0 END"
         low, high = (scale_value(e, self.scale) for e in (self.edges[0], self.edges[-1]))
         width = (high - low) / n
         if not self._estimate_is_safe(low, high, width):
             # Bins too narrow or too wide for arithmetic: count the edges passed.
-            return F.when(present, reduce(add, [(v >= F.lit(e)).cast("int") for e in self.edges[1:-1]]))
-        at = F.log10(v) if self.scale == LOG10 else v
-        guess = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((at - F.lit(low)) / F.lit(width)).cast("int")))
+            passed = " + ".join(f"CAST({v} >= {sql_number(e)} AS INT)" for e in self.edges[1:-1])
+            return f"CASE WHEN {present} THEN {passed} END"
+        hold = lambda text: f"CAST(GREATEST(0L, LEAST({n - 1}L, {text})) AS INT)"
+        at = f"LOG10({v})" if self.scale == LOG10 else v
+        guess = hold(f"FLOOR(({at} - {sql_number(low)}) / {sql_number(width)})")
         if self.scale == LOG10:
-            edges = F.array(*[F.lit(e) for e in self.edges])
-            lower, upper = F.element_at(edges, guess + 1), F.element_at(edges, guess + 2)
+            edges = f"array({', '.join(map(sql_number, self.edges))})"
+            lower, upper = f"element_at({edges}, {guess} + 1)", f"element_at({edges}, {guess} + 2)"
         else:
-            edge = (lambda i: F.ceil(F.lit(low) + F.lit(width) * i).cast("double")) if self.kind == DATE \
-                else (lambda i: F.lit(low) + F.lit(width) * i)
-            lower, upper = edge(guess), edge(guess + 1)
+            edge = f"({sql_number(low)} + {sql_number(width)} * {{}})"
+            edge = f"CAST(CEIL({edge}) AS DOUBLE)" if self.kind == DATE else edge
+            lower, upper = edge.format(guess), edge.format(f"({guess} + 1)")
         # Rounding can put the guess one bin off; the shared edges decide.
-        exact = guess - (v < lower).cast("int") + (v >= upper).cast("int")
-        return F.when(present, F.greatest(F.lit(0), F.least(F.lit(n - 1), exact)))
+        exact = hold(f"{guess} - CAST({v} < {lower} AS INT) + CAST({v} >= {upper} AS INT)")
+        return f"CASE WHEN {present} THEN {exact} END"
 
     def _estimate_is_safe(self, low: float, high: float, width: float) -> bool:
         """True when the guessed bin is provably at most one bin off."""

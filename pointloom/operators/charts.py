@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scales import LINEAR, LOG10, axis_bounds, check_scale, normalize_axis, on_scale, scale_value
-from ..table import BOOLEAN, DATE, NUMBER, STRING, Field, PointTable
+from ..table import BOOLEAN, DATE, NUMBER, STRING, Field, PointTable, quote, sql_text
 from .axes import Axis, Domain, build_axis, chart_domains, measure
 from .expressions import compile_expression
 
@@ -57,12 +57,15 @@ class Chart:
 
     def cell(self, table: PointTable) -> Column:
         """``y_bin * nx + x_bin``, or -1 when the row cannot be plotted."""
-        place = self.x.bin(table)
+        return F.expr(self.cell_sql(table))
+
+    def cell_sql(self, table: PointTable) -> str:
+        place = f"({self.x.bin_sql(table)})"
         if self.y is not None:
-            place = self.y.bin(table) * self.x.size + place
+            place = f"({self.y.bin_sql(table)}) * {self.x.size} + {place}"
         if self.measure:
-            place = F.when(table.col(self.measure).isNotNull(), place)
-        return F.coalesce(place, F.lit(MISSING)).cast("int")
+            place = f"CASE WHEN {quote(self.measure)} IS NOT NULL THEN {place} END"
+        return f"COALESCE(CAST({place} AS INT), {MISSING})"
 
 
 def check_spec(spec: ChartSpec, table: PointTable) -> None:
@@ -102,59 +105,45 @@ def prepare(table: PointTable, specs: Sequence[ChartSpec],
 
 # --- one scan for all charts ----------------------------------------------
 
-def chart_cells(table: PointTable, charts: Sequence[Chart], predicate: Column | None = None) -> DataFrame:
-    """Counts and measures of every non-empty cell: one scan, one small shuffle.
-
-    Rows fan out to one entry per chart and are combined on the map side, so what is
-    shuffled is bounded by the number of cells, not by the data or by a hot value.
-    """
-    entries, measured = [], any(c.measure for c in charts)
-    for i, chart in enumerate(charts):
-        parts = [F.lit(i).alias("c"), chart.cell(table).alias("cell")]
-        if measured:
-            value = table.col(chart.measure).cast("double") if chart.measure else F.lit(None).cast("double")
-            parts.append(value.alias("v"))
-        entries.append(F.struct(*parts))
+def chart_entries(table: PointTable, charts: Sequence[Chart], predicate: Column | None = None) -> DataFrame:
+    """One row ``c, cell, n, v`` per selected row and chart."""
+    value = lambda chart: quote(chart.measure) if chart.measure else "NULL"
+    entries = [f"struct({i} AS c, {chart.cell_sql(table)} AS cell, 1L AS n, CAST({value(chart)} AS DOUBLE) AS v)"
+               for i, chart in enumerate(charts)]
     rows = table.df if predicate is None else table.df.where(predicate)
     if len(entries) == 1:
-        flat = rows.select(entries[0].alias("e")).select("e.*")
-    else:
-        flat = rows.select(F.inline(F.array(*entries)))
-    sums = [F.count(F.lit(1)).alias("count")]
-    if measured:
-        sums += [F.sum("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi")]
-    out = flat.groupBy("c", "cell").agg(*sums)
-    if not measured:
-        none = F.lit(None).cast("double")
-        out = out.select("*", none.alias("s"), none.alias("lo"), none.alias("hi"))
-    return out
-
-
-def chart_grid(table: PointTable, charts: Sequence[Chart]) -> DataFrame:
-    """All cells of all charts and their missing row; at most 12 × 4,097 rows."""
-    spark = table.df.sparkSession
-    heads = [(i, c.spec.id, c.size, max(1, c.x.size), c.spec.aggregate if c.measure else "count")
-             for i, c in enumerate(charts)]
-    return (spark.createDataFrame(heads, "c int, chart_id string, cells int, nx int, aggregate string").coalesce(1)
-            .select("*", F.explode(F.sequence(F.lit(MISSING), F.col("cells") - 1)).alias("cell")))
-
-
-def fill_cells(grid: DataFrame, cells: DataFrame, keys: Sequence[str] = ("c",)) -> DataFrame:
-    """Lay counted cells over the grid, so empty bins stay visible."""
-    missing = F.col("cell") == MISSING
-    count = F.coalesce("count", F.lit(0).cast("bigint"))
-    value = (F.when(missing | (count == 0), F.lit(None))
-             .when(F.col("aggregate") == "sum", F.col("s"))
-             .when(F.col("aggregate") == "mean", F.col("s") / F.col("count"))
-             .when(F.col("aggregate") == "min", F.col("lo"))
-             .when(F.col("aggregate") == "max", F.col("hi")))
-    shown = [n for n in ("source_id", "chart_id") if n in grid.columns]
-    # The counted cells never outnumber the grid, so broadcasting them is bounded.
-    return (grid.join(F.broadcast(cells), [*keys, "cell"], "left")
-            .select(*shown, "cell",
-                    F.when(~missing, F.pmod("cell", "nx")).cast("int").alias("x_bin"),
-                    F.when(~missing, (F.col("cell") / F.col("nx")).cast("int")).alias("y_bin"),
-                    count.alias("count"), value.cast("double").alias("value")))
+        return rows.selectExpr(f"{entries[0]} AS e").selectExpr("e.*")
+    return rows.selectExpr(f"inline(array({', '.join(entries)}))")
+
+
+def _by_chart(values: Sequence[object]) -> str:
+    """SQL that picks the value of the row's chart from a short list."""
+    return f"element_at(array({', '.join(map(str, values))}), c + 1)"
+
+
+def chart_grid(spark: SparkSession, charts: Sequence[Chart]) -> DataFrame:
+    """Every cell of every chart and its missing row, counting nothing: at most 12 × 4,097 rows."""
+    last = _by_chart([c.size - 1 for c in charts])
+    return (spark.range(0, len(charts), 1, 1).selectExpr("CAST(id AS INT) AS c")
+            .selectExpr("c", f"explode(sequence({MISSING}, {last})) AS cell", "0L AS n", "CAST(NULL AS DOUBLE) AS v"))
+
+
+def count_cells(entries: DataFrame, keys: Sequence[str], measured: bool) -> DataFrame:
+    """Counts and, where a chart has a measure, sums and extremes per cell."""
+    sums = ["sum(n) AS count"] + (["sum(v) AS s", "min(v) AS lo", "max(v) AS hi"] if measured else [])
+    out = entries.groupBy(*keys, "cell").agg(*map(F.expr, sums))
+    return out if measured else out.selectExpr("*", *[f"CAST(NULL AS DOUBLE) AS {n}" for n in ("s", "lo", "hi")])
+
+
+def shown_cells(cells: DataFrame, charts: Sequence[Chart], extra: Sequence[str] = ()) -> DataFrame:
+    """Counted cells under their chart id, with bin numbers and the chosen measure."""
+    id, nx = _by_chart([sql_text(c.spec.id) for c in charts]), _by_chart([max(1, c.x.size) for c in charts])
+    aggregate = _by_chart([sql_text(c.spec.aggregate if c.measure else "count") for c in charts])
+    value = (f"CASE {aggregate} WHEN 'sum' THEN s WHEN 'mean' THEN s / NULLIF(count, 0) WHEN 'min' THEN lo WHEN 'max' THEN hi END")
+    placed = f"cell <> {MISSING}"
+    return cells.selectExpr(*extra, f"{id} AS chart_id", "cell", f"CASE WHEN {placed} THEN pmod(cell, {nx}) END AS x_bin",
+                            f"CASE WHEN {placed} THEN CAST(cell DIV {nx} AS INT) END AS y_bin", "count",
+                            f"CASE WHEN {placed} AND count > 0 THEN {value} END AS value")
 
 
 def run_charts(table: PointTable, specs: Sequence[ChartSpec], expression: dict | None = None, *,
@@ -169,7 +158,10 @@ def run_charts(table: PointTable, specs: Sequence[ChartSpec], expression: dict |
     if expression is not None:
         compiled = compile_expression(table, expression)
         predicate = compiled if predicate is None else predicate & compiled
-    return fill_cells(chart_grid(table, charts), chart_cells(table, charts, predicate))
+    # Zero rows of the grid join the same aggregation, so empty bins cost no join. Entries
+    # are combined before the shuffle: what moves is bounded by cells, not by rows or a hot value.
+    entries = chart_entries(table, charts, predicate).unionByName(chart_grid(table.df.sparkSession, charts))
+    return shown_cells(count_cells(entries, ["c"], any(c.measure for c in charts)), charts)
 
 
 def plotted(result: DataFrame) -> DataFrame:

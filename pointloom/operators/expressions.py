@@ -8,6 +8,7 @@ predicate visible to the Parquet reader.
 from __future__ import annotations
 
 import math
+import operator
 import re
 from collections.abc import Iterable, Sequence
 from functools import reduce
@@ -92,12 +93,10 @@ def boolean_literal(text: str) -> bool:
 
 
 def timestamp(millis: int) -> Column:
-    return F.timestamp_millis(F.lit(int(millis)))
+    return F.expr(f"timestamp_millis({int(millis)}L)")
 
 
-def _compare(c: Column, op: str, literal: Column) -> Column:
-    return {"eq": c == literal, "ne": c != literal, "gt": c > literal, "gte": c >= literal,
-            "lt": c < literal, "lte": c <= literal}[op]
+COMPARE = {"eq": operator.eq, "ne": operator.ne, "gt": operator.gt, "gte": operator.ge, "lt": operator.lt, "lte": operator.le}
 
 
 def _compare_time(c: Column, op: str, millis: int) -> Column:
@@ -107,9 +106,12 @@ def _compare_time(c: Column, op: str, millis: int) -> Column:
     test against the start of that millisecond or of the next one.
     """
     c = c.cast("timestamp")
-    start, after = timestamp(millis), timestamp(millis + 1)
-    return {"eq": (c >= start) & (c < after), "ne": (c < start) | (c >= after), "gt": c >= after,
-            "gte": c >= start, "lt": c < start, "lte": c < after}[op]
+    if op in ("gte", "lt"):
+        return COMPARE[op](c, timestamp(millis))
+    if op in ("gt", "lte"):
+        return COMPARE["gte" if op == "gt" else "lt"](c, timestamp(millis + 1))
+    within = (c >= timestamp(millis)) & (c < timestamp(millis + 1))
+    return within if op == "eq" else ~within
 
 
 # --- predicates -----------------------------------------------------------
@@ -141,11 +143,11 @@ def field_predicate(c: Column, field: Field, node: dict) -> Column:
             raise ValueError("Contains requires a text attribute")
         return F.contains(c, F.lit(value))
     if field.kind == STRING:
-        return _compare(c, op, F.lit(value))
+        return COMPARE[op](c, F.lit(value))
     if field.kind == NUMBER:
-        return _compare(c, op, F.lit(number_literal(value)))
+        return COMPARE[op](c, F.lit(number_literal(value)))
     if field.kind == BOOLEAN:
-        return _compare(c, op, F.lit(boolean_literal(value)))
+        return COMPARE[op](c, F.lit(boolean_literal(value)))
     return _compare_time(c, op, date_literal(value))
 
 

@@ -8,9 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..table import PointTable
+from ..table import PointTable, sql_text
 from .axes import Domain, chart_domains, shared_domain
-from .charts import Chart, ChartSpec, RawScatter, chart_cells, chart_grid, fill_cells, prepare, scatter_raw
+from .charts import Chart, ChartSpec, RawScatter, chart_entries, chart_grid, count_cells, prepare, scatter_raw, shown_cells
 
 # Series colours in order.
 SERIES_COLORS = ("#2463d4", "#d45b24", "#8b49ba", "#17836f", "#b34378", "#957119", "#466673", "#657c25")
@@ -59,19 +59,21 @@ def combine_series(spec: ChartSpec, series: Sequence[Series], hidden: Iterable[s
     """
     charts = {s.source_id: c for s, c in zip(series, series_charts(spec, series))}
     shown = visible_series(series, hidden)
-    # With everything hidden the totals are still there, all zero.
-    counted = [(s, s.predicate) for s in shown] or [(series[0], F.lit(False))]
-    cells = union_series((s.source_id, chart_cells(s.table, [charts[s.source_id]], p)) for s, p in counted)
-    # Cells are already aggregated per table, so parts and total come from one tiny pass.
-    both = (cells.groupingSets([["source_id", "cell"], ["cell"]], "source_id", "cell")
-            .agg(F.grouping("source_id").alias("k"), F.sum("count").alias("count"), F.sum("s").alias("s"),
-                 F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-            .select(F.coalesce("source_id", F.lit("")).alias("part"), "k", "cell", "count", "s", "lo", "hi"))
-    names = [(s.source_id, s.source_id, 0) for s in shown] + [("", None, 1)]
-    heads = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(n).cast("string").alias("source_id"), F.lit(k).alias("k"))
-                      for p, n, k in names])
-    grid = chart_grid(series[0].table, [charts[series[0].source_id]]).select("*", F.inline(heads))
-    return fill_cells(grid, both, ("part", "k"))
+    head = charts[series[0].source_id]
+    grid = chart_grid(series[0].table.df.sparkSession, [head])
+    total = len(shown)
+    # The total's own zero rows keep it complete when every table is hidden.
+    parts = [grid.withColumn("part", F.lit(total))]
+    for i, s in enumerate(shown):
+        entries = chart_entries(s.table, [charts[s.source_id]], s.predicate).unionByName(grid)
+        parts.append(entries.withColumn("part", F.lit(i)))
+    cells = count_cells(reduce(DataFrame.unionByName, parts), ["part", "c"], head.measure is not None)
+    # Cells are few by now: each counts once for its table and once for the total.
+    both = (cells.withColumn("part", F.explode(F.array_distinct(F.array("part", F.lit(total)))))
+            .groupBy("part", "c", "cell").agg(F.sum("count").alias("count"), F.sum("s").alias("s"), F.min("lo").alias("lo"),
+                                              F.max("hi").alias("hi")))
+    names = ", ".join([*(sql_text(s.source_id) for s in shown), "CAST(NULL AS STRING)"])
+    return shown_cells(both, [head], [f"element_at(array({names}), part + 1) AS source_id"])
 
 
 def combine_raw(series: Sequence[Series], x_scale: str = "linear", y_scale: str = "linear",

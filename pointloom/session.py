@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Lets AQE split hot keys of outer joins even when that adds a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.python.filterPushdown.enabled": "true",
+    # Generated methods above this size are never compiled by the JVM; smaller pieces are.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 #: Largest row count that is ever broadcast by explicit hint.
@@ -50,6 +52,11 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder beside the checkpoints, where every executor can write."""
+    return f"{checkpoint_folder(spark)}/pointloom-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage into the shared checkpoint folder, eagerly."""
     checkpoint_folder(df.sparkSession)

@@ -13,14 +13,14 @@ from collections.abc import Mapping, Sequence
 from csv import reader as csv_reader
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.geo import coordinates_ok
-from ..functions.values import (NUMBER_PATTERN, is_blank, number_text, parse_utc, to_boolean, to_number,
+from ..functions.values import (NUMBER_PATTERN, SPACES, boolean_in, finite, number_in, number_text, time_in, to_number,
                                 trimmed)
 from ..operators.expressions import load_rules
 from ..operators.integrity import LoadError
-from ..session import checkpoint, hint_if_small, require_utc
+from ..session import checkpoint, hint_if_small, require_utc, scratch_folder
 from ..table import BOOLEAN, DATE, NUMBER, STRING, Field, PointTable, quote, unique_name
 from .bounds import LoadBounds, bound_box, bound_time
 from .config import SourceConfig, check_type_overrides
@@ -29,6 +29,9 @@ from .config import SourceConfig, check_type_overrides
 MALFORMED = "Malformed CSV quoting"
 NOT_DECIMAL = "Longitude and latitude must be decimal numbers"
 EXAMPLE_LINES = 5
+OUTCOME = "__outcome"
+
+IS_NUMBER, IS_BOOLEAN, IS_TEXT = 1, 2, 4
 
 FILE_SHIFT = 36  # line numbers of one file fit below this bit of a row id
 
@@ -74,6 +77,11 @@ class _Patterns:
         one = f'(?:"[^"]*+(?:""[^"]*+)*+"|[^"{self._d}]*+)'
         return f"(?s)^{one}(?:{self._d}{one})*+$"
 
+    @property
+    def padded(self) -> str:
+        """A row with white space or quotes, whose cells may need trimming."""
+        return f'["{SPACES}]'
+
     @property
     def blank(self) -> str:
         return "^\ufeff?[ ]*\r?$" if self.delimiter == "\t" else "^\ufeff?[ \t]*\r?$"
@@ -220,8 +228,12 @@ class CsvRecords:
     config: SourceConfig
 
     def cell(self, name: str) -> Column:
-        """Text of one column; nothing and blank are the same."""
-        return F.col(f"__cells.c{self.headers.index(name)}")
+        """Text of one column as it stands in the file."""
+        return F.get("__cells", F.lit(self.headers.index(name)))
+
+    def text(self, name: str) -> Column:
+        """Text of one column without white space around it; nothing is empty text."""
+        return F.get("__texts", F.lit(self.headers.index(name)))
 
 
 def read_records(spark: SparkSession, config: SourceConfig) -> CsvRecords:
@@ -233,39 +245,53 @@ def read_records(spark: SparkSession, config: SourceConfig) -> CsvRecords:
     numbered, _, blocks, spans = _number_lines(_raw_lines(spark, config.path, patterns), patterns)
     records = _records(numbered, blocks) if spans else numbered.select("file_no", "line", "header", "value")
     d = config.delimiter
-    raw = F.regexp_replace("value", r"\r$", "")
-    bare = F.regexp_replace(F.col("raw"), '"[^"]*+"', "")
-    found = F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) + 1
-    problem = (F.when(~F.rlike("raw", F.lit(patterns.well_formed)), F.lit(MALFORMED))
+    value, quoted = F.col("raw"), F.contains("raw", F.lit('"'))
+    rows = (records.where((F.col("line") != F.col("header")) & ~F.rlike("value", F.lit(patterns.blank)))
+            .select((F.shiftleft("file_no", FILE_SHIFT) + F.col("line")).alias("__row"), F.col("file_no").alias("__file"),
+                    F.col("line").alias("__line"), F.rtrim("value", F.lit("\r")).alias("raw"))
+            .withColumn("__plain", F.when(~quoted, F.split("raw", d, -1))))
+    bare = F.regexp_replace("raw", '"[^"]*+"', "")
+    found = F.when(quoted, F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))) + 1).otherwise(F.size("__plain"))
+    problem = (F.when(quoted & ~F.rlike("raw", F.lit(patterns.well_formed)), F.lit(MALFORMED))
                .when(found != len(headers), F.concat(F.lit(f"Expected {len(headers)} columns; found "), found.cast("string"))))
     schema = ", ".join(f"c{i} string" for i in range(len(headers)))
     # Blank and quoted-empty cells mean the same, so no null marker is wanted.
-    cells = F.from_csv(F.col("raw"), schema, {"sep": d, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0001",
-                                             "emptyValue": "", "maxColumns": str(len(headers) + 1)})
-    rows = (records.where((F.col("line") != F.col("header")) & ~F.rlike("value", F.lit(patterns.blank)))
-            .select((F.shiftleft("file_no", FILE_SHIFT) + F.col("line")).alias("__row"), F.col("file_no").alias("__file"),
-                    F.col("line").alias("__line"), raw.alias("raw"))
-            .withColumn("__problem", problem)
-            .withColumn("__cells", F.when(F.col("__problem").isNull(), cells)).drop("raw"))
-    return CsvRecords(tuple(headers), rows, config)
+    parsed = F.from_csv(value, schema, {"sep": d, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0001",
+                                        "emptyValue": "", "maxColumns": str(len(headers) + 1)})
+    # Rows without quotes split at the delimiter; only the others need the CSV parser.
+    rows = rows.withColumn("__problem", problem).withColumn("__parsed", F.when(quoted & F.col("__problem").isNull(), parsed))
+    cells = F.when(quoted, F.array(*[F.col(f"__parsed.c{i}") for i in range(len(headers))])).otherwise(F.col("__plain"))
+    rows = rows.select("__row", "__file", "__line", "__problem", F.when(F.col("__problem").isNull(), cells).alias("__cells"),
+                       F.rlike("raw", F.lit(patterns.padded)).alias("__padded"))
+    return CsvRecords(tuple(headers), with_texts(rows), config)
+
+
+def with_texts(rows: DataFrame) -> DataFrame:
+    """Add ``__texts``: the cells without white space around them. Few rows have any."""
+    empty = F.transform("__cells", lambda c: trimmed(F.coalesce(c, F.lit(""))))
+    return rows.withColumn("__texts", F.when(F.col("__padded"), empty).otherwise(F.col("__cells"))).drop("__padded")
 
 
 def infer_csv_types(records: CsvRecords) -> DataFrame:
     """What the filled cells of every column look like over the whole file, in one aggregate.
 
-    Result: ``column, present, is_number, is_boolean``.
+    Result: ``column, present, is_number, is_boolean``. Each cell is classed by one bit
+    and a column is the union of its bits, so the work per cell is the same for any
+    number of columns.
     """
-    sums, shown = [], []
-    for i, name in enumerate(records.headers):
-        c = records.cell(name)
-        filled = ~is_blank(c)
-        sums += [F.bool_or(filled).alias(f"p{i}"), F.bool_and(F.when(filled, to_number(c).isNotNull())).alias(f"n{i}"),
-                 F.bool_and(F.when(filled, to_boolean(c).isNotNull())).alias(f"b{i}")]
-        shown.append(F.struct(F.lit(name).alias("column"), *[
-            F.coalesce(F.col(f"{k}{i}"), F.lit(False)).alias(n)
-            for k, n in (("p", "present"), ("n", "is_number"), ("b", "is_boolean"))]))
-    good = records.rows.where(F.col("__problem").isNull())
-    return good.agg(*sums).select(F.inline(F.array(*shown)))
+    # Rows with a problem have no cells and fall into the null group.
+    text = records.rows.select(F.posexplode_outer("__texts").alias("at", "t"))
+    number = finite(number_in(F.col("t")))
+    bit = (F.when(F.col("t") == "", F.lit(0)).when(number.isNotNull(), F.lit(IS_NUMBER))
+           .when(F.lower("t").isin("true", "false"), F.lit(IS_BOOLEAN)).otherwise(F.lit(IS_TEXT)))
+    found = text.groupBy("at").agg(F.bit_or(bit).alias("bits"))
+    names = F.array(*[F.lit(n) for n in records.headers])
+    # Columns of a file without rows are listed too.
+    every = records.rows.sparkSession.range(len(records.headers)).select(F.col("id").cast("int").alias("at"))
+    bits = F.coalesce("bits", F.lit(0))
+    return (every.join(F.broadcast(found), "at", "left")  # one row per column
+            .select(F.element_at(names, F.col("at") + 1).alias("column"), (bits != 0).alias("present"),
+                    (bits == IS_NUMBER).alias("is_number"), (bits == IS_BOOLEAN).alias("is_boolean")))
 
 
 def csv_kind(present: bool, is_number: bool, is_boolean: bool) -> str:
@@ -290,12 +316,12 @@ def describe_csv(records: CsvRecords) -> tuple[Field, ...]:
 # --- points ---------------------------------------------------------------
 
 def decode_point_xy(lon: Column, lat: Column, lon_name: str, lat_name: str) -> tuple[Column, Column, Column]:
-    """Two decimal cells to ``(lon, lat, problem)``."""
-    problem = (F.when(is_blank(lon), F.lit(f'Missing longitude in "{lon_name}"'))
-               .when(is_blank(lat), F.lit(f'Missing latitude in "{lat_name}"'))
-               .when(~F.rlike(trimmed(lon), F.lit(NUMBER_PATTERN)) | ~F.rlike(trimmed(lat), F.lit(NUMBER_PATTERN)),
-                     F.lit(NOT_DECIMAL)))
-    return to_number(lon), to_number(lat), problem
+    """Two trimmed decimal cells to ``(lon, lat, problem)``."""
+    decimal = lambda t: F.rlike(t, F.lit(NUMBER_PATTERN))
+    problem = (F.when(lon == "", F.lit(f'Missing longitude in "{lon_name}"'))
+               .when(lat == "", F.lit(f'Missing latitude in "{lat_name}"'))
+               .when(~decimal(lon) | ~decimal(lat), F.lit(NOT_DECIMAL)))
+    return number_in(lon), number_in(lat), problem
 
 
 def decode_point_wkt(text: Column, name: str) -> tuple[Column, Column, Column]:
@@ -337,7 +363,7 @@ def validate_rows(records: CsvRecords, fields: Sequence[Field], bounds: LoadBoun
     bounds, config, headers = (bounds or LoadBounds()).check(), records.config, records.headers
     if config.geometry_mode == "xy":
         names = (_need(headers, config.longitude_field, "longitude"), _need(headers, config.latitude_field, "latitude"))
-        lon, lat, geometry = decode_point_xy(records.cell(names[0]), records.cell(names[1]), *names)
+        lon, lat, geometry = decode_point_xy(records.text(names[0]), records.text(names[1]), *names)
     else:
         name = _need(headers, config.geometry_field, "geometry")
         decode = decode_point_wkt if config.geometry_mode == "wkt" else decode_point_geojson
@@ -347,29 +373,31 @@ def validate_rows(records: CsvRecords, fields: Sequence[Field], bounds: LoadBoun
     if bounds.time and not config.time_field:
         raise LoadError("Choose a CSV time attribute, or select All time.")
 
-    cast = {NUMBER: to_number, DATE: parse_utc, BOOLEAN: to_boolean}
+    # Small steps, each of which reads the columns of the one before: cells are typed once.
+    read = {NUMBER: number_in, DATE: time_in, BOOLEAN: boolean_in}
     message = {NUMBER: 'Invalid number in "{}"', DATE: 'Invalid ISO 8601 time in "{}"', BOOLEAN: 'Expected true or false in "{}"'}
-    typed, wrong = {}, []
-    for f in fields:
-        c = records.cell(f.name)
+    typed, shown, wrong = [], [], []
+    for i, f in enumerate(fields):
+        text, value = records.text(f.name), F.col(quote(f.name))
         if f.kind == STRING:
-            typed[f.name] = F.when(~is_blank(c), c)
+            typed.append(F.when(text != "", records.cell(f.name)).alias(f.name))
         else:
-            typed[f.name] = cast[f.kind](c)
-            wrong.append(F.when(~is_blank(c) & F.col(quote(f.name)).isNull(), F.lit(message[f.kind].format(f.name))))
+            typed.append(read[f.kind](text).alias(f.name))
+            wrong.append(F.when((text != "") & value.isNull(), F.lit(message[f.kind].format(f.name))))
+        shown.append(finite(value).alias(f.name) if f.kind == NUMBER else value)
 
     taken = [f.name for f in fields]
     name_of = {n: unique_name(n, taken) for n in ("row_id", "line", "point_id", "lon", "lat", "reject_reason", "filtered")}
     file_no, line = F.col("__file"), F.col("__line").cast("string")
     id = F.when(file_no == 0, F.concat(F.lit("csv."), line)).otherwise(
         F.concat(F.lit("csv."), (file_no + 1).cast("string"), F.lit("."), line))
-    rows = records.rows.select("*", lon.alias("__lon"), lat.alias("__lat"), geometry.alias("__geometry"),
-                               *[typed[f.name].alias(f.name) for f in fields])
+    kept = ("__row", "__file", "__line", "__problem", "__texts", "__lon", "__lat", "__geometry")
+    rows = (records.rows.select(*kept[:5], lon.alias("__lon"), lat.alias("__lat"), geometry.alias("__geometry"), *typed)
+            .select(*kept, *shown))
 
     lon, lat = F.col("__lon"), F.col("__lat")
-    shown = lambda v: F.coalesce(number_text(v), F.lit("Infinity"))
     range_problem = F.when(~coordinates_ok(lon, lat), F.concat(
-        F.lit("Coordinate is invalid: longitude "), shown(lon), F.lit(", latitude "), shown(lat),
+        F.lit("Coordinate is invalid: longitude "), number_text(lon), F.lit(", latitude "), number_text(lat),
         F.lit(". Expected finite WGS84 degrees.")))
     failed = F.coalesce("__problem", "__geometry", range_problem, *wrong)
     passes = F.coalesce(load_rules(config.load_rules, fields), F.lit(False))
@@ -389,17 +417,29 @@ def validate_rows(records: CsvRecords, fields: Sequence[Field], bounds: LoadBoun
         (F.col("__reason").isNull() & outside).alias(name_of["filtered"]))
 
 
-def import_report(judged: DataFrame, reason: str = "reject_reason", filtered: str = "filtered",
-                  line: str = "line") -> tuple[DataFrame, DataFrame]:
-    """Totals in one row, and per reason a count with its first five line numbers.
+def stage_rows(judged: DataFrame, path: str, reason: str = "reject_reason", filtered: str = "filtered") -> DataFrame:
+    """Write judged rows once, apart by outcome, and read them back.
+
+    Text is parsed a single time this way; reports then read only rejected rows and
+    queries only imported ones.
+    """
+    outcome = (F.when(F.col(quote(reason)).isNotNull(), F.lit("rejected")).when(F.col(quote(filtered)), F.lit("filtered"))
+               .otherwise(F.lit("imported")))
+    judged.withColumn(OUTCOME, outcome).write.mode("errorifexists").partitionBy(OUTCOME).parquet(path)
+    # The schema is known, so a load without rows reads back as well.
+    schema = T.StructType([*judged.schema.fields, T.StructField(OUTCOME, T.StringType())])
+    return judged.sparkSession.read.schema(schema).parquet(path)
+
+
+def import_report(staged: DataFrame, reason: str = "reject_reason", line: str = "line") -> tuple[DataFrame, DataFrame]:
+    """Totals of staged rows in one row, and per reason a count with its first five line numbers.
 
     The line lists keep at most five per reason before the shuffle, so even a reason
     that covers most rows stays small.
     """
-    r, f = F.col(quote(reason)), F.col(quote(filtered))
-    totals = judged.agg(F.count(F.lit(1)).alias("total"), F.count_if(r.isNull() & ~f).alias("imported"),
-                        F.count_if(r.isNotNull()).alias("rejected"), F.count_if(f).alias("filtered"))
-    bad = judged.where(r.isNotNull()).select(r.alias("reason"), F.col(quote(line)).alias("line"))
+    outcome = F.col(OUTCOME)
+    totals = staged.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(outcome == n).alias(n) for n in ("imported", "rejected", "filtered")])
+    bad = staged.where(outcome == "rejected").select(F.col(quote(reason)).alias("reason"), F.col(quote(line)).alias("line"))
     counts = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("count"), F.min("line").alias("first_line"))
     first = Window.partitionBy("reason").orderBy("line")
     examples = (bad.withColumn("n", F.row_number().over(first)).where(F.col("n") <= EXAMPLE_LINES)
@@ -409,10 +449,10 @@ def import_report(judged: DataFrame, reason: str = "reject_reason", filtered: st
 
 @dataclass(frozen=True)
 class CsvLoad:
-    """Result of a CSV load."""
+    """Result of a CSV load; ``staged`` holds every row with its outcome."""
 
     table: PointTable
-    judged: DataFrame
+    staged: DataFrame
     totals: Mapping[str, int]
     issues: DataFrame
 
@@ -422,19 +462,18 @@ class CsvLoad:
                 f"{t['filtered']:,} excluded by bounds or load rules.")
 
 
-def load_csv(spark: SparkSession, config: SourceConfig, bounds: LoadBounds | None = None) -> CsvLoad:
-    """Types, validation and report of a CSV source. Write the table before querying it."""
+def load_csv(spark: SparkSession, config: SourceConfig, bounds: LoadBounds | None = None, path: str | None = None) -> CsvLoad:
+    """Types, validation and report of a CSV source, staged as Parquet under ``path``."""
     records = read_records(spark, config)
     fields = describe_csv(records)
-    judged = validate_rows(records, fields, bounds)
     names = [f.name for f in fields]
     id_of = lambda n: unique_name(n, names)
-    totals_df, issues = import_report(judged, id_of("reject_reason"), id_of("filtered"), id_of("line"))
+    reason, filtered, line = id_of("reject_reason"), id_of("filtered"), id_of("line")
+    staged = stage_rows(validate_rows(records, fields, bounds), path or scratch_folder(spark), reason, filtered)
+    totals_df, issues = import_report(staged, reason, line)
     totals = totals_df.first().asDict()
     if totals["total"] and totals["rejected"] == totals["total"]:
-        worst = issues.first()
-        raise LoadError(f"Every one of the {totals['total']:,} CSV rows was rejected; first reason: {worst['reason']}")
-    reason, filtered = (F.col(quote(id_of(n))) for n in ("reject_reason", "filtered"))
-    kept = judged.where(reason.isNull() & ~filtered).drop(id_of("reject_reason"), id_of("filtered"), id_of("line"))
+        raise LoadError(f"Every one of the {totals['total']:,} CSV rows was rejected; first reason: {issues.first()['reason']}")
+    kept = staged.where(F.col(OUTCOME) == "imported").drop(reason, filtered, line, OUTCOME)
     table = PointTable(kept, fields, id_of("row_id"), id_of("point_id"), id_of("lon"), id_of("lat"), config.name, config.time_field)
-    return CsvLoad(table, judged, totals, issues)
+    return CsvLoad(table, staged, totals, issues)

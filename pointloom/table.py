@@ -28,6 +28,16 @@ def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def sql_text(value: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_number(value: float) -> str:
+    """A double as a SQL literal, exact to the last bit."""
+    return f"({float(value)!r}D)"
+
+
 def unique_name(name: str, taken: Iterable[str]) -> str:
     """``name``, or ``name_2``, ``name_3``, … when it is already taken."""
     taken = set(taken)
