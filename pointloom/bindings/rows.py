@@ -336,7 +336,7 @@ def invalid(spark, folder):
 def outlines(spark, folder):
     """Outlines of 16 vertices; the vertex table is iterative, so there is no SQL for it."""
     rings = ellipse_outlines(points(spark, folder), ELLIPSE, 16)
-    return rings.select("row", F.posexplode("ring").alias("vertex", "p")).select("row", "vertex", F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"))
+    return rings.select("row", "vertex", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
 
 _H1 = "xor(b, b >> 16)"

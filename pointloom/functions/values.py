@@ -37,7 +37,7 @@ def finite(v: Column) -> Column:
 
 def clamp(v: Column, low: float, high: float) -> Column:
     """The value held inside a range; null stays null."""
-    return F.when(v < low, F.lit(low)).when(v > high, F.lit(high)).otherwise(v)
+    return F.when(v.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), v)))
 
 
 def number_in(t: Column) -> Column:

@@ -87,26 +87,30 @@ def ellipse_templates(table: PointTable, vertices: int) -> DataFrame:
 
 
 def ellipse_outlines(table: PointTable, config: EllipseConfig, vertices: int = 32) -> DataFrame:
-    """A ring of map positions per valid row: ``row, ring``. No shuffle is needed."""
+    """Map positions along the outline of every valid row: ``row, vertex, x, y``.
+
+    Rows fan out by the fixed vertex count and never meet again, so nothing shuffles;
+    each step below is a projection that reuses the columns of the one before.
+    """
     params = ellipse_params(table, config).where("valid")
     aspect = F.least(F.lit(float(MAX_ASPECT_LOG2)), F.log2(F.col("major_m") / F.col("minor_m")))
     bucket = F.round(aspect * (ASPECT_BUCKETS - 1) / MAX_ASPECT_LOG2).cast("int")
-    lat, turn = F.radians(clamp_latitude(F.col("lat"))), F.radians("angle")
-
-    def vertex(u: Column) -> Column:
-        major = F.col("major_m") / EARTH_RADIUS * u[0]
-        minor = F.col("minor_m") / EARTH_RADIUS * u[1]
-        east = major * F.sin(turn) + minor * F.cos(turn)
-        north = major * F.cos(turn) - minor * F.sin(turn)
-        reach = F.hypot(east, north)
-        sinc = F.when(reach < 1e-8, F.lit(1.0)).otherwise(F.sin(reach) / reach)
-        sine = F.sin(lat) * F.cos(reach) + F.cos(lat) * north * sinc
-        dx = F.atan2(east * sinc, F.cos(lat) * F.cos(reach) - F.sin(lat) * north * sinc) / (2 * math.pi)
-        end = F.degrees(F.asin(clamp(sine, -1.0, 1.0)))
-        return F.struct((mercator_x(F.col("lon")) + dx).alias("x"), mercator_y(end).alias("y"))
-
-    return (params.withColumn("bucket", bucket).join(F.broadcast(ellipse_templates(table, vertices)), "bucket")
-            .select("row", F.transform("units", vertex).alias("ring")))
+    placed = params.select("row", "lon", bucket.alias("bucket"), F.radians(clamp_latitude(F.col("lat"))).alias("phi"),
+                           F.radians("angle").alias("turn"), (F.col("major_m") / EARTH_RADIUS).alias("a"),
+                           (F.col("minor_m") / EARTH_RADIUS).alias("b"))
+    spread = (placed.join(F.broadcast(ellipse_templates(table, vertices)), "bucket")
+              .select("row", "lon", "phi", "turn", "a", "b", F.posexplode("units").alias("vertex", "u")))
+    major, minor = F.col("a") * F.col("u")[0], F.col("b") * F.col("u")[1]
+    offset = spread.select("row", "vertex", "lon", "phi",
+                           (major * F.sin("turn") + minor * F.cos("turn")).alias("east"),
+                           (major * F.cos("turn") - minor * F.sin("turn")).alias("north"))
+    reached = offset.withColumn("reach", F.hypot("east", "north"))
+    reached = reached.withColumn("sinc", F.when(F.col("reach") < 1e-8, F.lit(1.0)).otherwise(F.sin("reach") / F.col("reach")))
+    sine = F.sin("phi") * F.cos("reach") + F.cos("phi") * F.col("north") * F.col("sinc")
+    turn = F.atan2(F.col("east") * F.col("sinc"), F.cos("phi") * F.cos("reach") - F.sin("phi") * F.col("north") * F.col("sinc"))
+    ends = reached.select("row", "vertex", (mercator_x(F.col("lon")) + turn / (2 * math.pi)).alias("x"), sine.alias("sine"))
+    ends = ends.withColumn("end", F.degrees(F.asin(clamp(F.col("sine"), -1.0, 1.0))))
+    return ends.select("row", "vertex", "x", mercator_y(F.col("end")).alias("y"))
 
 
 def thinning_stride(candidates: int, width: int, height: int) -> int:

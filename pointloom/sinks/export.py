@@ -19,7 +19,8 @@ from ..table import BOOLEAN, DATE, Field, PointTable, quote, unique_name
 # Fixed values.
 IDENTITY_HEADERS = ("featureId", "longitude", "latitude")
 MAX_NAME = 100
-CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "lineSep": "\r\n", "emptyValue": "", "nullValue": ""}
+# Any other line separator would also replace the line ends inside values.
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "lineSep": "\n", "emptyValue": "", "nullValue": ""}
 
 
 def cell_text(c: Column, kind: str) -> Column:
