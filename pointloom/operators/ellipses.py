@@ -128,7 +128,7 @@ def stride_sample(table: PointTable, stride: int) -> DataFrame:
     if stride < 1:
         raise ValueError("Stride must be at least 1")
     ordered = with_position(table.df, [table.col(table.row)], "__ordinal")
-    rows = ordered.agg(F.max("__ordinal").alias("last"))
+    last = ordered.agg(F.max("__ordinal")).first()[0]
     block = F.floor(F.col("__ordinal") / stride)
     word = F.lit(0xFFFFFFFF)
     h = block.bitwiseXOR(F.shiftrightunsigned(block, 16)).bitwiseAND(word)
@@ -136,6 +136,6 @@ def stride_sample(table: PointTable, stride: int) -> DataFrame:
     factor = 0x7feb352d  # fixed value
     h = (F.shiftleft((high * factor).bitwiseAND(F.lit(0xFFFF)), 16) + low * factor).bitwiseAND(word)
     h = h.bitwiseXOR(F.shiftrightunsigned(h, 15))
-    chosen = F.least(block * stride + (h % stride if stride > 1 else F.lit(0)), F.col("last"))
-    kept = ordered.crossJoin(F.broadcast(rows)).where(F.col("__ordinal") == chosen)  # rows: one row
-    return kept.drop("__ordinal", "last")
+    # The last block may be short of its chosen row; then its last row stands in.
+    chosen = F.least(block * stride + (h % stride if stride > 1 else F.lit(0)), F.lit(last))
+    return ordered.where(F.col("__ordinal") == chosen).drop("__ordinal")

@@ -8,6 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import is_blank
+from ..session import checkpoint
 from ..table import DATE, NUMBER, STRING, PointTable, unique_name
 
 # Fixed values.
@@ -173,7 +174,7 @@ def join_preview(left: PointTable, right: PointTable, options: JoinOptions, rows
         candidates = _first_per_key(l.where("k is not null"), "lrow", rows)
         keys = r.select("k").distinct()
         l = candidates.join(keys, "k", "left_semi")
-    first_left = l.orderBy("lrow").limit(rows)
+    first_left = checkpoint(l.orderBy("lrow").limit(rows))  # a handful of rows, used twice below
     # At most n keys, so broadcasting them is bounded.
     near = r.join(F.broadcast(first_left.select("k").where("k is not null").distinct()), "k", "left_semi")
     first_right = _first_per_key(near, "rrow", rows)

@@ -24,6 +24,6 @@ def with_position(df: DataFrame, keys: Sequence[Column], name: str = "position")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
               .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start")))
-    starts = hint_if_small(starts, fixed.rdd.getNumPartitions())
+    starts = hint_if_small(starts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (fixed.join(starts, "__part")
             .withColumn(name, F.col("__start") + F.col("__at")).drop("__part", "__start", "__at"))

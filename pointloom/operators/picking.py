@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geo import mercator_x, mercator_y
+from ..session import checkpoint, hint_if_small
 from ..table import PointTable, quote
 
 # Fixed values.
@@ -32,29 +33,36 @@ def world_size(zoom: float) -> float:
 def with_grid_cell(table: PointTable, page: Sequence[str] = ()) -> DataFrame:
     """Add ``x``, ``y`` and the grid cell of each row within the bounds of its page.
 
-    Page extents are one partial aggregate; they come back by a join on the page and
-    not by a window, so one big page never becomes one task.
+    The bounds of the whole table are four numbers and become literals. Bounds per page
+    come back by a join on the page and not by a window, so that one big page never
+    becomes one task; they are broadcast only after they have been counted.
     """
     x, y = positions(table)
     placed = table.df.select("*", x.alias("x"), y.alias("y"))
-    ends = placed.groupBy(*[F.col(quote(p)) for p in page]).agg(
-        F.min("x").alias("__x0"), F.min("y").alias("__y0"), F.max("x").alias("__x1"), F.max("y").alias("__y1"))
+    ends = [F.min("x").alias("__x0"), F.min("y").alias("__y0"), F.max("x").alias("__x1"), F.max("y").alias("__y1")]
     if page:
-        placed = placed.join(ends, list(page))
+        bounds = checkpoint(placed.groupBy(*[F.col(quote(p)) for p in page]).agg(*ends))
+        placed = placed.join(hint_if_small(bounds, bounds.count()), list(page))
+        low_high = {c: (F.col(f"__{c}0"), F.col(f"__{c}1")) for c in "xy"}
     else:
-        placed = placed.crossJoin(F.broadcast(ends))  # exactly one row
+        found = placed.agg(*ends).first()
+        low_high = {c: (F.lit(found[f"__{c}0"]).cast("double"), F.lit(found[f"__{c}1"]).cast("double")) for c in "xy"}
 
-    def step(v: str, low: str, high: str) -> Column:
-        span = F.when(F.col(high) == F.col(low), F.lit(1.0)).otherwise(F.col(high) - F.col(low))
-        return F.least(F.lit(GRID - 1), F.floor((F.col(v) - F.col(low)) / span * GRID).cast("int"))
+    def step(c: str) -> Column:
+        low, high = low_high[c]
+        span = F.when(high == low, F.lit(1.0)).otherwise(high - low)
+        return F.least(F.lit(GRID - 1), F.floor((F.col(c) - low) / span * GRID).cast("int"))
 
-    cell = step("y", "__y0", "__y1") * GRID + step("x", "__x0", "__x1")
-    return placed.withColumn("grid_cell", cell).drop("__x0", "__y0", "__x1", "__y1")
+    return placed.withColumn("grid_cell", step("y") * GRID + step("x")).drop("__x0", "__y0", "__x1", "__y1")
 
 
 def grid_groups(table: PointTable, page: Sequence[str] = ()) -> DataFrame:
     """Rows and true bounds of every occupied grid cell, per page."""
-    return (with_grid_cell(table, page).groupBy(*page, "grid_cell")
+    return _groups(with_grid_cell(table, page), page)
+
+
+def _groups(cells: DataFrame, page: Sequence[str]) -> DataFrame:
+    return (cells.groupBy(*[F.col(quote(p)) for p in page], "grid_cell")
             .agg(F.count(F.lit(1)).alias("count"), F.min("x").alias("x0"), F.min("y").alias("y0"),
                  F.max("x").alias("x1"), F.max("y").alias("y1")))
 
@@ -124,7 +132,8 @@ def viewport_groups(groups: DataFrame, left: float, top: float, right: float, bo
 
 def viewport_rows(table: PointTable, left: float, top: float, right: float, bottom: float) -> DataFrame:
     """Rows whose grid group meets the view: what a map has to draw."""
+    cells = with_grid_cell(table)
     # At most 1,024 groups, so the window over them and the broadcast are bounded.
-    shown = viewport_groups(grid_groups(table), left, top, right, bottom).select("grid_cell")
-    return (with_grid_cell(table).join(F.broadcast(shown), "grid_cell", "left_semi")
+    shown = viewport_groups(_groups(cells, ()), left, top, right, bottom).select("grid_cell")
+    return (cells.join(F.broadcast(shown), "grid_cell", "left_semi")
             .select(table.col(table.row).alias("row"), "grid_cell"))

@@ -107,7 +107,7 @@ def _number_lines(lines: DataFrame, patterns: _Patterns) -> tuple[DataFrame, Dat
     filled = ~F.rlike("value", F.lit(patterns.blank))
     per_block = lines.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"),
-        F.min(F.when(filled, F.col("at"))).alias("filled"),
+        F.min(F.when(filled, F.col("at"))).alias("filled"), F.min_by("value", F.when(filled, F.col("at"))).alias("head"),
         F.bool_or(F.col("opens") | ~F.col("stays")).alias("spans"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
@@ -115,9 +115,14 @@ def _number_lines(lines: DataFrame, patterns: _Patterns) -> tuple[DataFrame, Dat
     # One row per 128 MB of text, so ordering the files in one task is cheap.
     blocks = checkpoint(
         per_block.withColumn("base", base)
-        .withColumn("header", F.min(F.col("base") + F.col("filled") - F.col("first") + 1).over(whole))
+        .withColumn("filled", F.col("base") + F.col("filled") - F.col("first") + 1)
+        .withColumn("header", F.min("filled").over(whole))
         .withColumn("file_no", (F.dense_rank().over(Window.orderBy("file")) - 1).cast("bigint")))
-    size = blocks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("spans"), F.lit(False)).alias("spans")).first()
+    size = blocks.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("spans"), F.lit(False)).alias("spans"),
+        F.countDistinct(F.when(F.col("filled") == F.col("header"), F.rtrim("head", F.lit("\r")))).alias("heads")).first()
+    if size["heads"] > 1:
+        raise LoadError("CSV files of one load need the same header.")
     starts = hint_if_small(blocks.select("file", "block", "first", "base", "header", "file_no"), size["n"])
     numbered = (lines.join(starts, ["file", "block"])
                 .withColumn("line", F.col("base") + F.col("at") - F.col("first") + 1)
@@ -185,10 +190,10 @@ def csv_headers(spark: SparkSession, path: str | Sequence[str], delimiter: str =
     """Column names of the first file; only its first lines are read."""
     patterns = _Patterns(delimiter)
     paths = [path] if isinstance(path, str) else list(path)
-    text = spark.read.option("lineSep", "\n").text(paths)
-    files = text.select(F.col("_metadata.file_path").alias("f")).agg(F.min("f")).first()[0] if len(text.inputFiles()) > 1 \
-        else text.inputFiles()[0]
-    first = spark.read.option("lineSep", "\n").text(files)
+    files = spark.read.text(paths).inputFiles()
+    if not files:
+        raise LoadError("CSV file is empty or unavailable.")
+    first = spark.read.option("lineSep", "\n").text(min(files))
     wanted, record = 16, None
     while record is None:
         lines = [r[0] for r in first.take(wanted)]

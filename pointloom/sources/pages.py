@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.values import is_blank, parse_utc, to_flag, to_number, trimmed
+from ..session import hint_if_small
 from ..table import BOOLEAN, DATE, NUMBER, STRING, Field, PointTable, quote, unique_name
 
 PAGE_SHIFT = 20  # a page holds at most 100,000 features, which fits below this bit
@@ -28,12 +29,13 @@ NUMBER_SHAPE = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 def saved_pages(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Saved responses as ``page, payload``; pages are numbered in file-name order."""
-    text = (spark.read.option("wholetext", True).text(path if isinstance(path, str) else list(path))
+    paths = path if isinstance(path, str) else list(path)
+    text = (spark.read.option("wholetext", True).text(paths)
             .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("payload")))
-    # One small row per page: numbering looks at names only.
-    names = text.select("file").distinct()
+    # One small row per page: numbering lists the files and reads none of them.
+    names = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("file"))
     numbered = names.withColumn("page", (F.row_number().over(Window.orderBy("file")) - 1).cast("bigint"))
-    return text.join(numbered, "file").select("page", "payload")
+    return text.join(hint_if_small(numbered, len(text.inputFiles())), "file").select("page", "payload")
 
 
 def _whole_number(text: Column) -> Column:

@@ -255,3 +255,12 @@ def test_roles(spark):
     alone = spark.createDataFrame([d for d in data if d[1] == "clear"], "file string, role string, column string, probability double")
     one = resolve_role_predictions(alone).first()
     assert one.column == "x" and [tuple(c) for c in one.candidates] == [("x", 0.8), (None, 0.1), ("y", 0.1)]
+
+
+def test_files_with_other_headers_fail(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("lon,lat,n\n1,1,1\n")
+    (folder / "b.csv").write_text("lat,lon,n\n1,1,1\n")
+    with pytest.raises(LoadError, match="same header"):
+        load_csv(spark, config(str(folder)))
