@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Generated methods above this size are never compiled by the JVM; smaller pieces are.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Rows split by outcome go to a few open files instead of being sorted first.
+    "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
 
 #: Largest row count that is ever broadcast by explicit hint.

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.geo import coordinates_ok
-from ..functions.values import (NUMBER_PATTERN, SPACES, boolean_in, finite, number_in, number_text, time_in, to_number,
+from ..functions.values import (MAX_DOUBLE, NUMBER_PATTERN, SPACES, boolean_in, finite, number_in, number_text, time_in, to_number,
                                 trimmed)
 from ..operators.expressions import load_rules
 from ..operators.integrity import LoadError
@@ -286,8 +286,8 @@ def infer_csv_types(records: CsvRecords) -> DataFrame:
     """
     # Rows with a problem have no cells and fall into the null group.
     text = records.rows.select(F.posexplode_outer("__texts").alias("at", "t"))
-    number = finite(number_in(F.col("t")))
-    bit = (F.when(F.col("t") == "", F.lit(0)).when(number.isNotNull(), F.lit(IS_NUMBER))
+    is_number = F.abs(number_in(F.col("t"))) <= F.lit(MAX_DOUBLE)
+    bit = (F.when(F.col("t") == "", F.lit(0)).when(is_number, F.lit(IS_NUMBER))
            .when(F.lower("t").isin("true", "false"), F.lit(IS_BOOLEAN)).otherwise(F.lit(IS_TEXT)))
     found = text.groupBy("at").agg(F.bit_or(bit).alias("bits"))
     names = F.array(*[F.lit(n) for n in records.headers])
