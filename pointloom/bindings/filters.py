@@ -162,7 +162,7 @@ def bin_predicate_log10(spark, folder):
 
 @register("bin_predicate_category", f"WITH b AS {labels_sql(POINTS, chr(34) + 'user' + chr(34))}, k AS (SELECT count(*) AS n FROM b) "
                                     f"SELECT b.i AS bin, count(*) AS count FROM {POINTS} p JOIN b ON b.label = p.\"user\" GROUP BY 1 UNION ALL "
-                                    f"SELECT (SELECT n FROM k), count(*) FROM {POINTS} p WHERE \"user\" NOT IN (SELECT label FROM b)")
+                                    f"SELECT (SELECT n FROM k), count(*) FROM {POINTS} p WHERE \"user\" NOT IN (SELECT label FROM b) HAVING count(*) > 0")
 def bin_predicate_category(spark, folder):
     """Labels are equality tests; the catch-all bin is everything else that is filled."""
     table = points(spark, folder)
