@@ -13,7 +13,7 @@ from ..sinks.bundle import export_bundle, import_bundle
 from ..sinks.export import write_points
 from ..sources.bounds import LoadBounds
 from ..sources.config import SourceConfig
-from ..sources.csv import CsvRecords, import_report, infer_csv_types, load_csv, stage_rows, validate_rows, with_texts
+from ..sources.csv import CsvRecords, decode_point_geojson, decode_point_wkt, import_report, infer_csv_types, load_csv, stage_rows, validate_rows, with_texts
 from ..sources.generate import observations
 from ..sources.pages import (GmlLayout, geojson_points, gml_points, infer_gml_schema, infer_json_schema, page_total, read_geojson_pages,
                              read_gml_pages)
@@ -95,6 +95,37 @@ def issues(spark, folder):
     return import_report(stage_rows(judged(spark, folder), scratch_folder(spark)))[1].select("reason", "count", F.array_join("lines", ",").alias("lines"))
 
 
+def _decoded(spark, folder, text, decode) -> DataFrame:
+    lon, lat, problem = decode(F.col("text"), "geom")
+    rows = points(spark, folder).df.select("row_id", text.alias("text")).select("row_id", lon.alias("lon"), lat.alias("lat"), problem.alias("problem"))
+    good = F.col("problem").isNull()
+    return rows.select("row_id", F.when(good, F.col("lon")).alias("lon"), F.when(good, F.col("lat")).alias("lat"), "problem")
+
+
+def _decoded_sql(problem: str) -> str:
+    return (f"SELECT row_id, CASE WHEN problem IS NULL THEN lon END AS lon, CASE WHEN problem IS NULL THEN lat END AS lat, problem "
+            f"FROM (SELECT *, {problem} AS problem FROM {POINTS} p)")
+
+
+@register("decode_point_wkt", _decoded_sql("CASE WHEN row_id % 7 IN (2, 5) THEN 'Expected WKT POINT (longitude latitude) in \"geom\"' END"))
+def wkt(spark, folder):
+    """Points as WKT text in any case and spacing, some of them no points."""
+    lon, lat, n = F.col("lon").cast("string"), F.col("lat").cast("string"), F.col("row_id") % 7
+    text = (F.when(n == 2, F.concat(F.lit("POINT ("), lon, F.lit(" "), lat, F.lit(" 3)"))).when(n == 5, F.concat(F.lit("POINT (0x1F "), lat, F.lit(")")))
+            .when(n == 3, F.concat(F.lit("  point("), lon, F.lit("\t"), lat, F.lit(" )\n"))).otherwise(F.concat(F.lit("POINT ("), lon, F.lit(" "), lat, F.lit(")"))))
+    return _decoded(spark, folder, text, decode_point_wkt)
+
+
+@register("decode_point_geojson", _decoded_sql("CASE WHEN row_id % 7 = 2 THEN 'Invalid GeoJSON JSON in \"geom\"' WHEN row_id % 7 IN (3, 5) THEN 'Expected a GeoJSON Point geometry in \"geom\"' END"))
+def geojson_cells(spark, folder):
+    """Points as GeoJSON text, some of it broken or of another kind."""
+    n = F.col("row_id") % 7
+    pair = F.concat(F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"))
+    text = (F.when(n == 2, F.lit('{"type":"Point",')).when(n == 3, F.concat(F.lit('{"type":"LineString","coordinates":['), pair, F.lit("]}")))
+            .when(n == 5, F.lit('{"type":"Point","coordinates":["1",2]}')).otherwise(F.concat(F.lit('{"coordinates":['), pair, F.lit(',5], "type" : "Point"}'))))
+    return _decoded(spark, folder, text, decode_point_geojson)
+
+
 # --- CSV files ------------------------------------------------------------
 
 def write_text(spark, df: DataFrame) -> str:

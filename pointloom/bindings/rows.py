@@ -71,7 +71,8 @@ def sort_natural(spark, folder):
     return records_index(points(spark, folder), "user").select("row_id", "user", "position")
 
 
-@register("records_page", f"SELECT row_id, value, (SELECT count(*) FROM {POINTS} q WHERE {NESTED_SQL}) AS total FROM {POINTS} p WHERE {NESTED_SQL} ORDER BY value, row_id LIMIT 50 OFFSET 200")
+@register("records_page", f"WITH m AS (SELECT row_id, value, row_number() OVER (ORDER BY value, row_id) - 1 AS n, count(*) OVER () AS total FROM {POINTS} p WHERE {NESTED_SQL}) "
+                          "SELECT row_id, value, total FROM m WHERE n - greatest(0, least(200, total - 1)) BETWEEN 0 AND 49")
 def page(spark, folder):
     table = points(spark, folder)
     rows, total = records_page(table, 200, 50, "value", predicate=compile_expression(table, NESTED))

@@ -82,9 +82,14 @@ def profile_categories(table: PointTable, names: Sequence[str], top: int = TOP_C
 
     The rank limit is applied before the shuffle as well, so wide domains stay cheap.
     """
-    best = Window.partitionBy("field").orderBy(F.desc("count"), F.asc("first_row"))
-    return (category_counts(table, names).withColumn("rank", F.row_number().over(best))
-            .where(F.col("rank") <= top).select("field", "rank", "value", "count"))
+    counts = category_counts(table, names)
+    order = (F.desc("count"), F.asc("first_row"))
+    if len(names) == 1:
+        # One attribute is a plain distributed top-k; only its few rows are then numbered.
+        counts = counts.orderBy(*order).limit(top)
+    best = Window.partitionBy("field").orderBy(*order)
+    return (counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+            .select("field", "rank", "value", "count"))
 
 
 def chart_domains(table: PointTable, names: Iterable[str]) -> dict[str, Domain]:
