@@ -70,7 +70,7 @@ def category_color(table: PointTable, name: str, overrides: Mapping[str, str] |
         raise ValueError("Category colours require a text attribute")
     palette = category_palette(table, name, overrides).select("value", "color")
     rows = table.df.select(table.col(table.row).alias("row"), table.col(name).alias("value"))
-    palette = hint_if_small(palette, palette.limit(BROADCAST_ROWS + 1).count())
+    palette = hint_if_small(palette, palette.count())
     return rows.join(palette, "value", "left").select("row", "value", F.coalesce("color", F.lit(MISSING_COLOR)).alias("color"))
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import is_blank
-from ..session import checkpoint
+from ..session import checkpoint, hint_if_small
 from ..table import DATE, NUMBER, STRING, PointTable, unique_name
 
 # Fixed values.
@@ -194,9 +194,14 @@ def join_guard(report: DataFrame, options: JoinOptions) -> int:
 
 
 def semi_applied(table: PointTable, rows: DataFrame, predicate: Column | None = None, row: str = "row") -> DataFrame:
-    """Rows of a row set that are also in the current selection."""
+    """Rows of a row set that are also in the current selection.
+
+    A brushed set is usually small next to its table, so it is counted first: a set
+    within the bound is broadcast and the table stays where it is.
+    """
     base = table.df if predicate is None else table.df.where(predicate)
-    return base.join(rows.select(F.col(row).alias("__row")), table.col(table.row) == F.col("__row"), "left_semi")
+    ids = rows.select(F.col(row).alias("__row"))
+    return base.join(hint_if_small(ids, ids.count()), table.col(table.row) == F.col("__row"), "left_semi")
 
 
 intersect_rows = semi_applied

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import natural_key, search_text, value_text
 from ..table import BOOLEAN, DATE, NUMBER, STRING, PointTable
+from .joins import semi_applied
 from .ordering import with_position
 
 # Fixed values.
@@ -126,8 +127,7 @@ def sorted_domain(table: PointTable, name: str, search: str = "") -> DataFrame:
 def get_records(table: PointTable, rows: Sequence[int] | DataFrame) -> DataFrame:
     """Full typed records by row id, from a short list or a row-set DataFrame."""
     if isinstance(rows, DataFrame):
-        ids = rows.select(F.col(rows.columns[0]).alias("__row"))
-        return table.df.join(ids, table.col(table.row) == F.col("__row"), "left_semi")
+        return semi_applied(table, rows, row=rows.columns[0])
     return table.df.where(table.col(table.row).isin(*rows))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.values import utc_iso, value_text
+from ..functions.values import value_text
 from ..operators.joins import JoinOptions, join_guard, join_report, join_rows, join_schema
 from ..operators.ordering import with_position
 from ..operators.picking import world_cell
