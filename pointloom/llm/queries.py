@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pointloom.llm.byte_bpe import encode_documents
 from pointloom.llm.common import sql_lower_az, table
 from pointloom.llm.exact_dedup import content_sort
+from pointloom.llm.mixing import mix_report
+
+
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
 
 
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +28,7 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing,
     "op2_byte_bpe": byte_bpe,
     "op5_exact_dedup": exact_dedup,
 }
