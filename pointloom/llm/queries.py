@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pointloom.llm.byte_bpe import encode_documents
 from pointloom.llm.common import sql_lower_az, table
 from pointloom.llm.exact_dedup import content_sort
+from pointloom.llm.license_scan import scan_licenses
 from pointloom.llm.mixing import mix_report
 
 
@@ -27,10 +28,15 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_byte_bpe": byte_bpe,
     "op5_exact_dedup": exact_dedup,
+    "op8_license_scan": license_scan,
 }
 
 ORACLES: dict[str, str] = {
