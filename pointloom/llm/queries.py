@@ -11,6 +11,7 @@ from pointloom.llm.common import sql_lower_az, table
 from pointloom.llm.exact_dedup import content_sort
 from pointloom.llm.license_scan import scan_licenses
 from pointloom.llm.mixing import mix_report
+from pointloom.llm.quality import quality_report
 from pointloom.llm.toxicity import toxicity_report
 
 
@@ -33,6 +34,10 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_byte_bpe": byte_bpe,
     "op5_exact_dedup": exact_dedup,
+    "op6_quality": quality,
     "op8_license_scan": license_scan,
     "op10_toxicity": toxicity,
 }
