@@ -11,6 +11,7 @@ from pointloom.llm.common import sql_lower_az, table
 from pointloom.llm.exact_dedup import content_sort
 from pointloom.llm.license_scan import scan_licenses
 from pointloom.llm.mixing import mix_report
+from pointloom.llm.near_dedup import near_duplicates
 from pointloom.llm.quality import quality_report
 from pointloom.llm.toxicity import toxicity_report
 
@@ -34,6 +35,10 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": byte_bpe,
     "op5_exact_dedup": exact_dedup,
     "op6_quality": quality,
+    "op7_near_dedup": near_dedup,
     "op8_license_scan": license_scan,
     "op10_toxicity": toxicity,
 }
