@@ -11,6 +11,7 @@ from pointloom.llm.common import sql_lower_az, table
 from pointloom.llm.exact_dedup import content_sort
 from pointloom.llm.kd_search import top_k
 from pointloom.llm.license_scan import scan_licenses
+from pointloom.llm.line_dedup import line_report
 from pointloom.llm.mixing import mix_report
 from pointloom.llm.near_dedup import near_duplicates
 from pointloom.llm.quality import quality_report
@@ -48,6 +49,10 @@ def kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_byte_bpe": byte_bpe,
+    "op4_line_dedup": line_dedup,
     "op5_exact_dedup": exact_dedup,
     "op6_quality": quality,
     "op7_near_dedup": near_dedup,
