@@ -10,9 +10,11 @@ with 1e-5, by the sixth with 5e-4. A node that is still large at the last level
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pointloom.llm.common import lower_az, text_of
+from pointloom.llm.common import WORD, lower_az, text_of
 from pointloom.llm.linking import LIMIT, link_groups
 from pointloom.llm.shingles import sketch
 from pointloom.session import checkpoint
@@ -51,34 +53,61 @@ def settled_nodes(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
     raise AssertionError
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", limit: int = LIMIT) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept.
+@dataclass(frozen=True)
+class _Groups:
+    """The rows with the hash of their text, their sets, and for every class of equal sets its component."""
 
-    A-Z is lower-cased; a text of fewer words than a shingle is one shingle, a text without words (or
-    null) has none, is linked with nothing and is its own component. Links join sets with
-    ``100 * intersection >= percent * union`` and are confirmed on full sets. ``component_id`` is the
-    smallest id of the component; null ids have none to give, and a component of null ids only has a
-    null one. ``kept`` holds where the id is the component's, so repeated rows of that id are all kept.
-    Other columns are ignored.
-    """
+    rows: DataFrame  # id, h, text
+    marked: DataFrame  # id, h, n_shingles, set_key
+    whole: DataFrame  # key, component_id, best (nobody, id, h: the row that stands for the component)
+
+
+def _group(docs: DataFrame, percent: int, id_column: str, text_column: str, limit: int) -> _Groups:
     rows = docs.select(F.col(id_column).alias("id"), lower_az(text_of(text_column)).alias("text")).withColumn("h", F.xxhash64("text"))
     marked = checkpoint(sketch(rows, FUNCTIONS, SEED))
+    # Null ids come after all others.
+    at = F.struct(F.col("id").isNull().alias("nobody"), "id", "h")
     classes = checkpoint(marked.where("set_key is not null").groupBy(F.col("set_key").alias("key")).agg(
-        F.min("id").alias("least"), F.min(F.struct("id", "h")).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
+        F.min(at).alias("at"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")))
 
     def texts_of(keys: DataFrame) -> DataFrame:
         wanted = keys.join(classes, F.col("w") == F.col("key")).select("key", F.col("at.id").alias("w_id"), F.col("at.h").alias("w_h"))
         return rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("key", "text").dropDuplicates(["key"])
 
     labels = link_groups(settled_nodes(classes, limit), classes, texts_of, percent / 100 - SLACK, percent, limit).select("node", F.col("label").alias("l"))
-    labelled = checkpoint(classes.select("key", "least").join(labels, F.col("key") == F.col("node"), "left").select(
-        "key", "least", F.coalesce("l", "key").alias("label")))
-    least = labelled.where(F.col("label") != F.col("key")).select("label").distinct().withColumnRenamed("label", "g").join(
-        labelled, F.col("g") == F.col("label")).groupBy("g").agg(F.min("least").alias("g_least"))
-    whole = checkpoint(labelled.join(least, F.col("label") == F.col("g"), "left").select(
-        "key", F.when(F.col("g").isNotNull(), F.col("g_least")).otherwise(F.col("least")).alias("component_id")))
-    linked = marked.where("set_key is not null").select("id", "n_shingles", "set_key").join(whole, F.col("set_key") == F.col("key")).select(
-        "id", "n_shingles", "component_id")
-    alone = marked.where("set_key is null").select("id", "n_shingles", F.col("id").alias("component_id"))
+    linked = checkpoint(classes.select("key", "at").join(labels, F.col("key") == F.col("node")).select("key", "at", "l"))
+    best = linked.groupBy("l").agg(F.min("at").alias("best")).withColumnRenamed("l", "b_l")
+    found = linked.join(best, F.col("l") == F.col("b_l")).select(F.col("key").alias("f_key"), "best")
+    whole = checkpoint(classes.select("key", "at").join(found, F.col("key") == F.col("f_key"), "left").select("key", F.coalesce("best", "at").alias("best")))
+    return _Groups(rows, marked, whole)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", limit: int = LIMIT) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept.
+
+    A-Z is lower-cased; a text of fewer words than a shingle is one shingle, a text without words (or
+    null) has none, is linked with nothing and is its own component. Links join sets with
+    ``100 * intersection >= percent * union`` and are confirmed on full sets. ``component_id`` is the
+    smallest id of the component; null ids have none to give, and a component of null ids only has a
+    null one. ``kept`` holds where the id is the component's, so repeated rows of that id are all kept.
+    Other columns are ignored.
+    """
+    g = _group(docs, percent, id_column, text_column, limit)
+    linked = g.marked.where("set_key is not null").select("id", "n_shingles", "set_key").join(g.whole, F.col("set_key") == F.col("key")).select(
+        "id", "n_shingles", F.col("best.id").alias("component_id"))
+    alone = g.marked.where("set_key is null").select("id", "n_shingles", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(F.col("id").alias(id_column), "n_shingles", "component_id",
                                             F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", limit: int = LIMIT) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stand for their component: the smallest id, one row of it.
+
+    Rows without words all stay. The order of columns is kept.
+    """
+    g = _group(docs, percent, id_column, text_column, limit)
+    stay = g.whole.select(F.col("best.id").alias("_stay_id"), F.col("best.h").alias("_stay_h")).distinct()
+    wordless = ~text_of(text_column).rlike(WORD)
+    hashed = docs.where(~wordless).withColumn("_h", F.xxhash64(lower_az(text_of(text_column))))
+    kept = hashed.join(stay, F.col(id_column).eqNullSafe(F.col("_stay_id")) & (F.col("_h") == F.col("_stay_h"))).dropDuplicates([id_column, "_h"])
+    return kept.select(*docs.columns).unionByName(docs.where(wordless))

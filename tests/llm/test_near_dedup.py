@@ -7,7 +7,7 @@ import string
 import pytest
 
 from pointloom.llm.components import components
-from pointloom.llm.near_dedup import near_duplicates
+from pointloom.llm.near_dedup import near_duplicates, one_of_each
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -87,3 +87,17 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 300)] + [(400, 401), (401, 400), (500, 500)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 300)}, 400: 400, 401: 400}
+
+
+def test_one_row_of_each_component_stays(spark):
+    rows = corpus()
+    df = spark.createDataFrame([(t, d, "x") for d, t in rows], "text string, doc_id long, best string").repartition(5)
+    out = one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    blank = [(d, t) for d, t in rows if not shingles(t)]
+    heads = {least for _, n, least, _ in brute(rows) if n and least is not None}
+    assert sorted((g for g in got if not shingles(g[1])), key=str) == sorted(blank, key=str)
+    named = [g[0] for g in got if shingles(g[1]) and g[0] is not None]
+    assert sorted(named) == sorted(heads)
+    assert [t for d, t in got if d is None and shingles(t)] == ["a text of nobody at all here"]
