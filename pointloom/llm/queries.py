@@ -15,6 +15,7 @@ from pointloom.llm.license_scan import scan_licenses
 from pointloom.llm.line_dedup import line_report
 from pointloom.llm.mixing import mix_report
 from pointloom.llm.near_dedup import near_duplicates
+from pointloom.llm.passage_dedup import repeated_passages
 from pointloom.llm.quality import quality_report
 from pointloom.llm.toxicity import toxicity_report
 
@@ -54,6 +55,10 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_byte_bpe": byte_bpe,
+    "op3_passage_dedup": passage_dedup,
     "op4_line_dedup": line_dedup,
     "op5_exact_dedup": exact_dedup,
     "op6_quality": quality,

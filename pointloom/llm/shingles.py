@@ -21,7 +21,7 @@ CHUNK = 2048
 
 _rng = np.random.default_rng(20240501)
 _PLACES = _rng.integers(0, 1 << 64, 16, dtype=np.uint64) | np.uint64(1)
-_words = re.compile(WORD).findall
+words_of = re.compile(WORD).findall
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -45,13 +45,17 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; with fewer words, of the whole sequence; none without words."""
-    words = _words(text)
+    words = words_of(text)
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    h = word_hashes(words)
     width = min(k, n)
     rows = n - width + 1
     total = np.full(rows, width, np.uint64)
