@@ -210,7 +210,7 @@ def gml_pages(spark, folder) -> DataFrame:
 
 
 PAGE_FIELDS = (Field("category", "string"), Field("reading", "number"), Field("ts", "date"), Field("active", "boolean"))
-PAGES_SQL = (f"SELECT (row_id // {PAGE}) * 1048576 + row_id % {PAGE} AS row_id, point_id, lon, lat, category, reading, date_trunc('milliseconds', ts) AS ts, active FROM {POINTS} p")
+PAGES_SQL = (f"SELECT (row_id // {PAGE}) * 2147483648 + row_id % {PAGE} AS row_id, point_id, lon, lat, category, reading, date_trunc('milliseconds', ts) AS ts, active FROM {POINTS} p")
 SHOWN = ("row_id", "point_id", "lon", "lat", "category", "reading", "ts", "active")
 
 

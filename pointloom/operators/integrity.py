@@ -31,7 +31,7 @@ def check_duplicate_ids(table: PointTable) -> None:
 
 def page_signatures(features: DataFrame, page: str, order: str, columns: Sequence[str]) -> DataFrame:
     """First and last feature of every page, combined before the shuffle."""
-    body = F.to_json(F.struct(*[F.col(quote(c)) for c in columns]))
+    body = F.sha2(F.to_json(F.struct(*[F.col(quote(c)) for c in columns])), 256)
     return features.groupBy(page).agg(F.min_by(body, order).alias("first"), F.max_by(body, order).alias("last"),
                                       F.count(F.lit(1)).alias("features"))
 
@@ -99,9 +99,10 @@ def missing_id_warning(table: PointTable) -> DataFrame:
     return table.df.agg(F.coalesce(F.bool_or(table.col(table.id).isNull()), F.lit(False)).alias("missing_ids"))
 
 
-def truncation_flag(table: PointTable, limit: int) -> DataFrame:
-    """Whether the load stopped at its limit and is therefore incomplete."""
-    return table.df.agg(F.count(F.lit(1)).alias("loaded")).select("loaded", (F.col("loaded") == limit).alias("truncated"))
+def truncation_flag(table: PointTable, limit: int | None) -> DataFrame:
+    """Whether the load stopped at its limit and is therefore incomplete; without a limit it did not."""
+    stopped = F.lit(False) if limit is None else F.col("loaded") == limit
+    return table.df.agg(F.count(F.lit(1)).alias("loaded")).select("loaded", stopped.alias("truncated"))
 
 
 def dataset_bounds(table: PointTable) -> DataFrame:
@@ -116,11 +117,11 @@ def union_bounds(bounds: Sequence[DataFrame]) -> DataFrame:
                                                      F.max("east").alias("east"), F.max("north").alias("north"))
 
 
-def load_report(table: PointTable, limit: int) -> DataFrame:
+def load_report(table: PointTable, limit: int | None) -> DataFrame:
     """Everything that is counted after a load, in one scan."""
     lon, lat, id = (table.col(c) for c in (table.lon, table.lat, table.id))
     loaded = F.count(F.lit(1))
     return table.df.agg(
-        loaded.alias("loaded"), (loaded == limit).alias("truncated"), F.count_if(is_clamped(lat)).alias("clamped"),
+        loaded.alias("loaded"), (F.lit(False) if limit is None else loaded == limit).alias("truncated"), F.count_if(is_clamped(lat)).alias("clamped"),
         F.coalesce(F.bool_or(id.isNull()), F.lit(False)).alias("missing_ids"), F.min(lon).alias("west"),
         F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"))

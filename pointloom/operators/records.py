@@ -15,7 +15,6 @@ from .ordering import with_position
 # Fixed values.
 MAX_PAGE = 100
 CHOICE_PAGE = 30
-MAX_LOAD = 50_000_000
 SOURCE, ID, LONGITUDE, LATITUDE = "@source", "@id", "@longitude", "@latitude"
 #: Up to this depth a page is a distributed top-k; deeper pages read a written order.
 TOP_K_ROWS = 100_000
@@ -108,7 +107,7 @@ def choice_page(table: PointTable, predicate: Column, page: int = 0) -> DataFram
 
 def load_limit(table: PointTable, limit: int) -> PointTable:
     """The first rows of a load, in load order."""
-    if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= MAX_LOAD:
+    if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
         raise ValueError("Invalid point limit")
     if limit <= TOP_K_ROWS:
         return table.with_df(table.df.orderBy(table.col(table.row)).limit(limit))

@@ -11,7 +11,7 @@ from ..table import DATE, KINDS
 DELIMITERS = (",", ";", "\t")
 GEOMETRY_MODES = ("xy", "wkt", "geojson")
 PAGING_ENDS = ("empty", "short")
-MAX_PAGE_SIZE, MAX_PARALLEL, MAX_LIMIT = 100_000, 100, 50_000_000
+MAX_PAGE_SIZE, MAX_PARALLEL = 100_000, 100
 
 
 @dataclass(frozen=True)
@@ -40,7 +40,7 @@ class SourceConfig:
     page_size: int = 50_000
     max_parallel_requests: int = 10
     paging_end: str = "empty"
-    limit: int = 10_000_000
+    limit: int | None = None  # everything
     # both
     time_field: str = ""
     geometry_field: str = ""
@@ -68,9 +68,9 @@ class SourceConfig:
             raise ValueError("Choose when paging should stop.")
         for label, value, most in (("Features per request", self.page_size, MAX_PAGE_SIZE),
                                    ("Maximum parallel requests", self.max_parallel_requests, MAX_PARALLEL),
-                                   ("Point limit", self.limit, MAX_LIMIT)):
-            if isinstance(value, bool) or not isinstance(value, int) or not 1 <= value <= most:
-                raise ValueError(f"{label} must be a whole number from 1 to {most:,}.")
+                                   ("Point limit", 1 if self.limit is None else self.limit, None)):
+            if isinstance(value, bool) or not isinstance(value, int) or value < 1 or most is not None and value > most:
+                raise ValueError(f"{label}: expected a whole number of at least 1" + (f" and at most {most:,}" if most else ""))
         return self
 
     def to_dict(self) -> dict:

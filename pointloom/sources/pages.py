@@ -19,7 +19,7 @@ from ..functions.values import is_blank, parse_utc, to_flag, to_number, trimmed
 from ..session import hint_if_small
 from ..table import BOOLEAN, DATE, NUMBER, STRING, Field, PointTable, quote, unique_name
 
-PAGE_SHIFT = 20  # a page holds at most 100,000 features, which fits below this bit
+PAGE_SHIFT = 31  # the place on a page is a 32-bit number, so it always fits below this bit
 
 FEATURES = ("array<struct<id: variant, geometry: struct<type: string, coordinates: variant>, "
             "properties: map<string, variant>>>")
@@ -47,8 +47,9 @@ def page_total(pages: DataFrame) -> DataFrame:
     """Advisory totals per page; never a reason to stop reading."""
     doc = F.from_json("payload", "numberMatched variant, totalFeatures variant")
     in_json = F.coalesce(doc["numberMatched"].cast("string"), doc["totalFeatures"].cast("string"))
-    in_xml = F.regexp_extract(F.substring("payload", 1, 8192), r'\bnumberMatched\s*=\s*["\']([^"\']*)["\']', 1)
-    total = F.when(F.rlike("payload", F.lit(r"^\s*\{")), in_json).otherwise(in_xml)
+    is_json = F.rlike("payload", F.lit(r"^\s*\{"))
+    in_xml = F.from_xml(F.when(~is_json, F.col("payload")), "_numberMatched string", {"ignoreNamespace": "true"})["_numberMatched"]
+    total = F.when(is_json, in_json).otherwise(in_xml)
     return pages.select("page", _whole_number(total).alias("total"))
 
 
@@ -151,9 +152,24 @@ def gml_layout(page: str) -> GmlLayout | None:
     return GmlLayout(_local(members[0].tag), tuple(attributes), tuple(geometries)) if members else None
 
 
+def gml_attributes(pages: DataFrame) -> DataFrame:
+    """The element names on every page, as a map named ``attributes``; only names leave the page."""
+    def names(batches):
+        for batch in batches:
+            for text in batch["payload"]:
+                found = gml_layout(text)
+                inside = dict.fromkeys([*found.attributes, *found.geometries], "") if found else {}
+                yield batch.iloc[:0].assign(attributes=None)[["attributes"]] if not inside else type(batch)({"attributes": [inside]})
+
+    return pages.select("payload").mapInPandas(names, "attributes map<string,string>")
+
+
 def read_gml_pages(pages: DataFrame, layout: GmlLayout, axis: str = "xy") -> DataFrame:
     """Features of GML 2 and 3 pages; ``axis='yx'`` swaps latitude-first positions."""
-    is_error = F.rlike(F.substring("payload", 1, 4096), F.lit(r"<(?:\w+:)?(?:Service)?ExceptionReport\b"))
+    # The root element decides, after comments and declarations of any length.
+    bare = F.regexp_replace("payload", r"(?s)<!--.*?-->", " ")
+    is_error = F.contains("payload", F.lit("ExceptionReport")) & F.rlike(
+        bare, F.lit(r"^\s*(?:<[?!][^>]*>\s*)*<(?:[\w.-]+:)?(?:Service)?ExceptionReport\b"))
     text = F.when(is_error, F.raise_error(F.concat(F.lit("Service exception: "), F.substring(
         F.regexp_replace(F.regexp_replace("payload", "<[^>]*>", " "), r"\s+", " "), 1, 500)))).otherwise(F.col("payload"))
     doc = pages.select("page", F.from_xml(text, layout.schema, {"ignoreNamespace": "true", "mode": "FAILFAST"}).alias("d"))

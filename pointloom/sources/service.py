@@ -13,7 +13,7 @@ import urllib.parse
 import urllib.request
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 from xml.sax.saxutils import escape
 
@@ -22,13 +22,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.values import iso_from_millis
 from ..operators.expressions import load_rule_literal, validate_load_rules
-from ..operators.integrity import LoadError, check_coordinates, check_duplicate_ids, check_page_overrun, check_repeated_page
-from ..session import require_utc
+from ..operators.integrity import (LoadError, check_coordinates, check_duplicate_ids, check_page_overrun, check_repeated_page,
+                                   check_schema_drift, page_signatures)
+from ..session import require_utc, scratch_folder
 from ..table import BOOLEAN, DATE, NUMBER, STRING, Field, PointTable
 from .bounds import LoadBounds
 from .config import SourceConfig
-from .pages import (GmlLayout, geojson_points, gml_layout, gml_points, infer_gml_schema, infer_json_schema, raise_service_error,
-                    read_geojson_pages, read_gml_pages)
+from .pages import (GmlLayout, geojson_points, gml_attributes, gml_layout, gml_points, infer_gml_schema, infer_json_schema,
+                    raise_service_error, read_geojson_pages, read_gml_pages)
 
 Fetch = Callable[[Mapping[str, str]], str]
 
@@ -39,6 +40,9 @@ FILTER_NS = {"fes": "http://www.opengis.net/fes/2.0", "ogc": "http://www.opengis
 GML_NS = {"fes": "http://www.opengis.net/gml/3.2", "ogc": "http://www.opengis.net/gml"}
 CRS84 = "urn:ogc:def:crs:OGC:1.3:CRS84"
 
+#: Pages a range asks for in a wave whose end is not known.
+WAVE_PAGES = 8
+
 
 # --- requests -------------------------------------------------------------
 
@@ -192,11 +196,10 @@ def service_catalog(capabilities: DataFrame) -> DataFrame:
 # --- paging ---------------------------------------------------------------
 
 class PageRange(NamedTuple):
-    """Offsets ``start`` to ``end``; the last range reads on until the data ends."""
+    """Offsets from ``start`` up to, but not including, ``end``."""
 
     start: int
     end: int
-    last: bool
 
 
 @dataclass(frozen=True)
@@ -210,7 +213,7 @@ class PagedRequest:
     sort: str
     filter: str | None
     page_size: int
-    limit: int
+    limit: int | None
     stop_on_short: bool
 
     @classmethod
@@ -254,32 +257,38 @@ def feature_count(text: str) -> int:
     return len(single) + sum(len(m) for m in root if _local(m.tag) == "featureMembers")
 
 
-def plan_ranges(total: int | None, page_size: int, limit: int, parts: int) -> list[PageRange]:
-    """Equal offset ranges in whole pages. Totals only shape the plan: the last range runs on."""
-    known = min(total, limit) if total else 0
-    pages = -(-known // page_size)
-    per_part = max(1, -(-pages // parts)) * page_size
-    starts = list(range(0, known, per_part)) or [0]
-    return [PageRange(s, limit if s == starts[-1] else s + per_part, s == starts[-1]) for s in starts]
+def plan_ranges(start: int, total: int | None, page_size: int, limit: int | None, parts: int) -> list[PageRange]:
+    """One wave of ranges in whole pages: up to the advertised total, else a few pages for each part.
+
+    Totals only shape the plan. Past the total a single range looks for more.
+    """
+    if total is None:
+        pages = parts * WAVE_PAGES
+    elif total > start:
+        pages = -(-(total - start) // page_size)
+    else:
+        pages, parts = WAVE_PAGES, 1
+    end = start + pages * page_size if limit is None else min(limit, start + pages * page_size)
+    step = -(-pages // parts) * page_size
+    return [PageRange(s, min(s + step, end)) for s in range(start, end, step)]
 
 
 def read_range(fetch: Fetch, request: PagedRequest, span: PageRange) -> Iterator[tuple[int, int, int, str]]:
     """Pages of one range as ``(offset, requested, features, text)``.
 
     A service may return fewer features than asked, so each request starts where the
-    last answer really ended. An empty page ends the data, a short one only on request.
+    last answer really ended. The page that ends the data ends the range: an empty one,
+    which is kept as a row without features, or on request a short one.
     """
     at = span.start
     while at < span.end:
         wanted = min(request.page_size, span.end - at)
         text, count = request.page(fetch, at, wanted)
-        if count == 0:
-            return
         if count > wanted:
-            raise LoadError("Server ignored the requested page count")
+            raise LoadError(f"A page of {count} features was sent for a request of {wanted}")
         yield at, wanted, count, text
         at += count
-        if request.stop_on_short and count < wanted:
+        if count == 0 or request.stop_on_short and count < wanted:
             return
 
 
@@ -288,12 +297,15 @@ class _Span(InputPartition):
         self.span = span
 
 
-def service_source(fetch: Fetch, request: PagedRequest, parts: int) -> type[DataSource]:
+PAGE_ROWS = "page bigint, requested int, features int, payload string"
+
+
+def service_source(fetch: Fetch, request: PagedRequest, spans: Sequence[PageRange]) -> type[DataSource]:
     """A data source class whose rows are pages: ``page, requested, features, payload``."""
 
     class Reader(DataSourceReader):
         def partitions(self):
-            return [_Span(r) for r in plan_ranges(request.hits(fetch), request.page_size, request.limit, parts)]
+            return [_Span(s) for s in spans]
 
         def read(self, partition):
             yield from read_range(fetch, request, partition.span)
@@ -304,7 +316,7 @@ def service_source(fetch: Fetch, request: PagedRequest, parts: int) -> type[Data
             return "feature_service_pages"
 
         def schema(self):
-            return "page bigint, requested int, features int, payload string"
+            return PAGE_ROWS
 
         def reader(self, schema):
             return Reader()
@@ -312,20 +324,53 @@ def service_source(fetch: Fetch, request: PagedRequest, parts: int) -> type[Data
     return Pages
 
 
+def stage_pages(spark: SparkSession, fetch: Fetch, request: PagedRequest, first: tuple[str, int], parts: int, folder: str) -> DataFrame:
+    """Write every page once, in waves of parallel ranges, and read back one contiguous run of them.
+
+    ``first`` is the answer at offset zero, which is not asked for again. A service that
+    gives fewer features than asked is asked for as many as it gives. Pages behind the
+    first page that ends the data are left out, whichever range they came from.
+    """
+    text, count = first
+    wanted = min(request.page_size, request.limit or request.page_size)
+    spark.createDataFrame([(0, wanted, count, text)], PAGE_ROWS).write.parquet(folder)
+    ended = count == 0 or request.stop_on_short and count < wanted
+    total = None if ended else request.hits(fetch)
+    if 0 < count < wanted:
+        request = replace(request, page_size=count)
+    at, end = count, count if ended else None
+    while end is None and (request.limit is None or at < request.limit):
+        spans = plan_ranges(at, total, request.page_size, request.limit, parts)
+        spark.dataSource.register(service_source(fetch, request, spans))
+        spark.read.format("feature_service_pages").load().write.mode("append").parquet(folder)
+        # One number: where the first page that ends the data leaves off.
+        last = F.col("features") == 0
+        if request.stop_on_short:
+            last |= F.col("features") < F.col("requested")
+        end = (spark.read.schema(PAGE_ROWS).parquet(folder).where(last & (F.col("page") >= at))
+               .agg(F.min(F.col("page") + F.col("features"))).first()[0])
+        at = spans[-1].end
+    pages = spark.read.schema(PAGE_ROWS).parquet(folder).where("features > 0")
+    return pages if end is None else pages.where(F.col("page") < end)
+
+
 @dataclass(frozen=True)
 class ServiceLoad:
-    """Raw pages and the typed points decoded from them."""
+    """Staged pages, the features on them and the typed points made of these."""
 
     pages: DataFrame
+    features: DataFrame
     table: PointTable
-    limit: int
+    limit: int | None
 
 
 def read_feature_service(spark: SparkSession, config: SourceConfig, fetch: Fetch, bounds: LoadBounds | None = None,
-                         described: str | None = None) -> ServiceLoad:
+                         described: str | None = None, folder: str | None = None) -> ServiceLoad:
     """Points of a service, restricted on the server. ``described`` is its schema document.
 
-    Write the table before querying it: every action on it asks the service again.
+    The service is asked once: its answers are staged in ``folder`` (a new shared one by
+    default), and everything is decoded from there. An attribute that neither the schema
+    nor the first page has fails the load.
     """
     config.check()
     require_utc(spark)
@@ -334,21 +379,27 @@ def read_feature_service(spark: SparkSession, config: SourceConfig, fetch: Fetch
         [], QueryFields(config.time_field, config.geometry_field), None)
     validate_load_rules(config.load_rules, hints or None)
     request = PagedRequest.of(config, push_service_filter(config.version, bounds, names, config.load_rules))
-    spark.dataSource.register(service_source(fetch, request, config.max_parallel_requests))
-    pages = spark.read.format("feature_service_pages").load()
-    first, _ = request.page(fetch, 0, min(config.page_size, config.limit))
+    wanted = min(config.page_size, config.limit or config.page_size)
+    first, count = request.page(fetch, 0, wanted)
+    if count > wanted:
+        raise LoadError(f"A page of {count} features was sent for a request of {wanted}")
+    staged = stage_pages(spark, fetch, request, (first, count), config.max_parallel_requests, folder or scratch_folder(spark))
+    pages = staged.select("page", "payload")
     time = names.time.split(":")[-1]
-    # The first page settles the schema; offsets become page numbers for row ids.
+    # The first page settles the schema; offsets become row ids.
     sample = spark.createDataFrame([(0, first)], "page bigint, payload string")
     if first.lstrip().startswith("{"):
         fields = infer_json_schema(read_geojson_pages(sample), hints)
-        features = read_geojson_pages(pages.select("page", "payload"))
+        features = read_geojson_pages(pages)
+        check_schema_drift(features, "__properties", [f.name for f in fields])
         table = geojson_points(_by_offset(features), fields, config.name, time)
     else:
         layout = layout or gml_layout(first) or GmlLayout(_local(config.layer), (), ())
+        check_schema_drift(gml_attributes(pages), "attributes", [*layout.attributes, *layout.geometries])
         fields = infer_gml_schema(read_gml_pages(sample, layout, config.axis), layout, hints)
-        table = gml_points(_by_offset(read_gml_pages(pages.select("page", "payload"), layout, config.axis)), fields, config.name, time)
-    return ServiceLoad(pages, table, config.limit)
+        features = read_gml_pages(pages, layout, config.axis)
+        table = gml_points(_by_offset(features), fields, config.name, time)
+    return ServiceLoad(staged, features, table, config.limit)
 
 
 def _by_offset(features: DataFrame) -> DataFrame:
@@ -357,10 +408,8 @@ def _by_offset(features: DataFrame) -> DataFrame:
 
 
 def check_service_load(load: ServiceLoad) -> None:
-    """Fail a load that overlaps, repeats pages or leaves the globe. Run it on written tables."""
-    signatures = load.pages.select("page", "requested", "features", F.sha2("payload", 256).alias("first"),
-                                   F.sha2("payload", 256).alias("last"))
-    check_page_overrun(signatures, "page", "requested")
-    check_repeated_page(signatures, "page")
+    """Fail a load that overlaps, repeats pages or leaves the globe. Pages are compared by their features."""
+    check_page_overrun(load.pages, "page", "requested")
+    check_repeated_page(page_signatures(load.features, "__page", "__ordinal", ["__id", "__lon", "__lat", "__properties"]), "__page")
     check_duplicate_ids(load.table)
     check_coordinates(load.table)

@@ -173,12 +173,77 @@ def test_paging_reads_everything_once(spark, total, cap, hits, end):
 def test_limits_and_ranges(spark):
     load = read_feature_service(spark, service(limit=10), answers(19))
     assert load.table.df.count() == 10 and load_report(load.table, load.limit).first().truncated
-    assert plan_ranges(19, 4, 100, 3) == [PageRange(0, 8, False), PageRange(8, 16, False), PageRange(16, 100, True)]
-    assert plan_ranges(None, 4, 100, 3) == [PageRange(0, 100, True)] and plan_ranges(500, 4, 8, 3)[-1].end == 8
+    assert plan_ranges(4, 19, 4, None, 3) == [PageRange(4, 12), PageRange(12, 20)]
+    assert plan_ranges(0, None, 4, 100, 3) == [PageRange(0, 32), PageRange(32, 64), PageRange(64, 96)]
+    assert plan_ranges(0, 500, 4, 8, 3)[-1].end == 8 and plan_ranges(20, 19, 4, None, 3) == [PageRange(20, 52)]
     request = PagedRequest.of(service(paging_end="short"), None)
-    assert [p[0] for p in read_range(answers(100, cap=1), request, PageRange(0, 100, True))] == [0]
-    with pytest.raises(LoadError, match="ignored the requested"):
-        list(read_range(lambda p: collection([feature(i) for i in range(9)]), request, PageRange(0, 100, True)))
+    assert [p[0] for p in read_range(answers(100, cap=1), request, PageRange(0, 100))] == [0]
+    with pytest.raises(LoadError, match="for a request of 4"):
+        list(read_range(lambda p: collection([feature(i) for i in range(9)]), request, PageRange(0, 100)))
+
+
+@pytest.mark.parametrize("hits", [True, False])
+@pytest.mark.parametrize("cap", [None, 3])
+def test_every_offset_is_asked_once(spark, tmp_path, hits, cap):
+    log = tmp_path / "asked"
+
+    def fetch(params, log=str(log), answer=answers(150, cap, hits)):
+        if "startIndex" in params:
+            with open(log, "a") as out:
+                out.write(params["startIndex"] + "\n")
+        return answer(params)
+
+    load = read_feature_service(spark, service(), fetch)
+    assert load.table.df.count() == 150
+    check_service_load(load)
+    asked = log.read_text().split()
+    assert len(asked) == len(set(asked))
+
+
+def test_short_pages_leave_one_run_without_holes(spark):
+    load = read_feature_service(spark, service(paging_end="short", page_size=10), answers(100, cap=5))
+    assert sorted(r[0] for r in load.table.df.select("row_id").collect()) == list(range(5))
+    late = lambda p: answers(100, cap=5 if int(p.get("startIndex", 0)) == 40 else None)(p)
+    load = read_feature_service(spark, service(paging_end="short", page_size=10), late)
+    assert sorted(r[0] for r in load.table.df.select("row_id").collect()) == list(range(45))
+
+
+def test_new_attributes_fail_the_load(spark):
+    def drifting(params):
+        return answers(12)(params).replace('"n"', '"m"') if int(params.get("startIndex", 0)) >= 8 else answers(12)(params)
+
+    with pytest.raises(LoadError, match="m"):
+        read_feature_service(spark, service(), drifting)
+    member = '<wfs:member><obs gml:id="o.{0}"><geom><gml:Point><gml:pos>1 2</gml:pos></gml:Point></geom><{1}>1</{1}></obs></wfs:member>'
+    head = '<wfs:FeatureCollection xmlns:wfs="w" xmlns:gml="g">'
+
+    def gml(params):
+        at = int(params.get("startIndex", 0))
+        return head + "".join(member.format(i, "n" if i < 8 else "odd") for i in range(at, min(12, at + int(params.get("count", 0))))) + "</wfs:FeatureCollection>"
+
+    with pytest.raises(LoadError, match="odd"):
+        read_feature_service(spark, service(format="gml"), gml)
+
+
+def test_a_service_without_offsets_is_noticed_whatever_else_a_page_says(spark):
+    def stuck(params, seen=[0]):  # noqa: B006
+        if params.get("resultType") == "hits":
+            return '<FeatureCollection numberMatched="8"/>'
+        seen[0] += 1
+        return collection([feature(i) for i in range(4)], timeStamp=f"{params['startIndex']}-{seen[0]}")
+
+    with pytest.raises(LoadError, match="repeats"):
+        check_service_load(read_feature_service(spark, service(limit=8), stuck))
+
+
+def test_long_preambles_hide_nothing(spark):
+    padding = "<!-- " + "x" * 20_000 + " -->"
+    layout = gml_layout('<FeatureCollection><member><obs><geom><Point><pos>1 2</pos></Point></geom></obs></member></FeatureCollection>')
+    with pytest.raises(Exception, match="broken"):
+        read_gml_pages(page(spark, f'<?xml version="1.0"?>{padding}<ows:ExceptionReport xmlns:ows="u">broken</ows:ExceptionReport>'), layout).collect()
+    assert page_total(page(spark, f'{padding}<FeatureCollection numberMatched="7"/>')).first().total == 7
+    talk = '<FeatureCollection><member><obs><geom><Point><pos>1 2</pos></Point></geom><s>an ExceptionReport</s></obs></member></FeatureCollection>'
+    assert read_gml_pages(page(spark, talk), layout).count() == 1
 
 
 def test_overlapping_pages_fail(spark):
@@ -201,7 +266,7 @@ def test_service_filter_is_sent_and_schema_is_used(spark):
     assert seen[0]["startIndex"] == "8" and seen[0]["count"] == "4" and "app:n" in seen[0]["filter"] and seen[0]["typeNames"] == "app:obs"
     with pytest.raises(ValueError):
         read_feature_service(spark, service(load_rules=[{"field": "n", "kind": "string", "op": "null"}]), fetch, described=XSD)
-    for bad in (dict(page_size=0), dict(limit=50_000_001), dict(max_parallel_requests=101), dict(paging_end="never"), dict(layer=" "), dict(type="ftp")):
+    for bad in (dict(page_size=0), dict(limit=0), dict(limit=True), dict(max_parallel_requests=101), dict(paging_end="never"), dict(layer=" "), dict(type="ftp")):
         with pytest.raises(ValueError):
             service(**bad).check()
 
