@@ -12,7 +12,6 @@ from ..session import checkpoint, hint_if_small
 from ..table import DATE, NUMBER, STRING, PointTable, unique_name
 
 # Fixed values.
-MAX_OUTPUT_ROWS = 50_000_000
 PREVIEW_ROWS = 8
 
 
@@ -23,7 +22,7 @@ class JoinOptions:
     left_field: str
     right_field: str
     mode: str = "inner"
-    max_rows: int = MAX_OUTPUT_ROWS
+    max_rows: int | None = None  # no limit
     left_name: str = "Dataset 1"
     right_name: str = "Dataset 2"
     left_columns: Sequence[str] | None = None
@@ -37,9 +36,9 @@ def check_join(left: PointTable, right: PointTable, options: JoinOptions) -> Non
     """Refuse a join that cannot work, before any job."""
     if options.mode not in ("inner", "left"):
         raise ValueError("Choose a valid join type and input rows.")
-    if isinstance(options.max_rows, bool) or not isinstance(options.max_rows, int) \
-            or not 1 <= options.max_rows <= MAX_OUTPUT_ROWS:
-        raise ValueError(f"Maximum output rows must be a whole number from 1 to {MAX_OUTPUT_ROWS:,}.")
+    most = options.max_rows
+    if most is not None and (isinstance(most, bool) or not isinstance(most, int) or most < 1):
+        raise ValueError("max_rows: expected None or a whole number of at least 1")
     if left.field(options.left_field).kind != right.field(options.right_field).kind:
         raise ValueError("Match fields must have the same type.")
 
@@ -51,7 +50,9 @@ def join_key(table: PointTable, name: str) -> Column:
         return F.when(~is_blank(c), c)
     if kind == DATE:
         return F.unix_millis(c.cast("timestamp"))
-    # Numbers keep their own type, so big integers stay exact and 0.0 meets -0.0.
+    # Numbers keep their own type, so big integers stay exact and 0.0 meets -0.0; what is not finite meets nothing.
+    if kind == NUMBER and dict(table.df.dtypes)[name] in ("double", "float"):
+        return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
     return c
 
 
@@ -83,33 +84,43 @@ def join_report(left: PointTable, right: PointTable, options: JoinOptions) -> Da
 
 # --- result columns -------------------------------------------------------
 
+@dataclass(frozen=True)
+class _Side:
+    """One side of a join: its table, its name in headers, and what it brings."""
+
+    key: str
+    table: PointTable
+    title: str
+    columns: Sequence[str] | None
+    id: bool
+    coordinates: bool
+
+    def attributes(self) -> list[tuple[str, str, str, str]]:
+        wanted = None if self.columns is None else list(self.columns)
+        if wanted is not None and (len(wanted) > len(set(wanted)) or not all(map(self.table.has, wanted))):
+            raise ValueError(f"The {self.key} side lists a column twice or one that it does not have")
+        return [(self.key, f.name, f"{self.title}.{f.name}", f.kind) for f in self.table.fields if wanted is None or f.name in wanted]
+
+    def identity(self) -> list[tuple[str, str, str, str]]:
+        return [(self.key, self.table.id, f"{self.title}.@id", STRING)] if self.id else []
+
+    def place(self) -> list[tuple[str, str, str, str]]:
+        columns = ((self.table.lon, "longitude"), (self.table.lat, "latitude")) if self.coordinates else ()
+        return [(self.key, c, f"{self.title}.@{name}", NUMBER) for c, name in columns]
+
+
 def join_schema(left: PointTable, right: PointTable, options: JoinOptions) -> list[tuple[str, str, str, str]]:
-    """Result columns as ``(side, source column, result name, kind)``."""
-    left_name = options.left_name.strip() or "Dataset 1"
-    right_name = options.right_name.strip() or "Dataset 2"
-    if right_name == left_name:
-        right_name = f"{right_name} (2)"
-    out: list[tuple[str, str, str, str]] = []
-
-    def put(side: str, prefix: str, source: str, name: str, kind: str) -> None:
-        out.append((side, source, unique_name(f"{prefix}.{name}", (c[2] for c in out)), kind))
-
-    for side, prefix, table, chosen in (("left", left_name, left, options.left_columns),
-                                        ("right", right_name, right, options.right_columns)):
-        if chosen is not None and (len(set(chosen)) != len(chosen) or any(not table.has(n) for n in chosen)):
-            raise ValueError("An included column is no longer available. Preview the join again.")
-        for f in table.fields:
-            if chosen is None or f.name in chosen:
-                put(side, prefix, f.name, f.name, f.kind)
-    if options.left_id:
-        put("left", left_name, left.id, "@id", STRING)
-    if options.right_id:
-        put("right", right_name, right.id, "@id", STRING)
-    put("left", left_name, left.lon, "@longitude", NUMBER)
-    put("left", left_name, left.lat, "@latitude", NUMBER)
-    if options.right_coordinates:
-        put("right", right_name, right.lon, "@longitude", NUMBER)
-        put("right", right_name, right.lat, "@latitude", NUMBER)
+    """Result columns as ``(side, source column, result name, kind)``: attributes, ids, places; each left first."""
+    titles = [name.strip() or f"Dataset {i}" for i, name in enumerate((options.left_name, options.right_name), 1)]
+    if titles[0] == titles[1]:
+        titles[1] += " (2)"
+    sides = (_Side("left", left, titles[0], options.left_columns, options.left_id, True),
+             _Side("right", right, titles[1], options.right_columns, options.right_id, options.right_coordinates))
+    taken: list[str] = []
+    out = []
+    for side, source, wanted, kind in [c for part in (_Side.attributes, _Side.identity, _Side.place) for s in sides for c in part(s)]:
+        taken.append(unique_name(wanted, taken))
+        out.append((side, source, taken[-1], kind))
     return out
 
 
@@ -187,7 +198,7 @@ def join_guard(report: DataFrame, options: JoinOptions) -> int:
     rows = report.first()["output_rows"]
     if rows == 0:
         raise ValueError("The join produced no rows. Choose different fields or use a left join.")
-    if rows > options.max_rows:
+    if options.max_rows is not None and rows > options.max_rows:
         raise ValueError(f"Join would create {rows:,} rows, above the {options.max_rows:,} row limit. "
                          "Review duplicate keys or increase Maximum output rows.")
     return rows

@@ -263,3 +263,11 @@ def test_thinning_takes_one_row_per_block(table):
     assert len(kept) == 13 and all(k // 8 == i for i, k in enumerate(kept))
     assert stride_sample(t, 1).count() == 100 and thinning_stride(10_000_000, 1000, 1000) == 1000 and thinning_stride(100, 10, 10) == 1
     assert axis_for(t, "n").size == 24
+
+
+def test_numbers_that_are_not_finite_never_match(table):
+    rows = [(float("nan"),), (float("inf"),), (float("-inf"),), (0.0,), (None,)]
+    left, right = table("k double", rows), table("k double", [*rows, (-0.0,)])
+    left, right = (t.with_df(t.df.withColumn("k", table.F.when(table.F.col("row_id") == 0, table.F.lit(float("nan"))).otherwise(table.F.col("k")))) for t in (left, right))
+    options = JoinOptions("k", "k")
+    assert join_report(left, right, options).first()["output_rows"] == 2 and join_inner(left, right, options).count() == 2
