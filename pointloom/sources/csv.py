@@ -108,7 +108,10 @@ def _number_lines(lines: DataFrame, patterns: _Patterns) -> tuple[DataFrame, Dat
     per_block = lines.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("lines"), F.min("at").alias("first"),
         F.min(F.when(filled, F.col("at"))).alias("filled"), F.min_by("value", F.when(filled, F.col("at"))).alias("head"),
-        F.bool_or(F.col("opens") | ~F.col("stays")).alias("spans"))
+        F.bool_or(F.col("opens") | ~F.col("stays")).alias("spans"),
+        F.bool_or(~F.is_valid_utf8("value")).alias("damaged"),
+        # Inside quotes a carriage return is text; elsewhere it would be a line end that is not seen.
+        F.bool_or(~F.contains("value", F.lit('"')) & F.rlike("value", F.lit("\r[^\r]"))).alias("bare_returns"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     base = F.coalesce(F.sum("lines").over(earlier), F.lit(0))
@@ -120,7 +123,12 @@ def _number_lines(lines: DataFrame, patterns: _Patterns) -> tuple[DataFrame, Dat
         .withColumn("file_no", (F.dense_rank().over(Window.orderBy("file")) - 1).cast("bigint")))
     size = blocks.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_or("spans"), F.lit(False)).alias("spans"),
+        F.min(F.when(F.col("damaged"), F.col("file"))).alias("damaged"), F.min(F.when(F.col("bare_returns"), F.col("file"))).alias("bare_returns"),
         F.countDistinct(F.when(F.col("filled") == F.col("header"), F.rtrim("head", F.lit("\r")))).alias("heads")).first()
+    if size["damaged"]:
+        raise LoadError(f"{size['damaged']} holds bytes that are not UTF-8")
+    if size["bare_returns"]:
+        raise LoadError(f"{size['bare_returns']} ends lines with a carriage return alone; convert them to line feeds first")
     if size["heads"] > 1:
         raise LoadError("CSV files of one load need the same header.")
     starts = hint_if_small(blocks.select("file", "block", "first", "base", "header", "file_no"), size["n"])
