@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.colors import (COLOR_COUNT, DEFAULT_SCHEME, MISSING_COLOR, base_color, gradient_hex, hex_color,
                                 is_hex_color)
 from ..functions.scales import LINEAR, LOG10
-from ..session import BROADCAST_ROWS, checkpoint, hint_if_small
+from ..session import hint_if_small
 from ..table import NUMBER, STRING, PointTable
 from .axes import Axis, axis_for
 from .ordering import with_position
@@ -44,24 +45,42 @@ def category_palette(table: PointTable, name: str, overrides: Mapping[str, str]
 def settle_codes(ranked: DataFrame) -> DataFrame:
     """Give clashing codes the next free one, earlier ranks first.
 
-    Every value asks for its code; the lowest rank that asks keeps it and the others
-    ask for the next. Asking only ever moves forward, so when nobody clashes the
-    result equals handing codes out one by one in rank order.
+    Which codes end up taken does not depend on the order, so runs of taken codes follow
+    from running sums over the codes asked for, on a circle. Values of one run are then
+    placed by rank in one pass. Codes are at most 2^24, which bounds every run.
     """
     first = ranked.where(F.col("rank") < COLOR_COUNT)
     late = ranked.where(F.col("rank") >= COLOR_COUNT)
-    current = first
-    while True:
-        keepers = current.groupBy("code").agg(F.min("rank").alias("keeper"), F.count(F.lit(1)).alias("asking"))
-        clashes = keepers.where(F.col("asking") > 1).drop("asking")
-        found = clashes.count()
-        if found == 0:
-            break
-        moved = current.join(hint_if_small(clashes, found, BROADCAST_ROWS), "code", "left")
-        next_code = F.when(F.col("keeper") < F.col("rank"), (F.col("code") + 1) % COLOR_COUNT).otherwise(F.col("code"))
-        current = checkpoint(moved.select("value", "rank", next_code.alias("code")))
+    asked = first.groupBy(F.col("code").cast("bigint").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    # Two laps, so that a run over the end of the circle is seen whole in the second.
+    laps = asked.unionByName(asked.withColumn("at", F.col("at") + COLOR_COUNT))
+    so_far = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = laps.withColumn("before", F.sum("n").over(so_far) - F.col("n")).withColumn(
+        "end", F.max(F.col("at") - F.col("before")).over(so_far) + F.col("before") + F.col("n"))
+    starts = F.when(F.col("at") >= F.coalesce(F.lag("end").over(Window.orderBy("at")), F.lit(0)), F.col("at"))
+    runs = (ends.withColumn("start", starts).withColumn("run", F.last("start", ignorenulls=True).over(so_far) % COLOR_COUNT)
+            .where(F.col("at") >= COLOR_COUNT).select((F.col("at") - COLOR_COUNT).alias("base"), "run"))
+    placed = first.join(runs, F.col("code") == F.col("base"))
+    value = ranked.schema["value"].dataType.simpleString()
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank")
+        following: dict[int, int] = {}
+        out = []
+        for code in rows["code"].tolist():
+            passed = []
+            while code in following:
+                passed.append(code)
+                code = following[code]
+            for p in passed:
+                following[p] = code
+            out.append(code)
+            following[code] = (code + 1) % COLOR_COUNT
+        return pd.DataFrame({"value": rows["value"], "rank": rows["rank"], "code": out})
+
+    settled = placed.groupBy("run").applyInPandas(settle, f"value {value}, rank bigint, code bigint")
     # Beyond 2^24 values there is no free colour left and clashes are allowed.
-    return current.unionByName(late)
+    return settled.unionByName(late.select("value", "rank", F.col("code").cast("bigint")))
 
 
 def category_color(table: PointTable, name: str, overrides: Mapping[str, str] | None = None) -> DataFrame:
