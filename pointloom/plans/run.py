@@ -8,17 +8,19 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.charts import ChartSpec, default_charts, run_charts
+from ..functions.colors import DEFAULT_SCHEME, MISSING_COLOR
+from ..operators.charts import ChartSpec, default_charts, run_charts, scatter_raw
+from ..operators.coloring import category_color, gradient_color
 from ..operators.expressions import applied
 from ..operators.integrity import load_report
-from ..operators.series import Series, combine_series
+from ..operators.series import Series, combine_raw, combine_series
 from ..operators.timeline import pick_time_field, relative_window, timeline_extent
 from ..sources.bounds import LoadBounds
 from ..sources.config import SourceConfig
-from ..sources.csv import load_csv
+from ..sources.csv import CsvLoad, load_csv
 from ..sources.service import Fetch, check_service_load, http_fetch, read_feature_service
 from ..sinks.export import write_points
-from ..table import PointTable
+from ..table import STRING, PointTable
 from .spec import AnalysisSpec, SavedChart, SourceAnalysis, schema_compatible
 
 
@@ -27,7 +29,9 @@ class AnalysisRun:
     """Tables, selections and results of one run, by source id.
 
     ``results`` holds all single-table charts of a source, which share one scan;
-    ``charts`` picks one chart out of them, or a comparison of several sources.
+    ``charts`` picks one chart out of them, or a comparison of several sources, or the
+    rows of an unbinned scatter. ``colors`` holds the colour of every row of a source,
+    ``imports`` what a CSV load accepted and rejected.
     """
 
     tables: dict[str, PointTable]
@@ -36,6 +40,8 @@ class AnalysisRun:
     results: dict[str, DataFrame] = field(default_factory=dict)
     charts: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     skipped_filters: list[str] = field(default_factory=list)
+    colors: dict[str, DataFrame] = field(default_factory=dict)
+    imports: dict[str, CsvLoad] = field(default_factory=dict)
 
 
 def resolve_bounds(spec: AnalysisSpec, now: datetime | None = None) -> LoadBounds:
@@ -47,12 +53,18 @@ def resolve_bounds(spec: AnalysisSpec, now: datetime | None = None) -> LoadBound
 
 def load_source(spark: SparkSession, config: SourceConfig, bounds: LoadBounds, path: str,
                 fetch: Callable[[SourceConfig], Fetch] | None = None,
-                described: Mapping[str, str] | None = None) -> PointTable:
-    """Load one source under its bounds and rules and write it, so that queries read Parquet."""
+                described: Mapping[str, str] | None = None, imports: dict[str, CsvLoad] | None = None) -> PointTable:
+    """Load one source under its bounds and rules and write it, so that queries read Parquet.
+
+    What a CSV load reports is put into ``imports``.
+    """
     if config.type == "csv":
-        return write_points(load_csv(spark, config, bounds).table, path)
+        loaded = load_csv(spark, config, bounds)
+        if imports is not None:
+            imports[config.id] = loaded
+        return write_points(loaded.table, path)
     answer = fetch(config) if fetch else http_fetch(config.url)
-    load = read_feature_service(spark, config, answer, bounds, (described or {}).get(config.id))
+    load = read_feature_service(spark, config, answer, bounds, (described or {}).get(config.id), folder=f"{path}-pages")
     saved = write_points(load.table, path)
     check_service_load(replace(load, table=saved))
     return saved
@@ -71,7 +83,7 @@ def run_tables(spec: AnalysisSpec, tables: Mapping[str, PointTable]) -> Analysis
             run.skipped_filters.append(source)
         time = pick_time_field(table.fields, table.time_field)
         run.selections[source] = applied(table, expression, window=spec.window, time_field=time or None, box=spec.box)
-        run.reports[source] = load_report(table, configs[source].limit if source in configs else -1)
+        run.reports[source] = load_report(table, configs[source].limit if source in configs and configs[source].type == "service" else None)
     for source, table in tables.items():
         a = analyses.get(source, SourceAnalysis(source))
         saved = a.charts or tuple(SavedChart(c) for c in default_charts(table.fields))
@@ -84,13 +96,30 @@ def run_tables(spec: AnalysisSpec, tables: Mapping[str, PointTable]) -> Analysis
         for c in saved:
             if c.series:
                 run.charts[source, c.spec.id] = _compare(run, source, c)
+            elif not c.spec.binned:
+                s = c.spec
+                run.charts[source, s.id] = scatter_raw(table, s.x, s.y, s.x_scale, s.y_scale, predicate=run.selections[source]).rows
+        if source in spec.coloring:
+            run.colors[source] = _colored(table, spec.coloring[source])
     return run
 
 
+def _colored(table: PointTable, saved: Mapping) -> DataFrame:
+    """``row`` and ``color`` as the saved colouring gives them."""
+    name = saved.get("field", "")
+    if not name:
+        return table.df.select(table.col(table.row).alias("row"), F.lit(saved.get("color", MISSING_COLOR)).alias("color"))
+    if table.field(name).kind == STRING:
+        return category_color(table, name, saved.get("overrides")).select("row", "color")
+    return gradient_color(table, name, saved.get("bins", 24), saved.get("scale", "linear"), saved.get("scheme", DEFAULT_SCHEME)).select("row", "color")
+
+
 def _compare(run: AnalysisRun, source: str, chart: SavedChart) -> DataFrame:
     spec: ChartSpec = chart.spec
     members = [(source, spec.x, spec.y)] + [(s.source, s.x, s.y) for s in chart.series if s.source in run.tables]
     series = [Series(i, run.tables[i], x, y, run.selections[i]) for i, x, y in members]
+    if not spec.binned:
+        return combine_raw(series, spec.x_scale, spec.y_scale, chart.hidden)
     return combine_series(spec, series, chart.hidden)
 
 
@@ -99,9 +128,12 @@ def run_analysis(spark: SparkSession, spec: AnalysisSpec, folder: str, *, now: d
                  described: Mapping[str, str] | None = None) -> AnalysisRun:
     """Load every enabled source into ``folder`` and run the analysis on it."""
     bounds = resolve_bounds(spec, now)
-    tables = {s.id: load_source(spark, s, bounds, f"{folder}/{i}", fetch, described)
+    imports: dict[str, CsvLoad] = {}
+    tables = {s.id: load_source(spark, s, bounds, f"{folder}/{i}", fetch, described, imports)
               for i, s in enumerate(spec.sources, 1) if s.enabled}
-    return run_tables(spec, tables)
+    run = run_tables(spec, tables)
+    run.imports.update(imports)
+    return run
 
 
 def timeline_extents(run: AnalysisRun) -> dict[str, DataFrame]:

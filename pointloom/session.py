@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Lets AQE split hot keys of outer joins even when that adds a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Generated methods above this size are never compiled by the JVM; smaller pieces are.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Rows split by outcome go to a few open files instead of being sorted first.
     "spark.sql.maxConcurrentOutputFileWriters": "8",
 }
