@@ -48,16 +48,17 @@ def unscale_value(v: float, scale: str) -> float:
 
 
 def axis_bounds(low: float | None, high: float | None, scale: str = LINEAR, date: bool = False) -> tuple[float, float]:
-    """Bounds of an unbinned axis; a constant domain is padded so that it has width."""
-    ends = [scale_value(v, scale) if v is not None else math.nan for v in (low, high)]
-    if not all(map(math.isfinite, ends)):
-        return (1.0, 10.0) if scale == LOG10 else (0.0, 1.0)
-    if low != high:
+    """Bounds of an unbinned axis. A domain of one value is widened to both sides; without a domain a default stands in."""
+    default = {LOG10: (1.0, 10.0)}.get(scale, (0.0, 1.0))
+    if low is None or high is None or not (math.isfinite(scale_value(low, scale)) and math.isfinite(scale_value(high, scale))):
+        return default
+    if low < high or low > high:
         return low, high
-    if scale == LOG10:
-        return max(MIN_DOUBLE, low / math.sqrt(10)), min(MAX_DOUBLE, high * math.sqrt(10))
-    pad = 1000.0 if date else max(1.0, abs(low) * 0.05)
-    return max(-MAX_DOUBLE, low - pad), min(MAX_DOUBLE, high + pad)
+    root = math.sqrt(10)
+    wide = 1000.0 if date else max(1.0, abs(low) * 0.05)
+    below, above = (low / root, low * root) if scale == LOG10 else (low - wide, low + wide)
+    least = MIN_DOUBLE if scale == LOG10 else -MAX_DOUBLE
+    return max(least, below), min(MAX_DOUBLE, above)
 
 
 def normalize_axis(v: Column, low: float, high: float) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, functions as F
@@ -144,32 +143,55 @@ def natural_key(text: Column) -> Column:
 
 # The same rules for single literals on the driver.
 
-_TIME = re.compile(r"^(\d{4})-(\d{2})-(\d{2})(?:[Tt ](\d{2}):(\d{2})(?::(\d{2})(\.\d{1,9})?)?)?([Zz]|[+-]\d{2}:?\d{2})?$",
-                   re.ASCII)
-_EPOCH = datetime(1970, 1, 1)
-_CYCLE_MS = 146097 * 86400000  # 400 Gregorian years, which moves year 0 into Python's range
+_CYCLE = timedelta(days=146097)  # 400 Gregorian years, which moves year 0 into Python's range
+
+
+def _digits(text: str, *widths: int) -> bool:
+    return len(text) in widths and text.isascii() and text.isdigit()
+
+
+def _zone(text: str) -> timedelta | None:
+    """The offset that a zone text stands for."""
+    if text in ("", "Z", "z"):
+        return timedelta(0)
+    body = text[1:].replace(":", "", 1) if text[3:4] == ":" else text[1:]
+    if text[0] not in "+-" or not _digits(body, 4):
+        return None
+    offset = timedelta(hours=int(body[:2]), minutes=int(body[2:]))
+    return None if body[2:] > "59" or offset > timedelta(hours=14) else offset if text[0] == "+" else -offset
+
+
+def _clock(text: str) -> timedelta | None:
+    """Time of day from ``hh:mm``, ``hh:mm:ss`` or that with up to nine decimals; whole milliseconds count."""
+    whole, dot, decimals = text.partition(".")
+    parts = whole.split(":")
+    if len(parts) not in (2, 3) or not all(_digits(p, 2) for p in parts) or dot and not (len(parts) == 3 and _digits(decimals, *range(1, 10))):
+        return None
+    numbers = [int(p) for p in parts] + [0]
+    if numbers[0] > 23 or max(numbers[1:]) > 59:
+        return None
+    return timedelta(hours=numbers[0], minutes=numbers[1], seconds=numbers[2], milliseconds=int((decimals + "000")[:3]))
 
 
 def parse_utc_millis(text: str) -> int | None:
-    """Epoch milliseconds of a time literal, or None."""
-    found = _TIME.match(text.strip())
-    if not found:
+    """Epoch milliseconds of a time literal, or None: a date, and by choice a clock and a zone behind it."""
+    text = text.strip()
+    day, rest = text[:10], text[10:]
+    if not (_digits(day[:4], 4) and day[4:5] == day[7:8] == "-" and _digits(day[5:7], 2) and _digits(day[8:], 2)):
+        return None
+    clock = timedelta(0)
+    if rest[:1] in ("T", "t", " "):
+        ends = [i for i in map(rest.find, "Zz+-") if i > 0]
+        at = min(ends, default=len(rest))
+        clock, rest = _clock(rest[1:at]), rest[at:]
+    zone = _zone(rest)
+    if clock is None or zone is None:
         return None
-    year, month, day, hour, minute, second = (int(g or 0) for g in found.groups()[:6])
-    fraction = ((found.group(7) or ".0")[1:] + "000")[:3]
     try:
-        stamp = datetime(year + 400, month, day, hour, minute, second)
+        date = datetime(int(day[:4]) + 400, int(day[5:7]), int(day[8:]))
     except ValueError:
         return None
-    millis = (stamp - _EPOCH) // timedelta(milliseconds=1) - _CYCLE_MS + int(fraction)
-    zone = found.group(8) or "Z"
-    if zone in "Zz":
-        return millis
-    digits = zone[1:].replace(":", "")
-    hours, minutes = int(digits[:2]), int(digits[2:])
-    if minutes > 59 or hours * 60 + minutes > 14 * 60:
-        return None
-    return millis - (1 if zone[0] == "+" else -1) * (hours * 60 + minutes) * 60000
+    return (date - datetime(1970, 1, 1) - _CYCLE + clock - zone) // timedelta(milliseconds=1)
 
 
 def iso_from_millis(millis: int) -> str:
