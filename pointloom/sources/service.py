@@ -15,7 +15,6 @@ import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
-from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -64,10 +63,6 @@ def http_fetch(base: str, timeout: float = 45.0) -> Fetch:
     return fetch
 
 
-def _xml(text: str) -> str:
-    return escape(text, {'"': "&quot;", "'": "&apos;"})
-
-
 @dataclass(frozen=True)
 class QueryFields:
     """How the service itself names the time, the geometry and the attributes."""
@@ -78,48 +73,71 @@ class QueryFields:
     attributes: Mapping[str, str] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class _Words:
+    """The filter vocabulary of one protocol version, as elements."""
+
+    prefix: str
+    old: bool
+
+    def element(self, name: str, *inside: ET.Element, text: str | None = None, **attributes: str) -> ET.Element:
+        made = ET.Element(f"{self.prefix}:{name}", attributes)
+        made.text = text
+        made.extend(inside)
+        return made
+
+    def name(self, text: str) -> ET.Element:
+        return self.element("ValueReference" if self.prefix == "fes" else "PropertyName", text=text)
+
+    def compare(self, op: str, name: str, value: str) -> ET.Element:
+        return self.element(COMPARISONS[op], self.name(name), self.element("Literal", text=value))
+
+    def rule(self, rule: Mapping, name: str) -> ET.Element:
+        op = rule["op"]
+        if op in ("null", "notnull"):
+            missing = self.element("PropertyIsNull", self.name(name))
+            return missing if op == "null" else self.element("Not", missing)
+        value = load_rule_literal(rule)
+        if op != "contains":
+            return self.compare(op, name, value)
+        # Every character with a meaning in the pattern is escaped; the text may stand anywhere.
+        pattern = "*" + "".join(f"!{c}" if c in "!*?" else c for c in value) + "*"
+        how = {"wildCard": "*", "singleChar": "?", "escape" if self.old else "escapeChar": "!", "matchCase": "true"}
+        return self.element("PropertyIsLike", self.name(name), self.element("Literal", text=pattern), **how)
+
+    def box(self, name: str, box: Sequence[float]) -> ET.Element:
+        corners = [" ".join(f"{v:.15g}" for v in box[i:i + 2]) for i in (0, 2)]
+        if self.old:
+            area = ET.Element("gml:Box", srsName="EPSG:4326")
+            ET.SubElement(area, "gml:coordinates").text = " ".join(c.replace(" ", ",") for c in corners)
+        else:
+            area = ET.Element("gml:Envelope", srsName=CRS84)
+            for tag, corner in zip(("gml:lowerCorner", "gml:upperCorner"), corners):
+                ET.SubElement(area, tag).text = corner
+        return self.element("BBOX", self.name(name), area)
+
+
 def push_service_filter(version: str, bounds: LoadBounds, names: QueryFields, rules: Sequence[Mapping] = ()) -> str | None:
     """Load rules, time range and box as one filter document for the service, or None."""
-    prefix = "fes" if version == "2.0.0" else "ogc"
-    tag = lambda name, body: f"<{prefix}:{name}>{body}</{prefix}:{name}>"
-    ref = lambda name: tag("ValueReference" if prefix == "fes" else "PropertyName", _xml(name))
-    literal = lambda text: tag("Literal", _xml(text))
+    words = _Words("fes" if version == "2.0.0" else "ogc", version == "1.0.0")
     bounds.check()
-    tests = []
-    for r in validate_load_rules(rules):
-        target = ref(names.attributes.get(r["field"], r["field"]))
-        if r["op"] in ("null", "notnull"):
-            test = tag("PropertyIsNull", target)
-            tests.append(test if r["op"] == "null" else tag("Not", test))
-        elif r["op"] == "contains":
-            wanted = re.sub(r"([!*?])", r"!\1", load_rule_literal(r))
-            escaping = "escape" if version == "1.0.0" else "escapeChar"
-            tests.append(f'<{prefix}:PropertyIsLike wildCard="*" singleChar="?" {escaping}="!" matchCase="true">'
-                         f'{target}{literal(f"*{wanted}*")}</{prefix}:PropertyIsLike>')
-        else:
-            tests.append(tag(COMPARISONS[r["op"]], target + literal(load_rule_literal(r))))
+    if bounds.time and not names.time:
+        raise LoadError("A time range needs a time attribute: set time_field or load all times")
+    if bounds.box and not names.geometry:
+        raise LoadError("A box needs a geometry attribute: set geometry_field")
+    tests = [words.rule(r, names.attributes.get(r["field"], r["field"])) for r in validate_load_rules(rules)]
     if bounds.time:
-        if not names.time:
-            raise LoadError("Choose a time attribute in the source settings, or select All time.")
-        tests += [tag(COMPARISONS[op], ref(names.time) + literal(iso_from_millis(at)))
-                  for op, at in zip(("gte", "lte"), bounds.millis())]
+        first, last = map(iso_from_millis, bounds.millis())
+        tests += [words.compare("gte", names.time, first), words.compare("lte", names.time, last)]
     if bounds.box:
-        if not names.geometry:
-            raise LoadError("Choose a geometry attribute in the source settings.")
-        west, south, east, north = (format(v, ".15g") for v in bounds.box)
-        if version == "1.0.0":
-            area = f'<gml:Box srsName="EPSG:4326"><gml:coordinates>{west},{south} {east},{north}</gml:coordinates></gml:Box>'
-        else:
-            area = (f'<gml:Envelope srsName="{CRS84}"><gml:lowerCorner>{west} {south}</gml:lowerCorner>'
-                    f'<gml:upperCorner>{east} {north}</gml:upperCorner></gml:Envelope>')
-        tests.append(tag("BBOX", ref(names.geometry) + area))
+        tests.append(words.box(names.geometry, bounds.box))
     if not tests:
         return None
-    reserved = {"fes", "ogc", "gml", "xml", "xmlns"}
-    extra = "".join(f' xmlns:{k}="{_xml(v)}"' for k, v in names.namespaces.items()
-                    if re.fullmatch(r"[A-Za-z_][\w.-]*", k) and k not in reserved)
-    body = tests[0] if len(tests) == 1 else tag("And", "".join(tests))
-    return f'<{prefix}:Filter xmlns:{prefix}="{FILTER_NS[prefix]}" xmlns:gml="{GML_NS[prefix]}"{extra}>{body}</{prefix}:Filter>'
+    own = {words.prefix: FILTER_NS[words.prefix], "gml": GML_NS[words.prefix]}
+    usable = {k: v for k, v in names.namespaces.items() if k not in {*FILTER_NS, "gml", "xml", "xmlns"} and re.fullmatch(r"[^\W\d][\w.-]*", k, re.ASCII)}
+    spaces = {f"xmlns:{k}": v for k, v in {**own, **usable}.items()}
+    body = tests if len(tests) == 1 else [words.element("And", *tests)]
+    return ET.tostring(words.element("Filter", *body, **spaces), encoding="unicode")
 
 
 # --- schema and catalog ---------------------------------------------------
