@@ -43,7 +43,7 @@ def mercator_y(lat: Column) -> Column:
 def mercator_point(lon: float, lat: float) -> tuple[float, float]:
     """Driver-side projection of one map position."""
     if not (math.isfinite(lon) and math.isfinite(lat) and abs(lon) <= 180 and abs(lat) <= 90):
-        raise ValueError(f"Coordinate is invalid: longitude {lon}, latitude {lat}")
+        raise ValueError(f"Outside the globe: longitude {lon}, latitude {lat}")
     lat = max(-MAX_MERCATOR_LATITUDE, min(MAX_MERCATOR_LATITUDE, lat))
     y = (1 - math.log(math.tan(math.pi / 4 + lat * math.pi / 360)) / math.pi) / 2
     return (lon + 180) / 360, max(0.0, min(1.0, y))

@@ -127,7 +127,7 @@ def chart_domain(table: PointTable, name: str) -> Domain:
 def shared_domain(domains: Sequence[Domain]) -> Domain:
     """The union of domains of one kind, for axes shared by several tables."""
     if not domains or any(d.kind != domains[0].kind for d in domains):
-        raise ValueError("Each shared axis must use the same attribute type across all sources.")
+        raise ValueError("The attributes of a shared axis are of different kinds")
 
     def extreme(pick, values):
         present = [v for v in values if v is not None]
@@ -253,7 +253,7 @@ def build_axis(name: str, domain: Domain, bins: int = 24, scale: str = LINEAR, s
     if isinstance(bins, bool) or not isinstance(bins, int) or not 2 <= bins <= MAX_BINS:
         raise ValueError("Invalid chart configuration")
     if scale == LOG10 and domain.kind != NUMBER:
-        raise ValueError("Log10 axes require numeric attributes")
+        raise ValueError("Only numbers have a logarithmic axis")
     if domain.kind == STRING:
         other = shared or domain.more
         return Axis(name, STRING, (*domain.labels, *([OTHER] if other else [])), values=domain.labels, other=other)

@@ -75,19 +75,19 @@ def check_spec(spec: ChartSpec, table: PointTable) -> None:
     kind = table.field(spec.x).kind
     check_scale(spec.x_scale), check_scale(spec.y_scale)
     if spec.type == "time" and kind != DATE:
-        raise ValueError("Time series requires a date attribute")
+        raise ValueError(f"{spec.x} is not a time, so it has no series")
     if spec.type == "scatter" and not (spec.y and table.has(spec.y)):
-        raise ValueError("Scatter axes require known attributes")
+        raise ValueError("A scatter chart needs two attributes of the table")
     if spec.type == "time" and (spec.aggregate not in AGGREGATES
                                 or (spec.aggregate != "count" and not (spec.y and table.has(spec.y, NUMBER)))):
-        raise ValueError("Time series Y requires a numeric attribute and aggregation")
+        raise ValueError("The values of a series are numbers, summed up by a known aggregate")
 
 
 def prepare(table: PointTable, specs: Sequence[ChartSpec],
             domains: dict[str, tuple[Domain, Domain | None]] | None = None) -> list[Chart]:
     """Axes for all charts. Domains that are not given are profiled together."""
     if len(specs) > MAX_CHARTS:
-        raise ValueError(f"Up to {MAX_CHARTS} charts are supported")
+        raise ValueError(f"More than {MAX_CHARTS} charts")
     for s in specs:
         check_spec(s, table)
     given = domains or {}

@@ -86,7 +86,7 @@ def settle_codes(ranked: DataFrame) -> DataFrame:
 def category_color(table: PointTable, name: str, overrides: Mapping[str, str] | None = None) -> DataFrame:
     """Colour of every row by its text value; missing values are grey."""
     if table.field(name).kind != STRING:
-        raise ValueError("Category colours require a text attribute")
+        raise ValueError(f"{name} is not text, so it has no category colours")
     palette = category_palette(table, name, overrides).select("value", "color")
     rows = table.df.select(table.col(table.row).alias("row"), table.col(name).alias("value"))
     palette = hint_if_small(palette, palette.count())
@@ -96,7 +96,7 @@ def category_color(table: PointTable, name: str, overrides: Mapping[str, str] |
 def color_codes(table: PointTable, name: str, bins: int, scale: str = LINEAR) -> DataFrame:
     """Bin code of every row for a numeric ramp; 255 marks rows without a place."""
     if table.field(name).kind != NUMBER:
-        raise ValueError("Gradients require a numeric field")
+        raise ValueError(f"{name} is not a number, so it has no ramp")
     if isinstance(bins, bool) or not isinstance(bins, int) or not 2 <= bins <= 64:
         raise ValueError("Invalid colour bins")
     axis = axis_for(table, name, bins, scale)
@@ -126,7 +126,7 @@ def visibility_key(table: PointTable, name: str, bins: int = 24, scale: str = LI
     elif kind == NUMBER:
         key = F.concat(F.lit("bin:"), axis_for(table, name, bins, scale).bin(table).cast("string"))
     else:
-        raise ValueError("Map visibility requires a numeric or text colour field")
+        raise ValueError(f"{name} is neither a number nor text, so its rows cannot be hidden by colour")
     return F.coalesce(key, F.lit("missing"))
 
 

@@ -33,9 +33,9 @@ class EllipseConfig:
     def __post_init__(self):
         chosen = [bool(v) for v in (self.major, self.minor, self.orientation)]
         if any(chosen) and not all(chosen):
-            raise ValueError("Choose all three ellipse fields, or clear them to disable ellipses.")
+            raise ValueError("Ellipses need both axes and an angle, or none of them")
         if self.major_unit not in UNITS or self.minor_unit not in UNITS:
-            raise ValueError("Ellipse axis units must be metres or nautical miles.")
+            raise ValueError(f"Units of ellipse axes are {UNITS}")
 
 
 def ellipse_params(table: PointTable, config: EllipseConfig) -> DataFrame:
@@ -70,7 +70,7 @@ def ellipse_samples(vertices: int, aspect: float) -> np.ndarray:
     the sample angles are equal steps of its cumulative sum.
     """
     if isinstance(vertices, bool) or not isinstance(vertices, int) or not MIN_VERTICES <= vertices <= MAX_VERTICES:
-        raise ValueError(f"Ellipse vertices must be a whole number from {MIN_VERTICES} to {MAX_VERTICES}.")
+        raise ValueError(f"An outline has {MIN_VERTICES} to {MAX_VERTICES} vertices")
     ratio = min(2.0 ** MAX_ASPECT_LOG2, max(1.0, aspect))
     middles = (np.arange(CDF_STEPS) + 0.5) * (2 * np.pi / CDF_STEPS)
     density = 1 / np.sqrt(np.hypot(ratio * np.sin(middles), np.cos(middles)))

@@ -128,9 +128,9 @@ def field_predicate(c: Column, field: Field, node: dict) -> Column:
     if op in SETS:
         values = node.get("values")
         if field.kind != STRING:
-            raise ValueError("Category sets require a text attribute")
+            raise ValueError("in and notin work on text only")
         if not isinstance(values, (list, tuple)):
-            raise ValueError("Missing category values")
+            raise ValueError("in and notin need a list of values")
         if not values:
             return F.lit(False) if op == "in" else c.isNotNull()
         return c.isin(*values) if op == "in" else ~c.isin(*values)
@@ -140,7 +140,7 @@ def field_predicate(c: Column, field: Field, node: dict) -> Column:
     value = str(value)
     if op == "contains":
         if field.kind != STRING:
-            raise ValueError("Contains requires a text attribute")
+            raise ValueError("contains works on text only")
         return F.contains(c, F.lit(value))
     if field.kind == STRING:
         return COMPARE[op](c, F.lit(value))
@@ -172,7 +172,7 @@ def compile_expression(table: PointTable, expression: dict) -> Column:
         nonlocal nodes
         nodes += 1
         if nodes > MAX_NODES or depth > MAX_DEPTH:
-            raise ValueError(f"Filters support up to {MAX_NODES} nodes and {MAX_DEPTH} levels of nesting")
+            raise ValueError(f"A filter has at most {MAX_NODES} nodes in {MAX_DEPTH} levels")
         if not isinstance(node, dict):
             raise ValueError("Invalid filter group")
         op = node.get("op")
@@ -215,7 +215,7 @@ def timeline_window(table: PointTable, field: str | None, start: int, end: int)
         return F.lit(True)
     kind = table.field(field).kind
     if kind not in (DATE, STRING):
-        raise ValueError("Choose a date/time attribute for the timeline.")
+        raise ValueError("A timeline needs a time attribute")
     c = table.col(field).cast("timestamp") if kind == DATE else parse_utc(table.col(field))
     return (c >= timestamp(start)) & (c < timestamp(end + 1))
 
@@ -240,7 +240,7 @@ def applied(table: PointTable, expression: dict | None = None, *, window: tuple[
 def applied_scope(table: PointTable, scope: str, predicate: Column | None) -> PointTable:
     """Rows an operation works on: everything loaded, or the current selection."""
     if scope not in ("loaded", "applied"):
-        raise ValueError("Choose a valid input scope")
+        raise ValueError(f"Unknown scope {scope!r}")
     if scope == "loaded" or predicate is None:
         return table
     return table.with_df(table.df.where(predicate))
@@ -265,14 +265,14 @@ def load_rule_literal(r: dict) -> str:
         try:
             return literal_text(number_literal(value))
         except ValueError as error:
-            raise ValueError(f'Enter a finite number for "{r["field"]}".') from error
+            raise ValueError(f"{r['field']}: not a finite number") from error
     if kind == BOOLEAN:
         if value not in ("true", "false"):
-            raise ValueError(f'Choose true or false for "{r["field"]}".')
+            raise ValueError(f"{r['field']}: neither true nor false")
         return value
     millis = parse_utc_millis(value)
     if millis is None:
-        raise ValueError(f'Enter a valid UTC date/time for "{r["field"]}".')
+        raise ValueError(f"{r['field']}: not a time")
     return iso_from_millis(millis)
 
 
@@ -280,7 +280,7 @@ def validate_load_rules(rules: Iterable[dict], fields: Sequence[Field] | None =
     """Check a list of load rules, against a schema when one is given."""
     rules = list(rules)
     if len(rules) > MAX_LOAD_RULES:
-        raise ValueError(f"Load rules must contain at most {MAX_LOAD_RULES} rules.")
+        raise ValueError(f"More than {MAX_LOAD_RULES} load rules")
     for r in rules:
         name, kind, op, value = r.get("field"), r.get("kind"), r.get("op"), r.get("value")
         shaped = (set(r) <= {"field", "kind", "op", "value"} and isinstance(name, str) and name.strip()
@@ -290,10 +290,10 @@ def validate_load_rules(rules: Iterable[dict], fields: Sequence[Field] | None =
         if not shaped:
             raise ValueError("Invalid load rule.")
         if fields is not None and Field(name, kind) not in fields:
-            raise ValueError(f'Load rule field "{name}" is missing or its type changed.')
+            raise ValueError(f"A load rule is about {name}, which is not there or of another kind")
         if op not in MISSING_TESTS:
             if value is None:
-                raise ValueError("Enter a value for the load rule.")
+                raise ValueError(f"The load rule about {name} has no value")
             load_rule_literal(r)
     return rules
 

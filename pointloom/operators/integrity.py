@@ -26,7 +26,7 @@ def check_duplicate_ids(table: PointTable) -> None:
     """Fail the load on the first repeated id."""
     found = duplicate_ids(table).limit(1).collect()
     if found:
-        raise LoadError(f"Repeated feature ID {found[0]['id']}: pages overlap. Use a stable sort field.")
+        raise LoadError(f"Repeated feature ID {found[0]['id']}: pages overlap, so the service needs a sort field that is stable")
 
 
 def page_signatures(features: DataFrame, page: str, order: str, columns: Sequence[str]) -> DataFrame:
@@ -85,8 +85,7 @@ def bad_coordinates(table: PointTable) -> DataFrame:
 def check_coordinates(table: PointTable) -> None:
     found = bad_coordinates(table).select(table.col(table.lon).alias("lon"), table.col(table.lat).alias("lat")).limit(1).collect()
     if found:
-        raise LoadError(f"Coordinate is invalid: longitude {found[0]['lon']}, latitude {found[0]['lat']}. "
-                        "Check the coordinate columns or axis order.")
+        raise LoadError(f"Outside the globe: longitude {found[0]['lon']}, latitude {found[0]['lat']}")
 
 
 def clamp_report(table: PointTable) -> DataFrame:

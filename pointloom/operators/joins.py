@@ -35,12 +35,12 @@ class JoinOptions:
 def check_join(left: PointTable, right: PointTable, options: JoinOptions) -> None:
     """Refuse a join that cannot work, before any job."""
     if options.mode not in ("inner", "left"):
-        raise ValueError("Choose a valid join type and input rows.")
+        raise ValueError(f"mode is inner or left, not {options.mode!r}")
     most = options.max_rows
     if most is not None and (isinstance(most, bool) or not isinstance(most, int) or most < 1):
         raise ValueError("max_rows: expected None or a whole number of at least 1")
     if left.field(options.left_field).kind != right.field(options.right_field).kind:
-        raise ValueError("Match fields must have the same type.")
+        raise ValueError(f"{options.left_field} and {options.right_field} are of different kinds")
 
 
 def join_key(table: PointTable, name: str) -> Column:
@@ -197,10 +197,9 @@ def join_guard(report: DataFrame, options: JoinOptions) -> int:
     """Stop before writing when the counted result is empty or too large."""
     rows = report.first()["output_rows"]
     if rows == 0:
-        raise ValueError("The join produced no rows. Choose different fields or use a left join.")
+        raise ValueError("No keys match, so the result would have no rows")
     if options.max_rows is not None and rows > options.max_rows:
-        raise ValueError(f"Join would create {rows:,} rows, above the {options.max_rows:,} row limit. "
-                         "Review duplicate keys or increase Maximum output rows.")
+        raise ValueError(f"The result has {rows:,} rows, above the {options.max_rows:,} row limit of max_rows")
     return rows
 
 

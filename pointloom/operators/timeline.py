@@ -16,7 +16,7 @@ def time_column(table: PointTable, field: str) -> Column:
     """A date attribute, or a text attribute read as time."""
     kind = table.field(field).kind
     if kind not in (DATE, STRING):
-        raise ValueError("Choose a date/time attribute for the timeline.")
+        raise ValueError("A timeline needs a time attribute")
     return table.col(field).cast("timestamp") if kind == DATE else parse_utc(table.col(field))
 
 

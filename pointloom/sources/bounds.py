@@ -21,7 +21,7 @@ class LoadBounds:
     def millis(self) -> tuple[int, int]:
         start, end = (parse_utc_millis(t) for t in self.time)
         if start is None or end is None or start >= end:
-            raise ValueError("Enter a valid UTC start and end, with the start before the end.")
+            raise ValueError("A time range needs two times, the earlier one first")
         return start, end
 
     def check(self) -> "LoadBounds":

@@ -51,21 +51,21 @@ class SourceConfig:
         if self.type == "csv":
             check_type_overrides(self.field_types, None, self.time_field)
             if not self.path:
-                raise ValueError("Choose a CSV file.")
+                raise ValueError("path is empty")
             if self.delimiter not in DELIMITERS:
-                raise ValueError("Choose comma, semicolon or tab as the delimiter.")
+                raise ValueError(f"delimiter is one of {DELIMITERS}")
             if self.geometry_mode not in GEOMETRY_MODES:
-                raise ValueError("Choose longitude/latitude, WKT Point or GeoJSON Point as the CSV geometry format.")
+                raise ValueError(f"geometry_mode is one of {GEOMETRY_MODES}")
             mapped = (self.longitude_field and self.latitude_field) if self.geometry_mode == "xy" else self.geometry_field
             if not mapped:
-                raise ValueError("Choose the CSV geometry columns.")
+                raise ValueError("No columns are named for the geometry")
             return self
         if self.type != "service":
-            raise ValueError("Choose a service or CSV as the source type.")
+            raise ValueError(f"type is service or csv, not {self.type!r}")
         if not self.layer.strip():
-            raise ValueError("Enter a feature type.")
+            raise ValueError("layer is empty")
         if self.paging_end not in PAGING_ENDS:
-            raise ValueError("Choose when paging should stop.")
+            raise ValueError(f"paging_end is one of {PAGING_ENDS}")
         for label, value, most in (("Features per request", self.page_size, MAX_PAGE_SIZE),
                                    ("Maximum parallel requests", self.max_parallel_requests, MAX_PARALLEL),
                                    ("Point limit", 1 if self.limit is None else self.limit, None)):
@@ -88,9 +88,9 @@ class SourceConfig:
 def check_type_overrides(overrides: Mapping[str, str], headers: Sequence[str] | None = None, time_field: str = "") -> None:
     """Overrides name existing columns and known kinds; the time column stays a date."""
     if any(kind not in KINDS for kind in overrides.values()):
-        raise ValueError("Invalid CSV column type overrides.")
+        raise ValueError(f"field_types are of {KINDS}")
     if time_field and overrides.get(time_field, DATE) != DATE:
-        raise ValueError("The selected CSV time attribute must use Date / time or Automatic.")
+        raise ValueError(f"field_types make {time_field} something else than a time")
     for name in overrides:
         if headers is not None and name not in headers:
-            raise ValueError(f'CSV type override column "{name}" was not found.')
+            raise ValueError(f"field_types name {name}, which is no column")

@@ -130,7 +130,7 @@ def _number_lines(lines: DataFrame, patterns: _Patterns) -> tuple[DataFrame, Dat
     if size["bare_returns"]:
         raise LoadError(f"{size['bare_returns']} ends lines with a carriage return alone; convert them to line feeds first")
     if size["heads"] > 1:
-        raise LoadError("CSV files of one load need the same header.")
+        raise LoadError("The files of one load do not have the same header")
     starts = hint_if_small(blocks.select("file", "block", "first", "base", "header", "file_no"), size["n"])
     numbered = (lines.join(starts, ["file", "block"])
                 .withColumn("line", F.col("base") + F.col("at") - F.col("first") + 1)
@@ -174,8 +174,7 @@ def _records(lines: DataFrame, block_count: int) -> DataFrame:
                                               F.max(F.when(~F.col("inside"), F.col("line"))).alias("from"))
     left = unfinished.where("open").limit(1).collect()
     if left:
-        raise LoadError(f"CSV import stopped: unterminated quoted field starting on CSV line {left[0]['from']}. "
-                        "No rows imported. Fix the quoting and retry.")
+        raise LoadError(f"Nothing was loaded: a quote is never closed, in a record starting on CSV line {left[0]['from']}")
 
     single = state.where(~F.col("inside") & ~F.col("open")).select("file_no", "line", "header", "value")
     spread = state.where(F.col("inside") | F.col("open"))
@@ -200,20 +199,20 @@ def csv_headers(spark: SparkSession, path: str | Sequence[str], delimiter: str =
     paths = [path] if isinstance(path, str) else list(path)
     files = spark.read.text(paths).inputFiles()
     if not files:
-        raise LoadError("CSV file is empty or unavailable.")
+        raise LoadError("There is no CSV file, or nothing in it")
     first = spark.read.option("lineSep", "\n").text(min(files))
     wanted, record = 16, None
     while record is None:
         lines = [r[0] for r in first.take(wanted)]
         record = _header_record(lines, patterns)
         if record is None and len(lines) < wanted:
-            raise LoadError("CSV needs unique, non-empty column headers.")
+            raise LoadError("A column has no header, or two have the same")
         wanted *= 4
     if not re.match(patterns.well_formed, record):
         raise LoadError(f"CSV header: {MALFORMED}")
     names = [h.strip() for h in next(csv_reader(io.StringIO(record, newline=""), delimiter=delimiter))]
     if not all(names) or len(set(names)) != len(names):
-        raise LoadError("CSV needs unique, non-empty column headers.")
+        raise LoadError("A column has no header, or two have the same")
     return names
 
 
@@ -360,9 +359,9 @@ def decode_point_geojson(text: Column, name: str) -> tuple[Column, Column, Colum
 
 def _need(headers: Sequence[str], name: str, purpose: str) -> str:
     if not name:
-        raise LoadError(f"Choose a CSV {purpose} column in the source settings.")
+        raise LoadError(f"No {purpose} column is named")
     if name not in headers:
-        raise LoadError(f'CSV {purpose} column "{name}" was not found. Check the column mapping.')
+        raise LoadError(f"The {purpose} column {name} is not in the header")
     return name
 
 
@@ -384,7 +383,7 @@ def validate_rows(records: CsvRecords, fields: Sequence[Field], bounds: LoadBoun
     if config.time_field:
         _need(headers, config.time_field, "time")
     if bounds.time and not config.time_field:
-        raise LoadError("Choose a CSV time attribute, or select All time.")
+        raise LoadError("A time range needs a time column")
 
     # Small steps, each of which reads the columns of the one before: cells are typed once.
     read = {NUMBER: number_in, DATE: time_in, BOOLEAN: boolean_in}
