@@ -78,7 +78,9 @@ def settle_codes(ranked: DataFrame) -> DataFrame:
             following[code] = (code + 1) % COLOR_COUNT
         return pd.DataFrame({"value": rows["value"], "rank": rows["rank"], "code": out})
 
-    settled = placed.groupBy("run").applyInPandas(settle, f"value {value}, rank bigint, code bigint")
+    # Runs do not meet, so several can be placed in one go.
+    parts = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    settled = placed.groupBy(F.pmod(F.xxhash64("run"), F.lit(parts))).applyInPandas(settle, f"value {value}, rank bigint, code bigint")
     # Beyond 2^24 values there is no free colour left and clashes are allowed.
     return settled.unionByName(late.select("value", "rank", F.col("code").cast("bigint")))
 

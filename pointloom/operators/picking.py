@@ -6,6 +6,7 @@ column let Spark skip the files a rectangle cannot touch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -20,6 +21,9 @@ TILE = 512
 MIN_PICK_SIZE, PICK_SLACK = 6, 3
 FULL_SCAN_SHARE = 0.5
 
+#: Degrees, and map shares at the edges, that rounding never exceeds.
+DEGREE_SLACK = 1e-6
+
 
 def positions(table: PointTable) -> tuple[Column, Column]:
     return mercator_x(table.col(table.lon)), mercator_y(table.col(table.lat))
@@ -80,11 +84,23 @@ def world_cells(left: float, top: float, right: float, bottom: float) -> list[in
     return [r * GRID + c for r in range(clip(top), clip(bottom) + 1) for c in range(clip(left), clip(right) + 1)]
 
 
+def _latitude(y: float) -> float:
+    """The latitude at a map position; the map's edges stand for all that is clamped to them."""
+    if y <= DEGREE_SLACK or y >= 1 - DEGREE_SLACK:
+        return 90.0 if y < 0.5 else -90.0
+    return math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * y))))
+
+
 def rectangle_predicate(table: PointTable, left: float, top: float, right: float, bottom: float,
                         cell_column: str | None = None) -> Column:
     """Inclusive rectangle on map positions; a stored cell column prunes files first."""
     x, y = positions(table)
-    inside = x.between(left, right) & y.between(top, bottom)
+    # Degrees with a little slack come first: bare columns against literals reach the files.
+    west, east = ((v - 0.5) * 360 for v in (left, right))
+    north, south = (_latitude(v) for v in (top, bottom))
+    near = (table.col(table.lon).between(west - DEGREE_SLACK, east + DEGREE_SLACK)
+            & table.col(table.lat).between(south - DEGREE_SLACK, north + DEGREE_SLACK))
+    inside = near & x.between(left, right) & y.between(top, bottom)
     if cell_column:
         inside = F.col(quote(cell_column)).isin(*world_cells(left, top, right, bottom)) & inside
     return inside

@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.functions.colors import gradient, gradient_hex
+from pointloom.functions.colors import COLOR_COUNT, gradient, gradient_hex
+from pointloom.functions.geo import mercator_x, mercator_y
 from pointloom.functions.geo import mercator_point
 from pointloom.operators.axes import axis_for
 from pointloom.operators.charts import ChartSpec, prepare, scatter_raw
@@ -271,3 +272,38 @@ def test_numbers_that_are_not_finite_never_match(table):
     left, right = (t.with_df(t.df.withColumn("k", table.F.when(table.F.col("row_id") == 0, table.F.lit(float("nan"))).otherwise(table.F.col("k")))) for t in (left, right))
     options = JoinOptions("k", "k")
     assert join_report(left, right, options).first()["output_rows"] == 2 and join_inner(left, right, options).count() == 2
+
+
+def test_picking_reaches_the_files(spark, table, tmp_path):
+    rows = [(float(i),) for i in range(400)]
+    lon, lat = [-180 + 0.9 * i for i in range(400)], [-90 + (i * 37 % 400) * 0.45 for i in range(400)]
+    t = table("v double", rows, lon=lon, lat=lat)
+    t.df.write.parquet(str(tmp_path / "p"))
+    t = t.with_df(spark.read.parquet(str(tmp_path / "p")))
+    for box in ((0.2, 0.1, 0.6, 0.4), (0.0, 0.0, 1.0, 1.0), (0.3, 0.0, 0.9, 0.5), (0.1, 0.5, 0.2, 1.0)):
+        picked = pick_rectangle(t, *box)
+        x, y = mercator_x(table.F.col("lon")), mercator_y(table.F.col("lat"))
+        want = t.df.where(x.between(box[0], box[2]) & y.between(box[1], box[3]))
+        assert sorted(r.row for r in picked.collect()) == sorted(r.row_id for r in want.collect())
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = pick_radius(t, 0.5, 0.5, 3)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all(f"{test}({c}," in plan for test in ("GreaterThanOrEqual", "LessThanOrEqual") for c in ("lon", "lat"))
+
+
+def test_a_crowded_palette_settles_as_one_after_another(spark):
+    ranks, codes = 100_000, lambda i: (i * 7919) % 11_600 * 1000 % COLOR_COUNT
+    taken, want = {}, []
+    for i in range(ranks):
+        path, c = [], codes(i)
+        while c in taken:
+            path.append(c)
+            c = taken[c]
+        for p in path:
+            taken[p] = c
+        want.append(c)
+        taken[c] = (c + 1) % COLOR_COUNT
+    df = spark.range(ranks).selectExpr("concat('v', id) AS value", "id AS rank", "id * 7919 % 11600 * 1000 % 16777216 AS code")
+    assert [r.code for r in settle_codes(df).orderBy("rank").collect()] == want
+    ends = spark.createDataFrame([("a", 0, COLOR_COUNT - 1), ("b", 1, COLOR_COUNT - 1), ("c", 2, 0), ("d", 3, 5)], "value string, rank bigint, code bigint")
+    assert [r.code for r in settle_codes(ends).orderBy("rank").collect()] == [COLOR_COUNT - 1, 0, 1, 5]
