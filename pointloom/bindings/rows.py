@@ -333,9 +333,32 @@ def invalid(spark, folder):
     return invalid_ellipses(ellipse_params(points(spark, folder), ELLIPSE))
 
 
-@register("ellipse_outlines")
+# Vertices are equal steps of a running sum over 4,096 pieces of the circle, for 64 shapes.
+_CLAMPED = "greatest(-85.05112878::DOUBLE, least(85.05112878::DOUBLE, {v}))"
+OUTLINE_SQL = f"""
+    WITH shapes AS (SELECT k, pow(2::DOUBLE, k * 10::DOUBLE / 63) AS r FROM range(64) t(k)),
+    pieces AS (SELECT k, i, 1 / sqrt(sqrt(pow(r * sin((i + 0.5::DOUBLE) * 2 * pi() / 4096), 2) + pow(cos((i + 0.5::DOUBLE) * 2 * pi() / 4096), 2))) AS d
+               FROM shapes, range(4096) t(i)),
+    sums AS (SELECT k, i, d, sum(d) OVER (PARTITION BY k ORDER BY i) AS c, sum(d) OVER (PARTITION BY k) AS total FROM pieces),
+    angles AS (SELECT k, v, (i + (total * v / 16 - (c - d)) / d) * 2 * pi() / 4096 AS w
+               FROM sums, range(16) t(v) WHERE total * v / 16 >= c - d AND total * v / 16 < c
+               QUALIFY row_number() OVER (PARTITION BY k, v ORDER BY i) = 1),
+    placed AS (SELECT row_id AS row, lon, radians({_CLAMPED.format(v="lat")}) AS phi, radians((CASE WHEN b > a THEN t + 90 ELSE t END) % 360) AS turn,
+                      greatest(a, b) / 6371008.8::DOUBLE AS major, least(a, b) / 6371008.8::DOUBLE AS minor,
+                      round(least(10::DOUBLE, log2(greatest(a, b) / least(a, b))) * 63 / 10)::INT AS k FROM {ELLIPSES} e WHERE {VALID}),
+    moved AS (SELECT row, v AS vertex, lon, phi, major * cos(w) * sin(turn) + minor * sin(w) * cos(turn) AS east,
+                     major * cos(w) * cos(turn) - minor * sin(w) * sin(turn) AS north FROM placed JOIN angles USING (k)),
+    reached AS (SELECT *, sqrt(east * east + north * north) AS reach FROM moved),
+    shares AS (SELECT *, CASE WHEN reach < 1e-8 THEN 1::DOUBLE ELSE sin(reach) / reach END AS s FROM reached),
+    ends AS (SELECT row, vertex, (lon + 180) / 360 + atan2(east * s, cos(phi) * cos(reach) - sin(phi) * north * s) / (2 * pi()) AS x,
+                    degrees(asin(greatest(-1::DOUBLE, least(1::DOUBLE, sin(phi) * cos(reach) + cos(phi) * north * s)))) AS lat FROM shares)
+    SELECT row, vertex::INT AS vertex, round(x, 9) AS x,
+           round(greatest(0::DOUBLE, least(1::DOUBLE, (1 - ln(tan(pi() / 4 + {_CLAMPED.format(v="lat")} * pi() / 360)) / pi()) / 2)), 9) AS y FROM ends"""
+
+
+@register("ellipse_outlines", OUTLINE_SQL)
 def outlines(spark, folder):
-    """Outlines of 16 vertices; the vertex table is iterative, so there is no SQL for it."""
+    """Outlines of 16 vertices."""
     rings = ellipse_outlines(points(spark, folder), ELLIPSE, 16)
     return rings.select("row", "vertex", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
 
