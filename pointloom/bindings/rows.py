@@ -71,17 +71,32 @@ def sort_natural(spark, folder):
     return records_index(points(spark, folder), "user").select("row_id", "user", "position")
 
 
-@register("records_page", f"WITH m AS (SELECT row_id, value, row_number() OVER (ORDER BY value, row_id) - 1 AS n, count(*) OVER () AS total FROM {POINTS} p WHERE {NESTED_SQL}) "
-                          "SELECT row_id, value, total FROM m WHERE n - greatest(0, least(200, total - 1)) BETWEEN 0 AND 49")
-def page(spark, folder):
+PAGE_SQL = (f"WITH m AS (SELECT row_id, value, row_number() OVER (ORDER BY value, row_id) - 1 AS n, count(*) OVER () AS total FROM {POINTS} p WHERE {NESTED_SQL}) "
+            "SELECT row_id, value, total FROM m WHERE n - greatest(0, least(200, total - 1)) BETWEEN 0 AND 49")
+NTH_SQL = f"SELECT row_id, value FROM {POINTS} p ORDER BY value DESC, row_id LIMIT 1 OFFSET 4321"
+
+
+@register("records_page", PAGE_SQL)
+def page(spark, folder, **how):
     table = points(spark, folder)
-    rows, total = records_page(table, 200, 50, "value", predicate=compile_expression(table, NESTED))
+    rows, total = records_page(table, 200, 50, "value", predicate=compile_expression(table, NESTED), **how)
     return rows.select("row_id", "value", F.lit(total).cast("bigint").alias("total"))
 
 
-@register("record_at", f"SELECT row_id, value FROM {POINTS} p ORDER BY value DESC, row_id LIMIT 1 OFFSET 4321")
-def nth(spark, folder):
-    return record_at(points(spark, folder), 4321, "value", descending=True).select("row_id", "value")
+@register("records_page_deep", PAGE_SQL)
+def deep_page(spark, folder):
+    """The same page by the way that pages far down take."""
+    return page(spark, folder, shallow=0)
+
+
+@register("record_at", NTH_SQL)
+def nth(spark, folder, **how):
+    return record_at(points(spark, folder), 4321, "value", descending=True, **how).select("row_id", "value")
+
+
+@register("record_at_deep", NTH_SQL)
+def deep_nth(spark, folder):
+    return nth(spark, folder, shallow=0)
 
 
 @register("choice_page", f"SELECT row_id FROM {POINTS} p WHERE category = 'error' ORDER BY row_id LIMIT 30 OFFSET 60")
@@ -90,9 +105,17 @@ def choices(spark, folder):
     return choice_page(table, compile_expression(table, rule("category", "eq", "error")), 2).select("row_id")
 
 
-@register("load_limit", f"SELECT row_id FROM {POINTS} p ORDER BY row_id LIMIT 2500")
-def limited(spark, folder):
-    return load_limit(points(spark, folder), 2500).df.select("row_id")
+LIMIT_SQL = f"SELECT row_id FROM {POINTS} p ORDER BY row_id LIMIT 2500"
+
+
+@register("load_limit", LIMIT_SQL)
+def limited(spark, folder, **how):
+    return load_limit(points(spark, folder), 2500, **how).df.select("row_id")
+
+
+@register("load_limit_deep", LIMIT_SQL)
+def deep_limited(spark, folder):
+    return limited(spark, folder, shallow=0)
 
 
 @register("sorted_domain", "SELECT DISTINCT p_brand AS value FROM part WHERE contains(lower(p_brand), '#1')")

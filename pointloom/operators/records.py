@@ -72,17 +72,30 @@ def page_start(total: int, offset: int) -> int:
 
 
 def records_page(table: PointTable, offset: int, limit: int = MAX_PAGE, sort: str = "", descending: bool = False,
-                 search: str = "", predicate: Column | None = None) -> tuple[DataFrame, int]:
-    """One page of records and the total. Shallow pages are a distributed top-k."""
+                 search: str = "", predicate: Column | None = None, shallow: int = TOP_K_ROWS) -> tuple[DataFrame, int]:
+    """One page of records and the total. Pages up to the ``shallow``-th row are a distributed top-k."""
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"A page has 1 to {MAX_PAGE} records")
     total = records_total(table, search, predicate)
     start = page_start(total, offset)
-    if start + limit <= TOP_K_ROWS:
+    if start + limit <= shallow:
         return records_sort(table, sort, descending, search, predicate).offset(start).limit(limit), total
-    index = records_index(table, sort, descending, search, predicate)
-    page = index.where(F.col("position").between(start, start + limit - 1))
-    return page.orderBy("position").drop("position"), total
+    return _rows_at(table, start, limit, sort, descending, search, predicate), total
+
+
+def _rows_at(table: PointTable, start: int, count: int, sort: str, descending: bool, search: str, predicate: Column | None) -> DataFrame:
+    """Records from a position on. Only sort keys and row ids are put in order; at most a page is joined back."""
+    row = table.col(table.row)
+    keys = records_order(table, sort, descending)[:-1]
+    value = record_column(table, sort)[0] if keys else F.lit(None).cast("string")
+    narrow = matching(table, search, predicate).select(row.alias("__row"), value.alias("__value"))
+    kind = record_column(table, sort)[1] if keys else STRING
+    if keys:
+        key = natural_key(value_text(F.col("__value"), kind)) if kind in (STRING, BOOLEAN) else F.col("__value")
+        keys = [key.desc_nulls_last() if descending else key.asc_nulls_last()]
+    placed = with_position(narrow, [*keys, F.col("__row").asc()])
+    page = placed.where(F.col("position").between(start, start + count - 1)).select("__row", "position")
+    return table.df.join(F.broadcast(page), row == F.col("__row")).orderBy("position").drop("__row", "position")
 
 
 def records_index(table: PointTable, sort: str = "", descending: bool = False, search: str = "",
@@ -92,11 +105,11 @@ def records_index(table: PointTable, sort: str = "", descending: bool = False, s
 
 
 def record_at(table: PointTable, n: int, sort: str = "", descending: bool = False, search: str = "",
-              predicate: Column | None = None) -> DataFrame:
+              predicate: Column | None = None, shallow: int = TOP_K_ROWS) -> DataFrame:
     """The n-th record of an order."""
-    if n + 1 <= TOP_K_ROWS:
+    if n + 1 <= shallow:
         return records_sort(table, sort, descending, search, predicate).offset(n).limit(1)
-    return records_index(table, sort, descending, search, predicate).where(F.col("position") == n).drop("position")
+    return _rows_at(table, n, 1, sort, descending, search, predicate)
 
 
 def choice_page(table: PointTable, predicate: Column, page: int = 0) -> DataFrame:
@@ -105,13 +118,17 @@ def choice_page(table: PointTable, predicate: Column, page: int = 0) -> DataFram
     return ordered.offset(page * CHOICE_PAGE).limit(CHOICE_PAGE)
 
 
-def load_limit(table: PointTable, limit: int) -> PointTable:
+def load_limit(table: PointTable, limit: int, shallow: int = TOP_K_ROWS) -> PointTable:
     """The first rows of a load, in load order."""
     if isinstance(limit, bool) or not isinstance(limit, int) or limit < 1:
-        raise ValueError("Invalid point limit")
-    if limit <= TOP_K_ROWS:
-        return table.with_df(table.df.orderBy(table.col(table.row)).limit(limit))
-    return table.with_df(with_position(table.df, [table.col(table.row)]).where(F.col("position") < limit).drop("position"))
+        raise ValueError("A limit is a whole number of at least 1")
+    row = table.col(table.row)
+    if limit <= shallow:
+        return table.with_df(table.df.orderBy(row).limit(limit))
+    # Row ids alone are put in order; the last one that is let in becomes a filter.
+    ids = with_position(table.df.select(row.alias("__row")), [F.col("__row")])
+    last = ids.where(F.col("position") == limit - 1).select("__row").first()
+    return table if last is None else table.with_df(table.df.where(row <= F.lit(last[0])))
 
 
 def sorted_domain(table: PointTable, name: str, search: str = "") -> DataFrame:
