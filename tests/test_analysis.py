@@ -49,6 +49,23 @@ def test_a_saved_analysis_runs_end_to_end(spark, tmp_path):
     assert windowed.tables["a"].df.where(windowed.selections["a"]).count() == 2
 
 
+def test_unbinned_charts_colours_and_import_reports_are_kept(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("lon,lat,t,v,k\n1,1,2024-01-01,0,x\n1,1,2024-01-02,2,y\n9,1,2024-01-02,4,x\nbad,1,2024-01-02,9,x\n")
+    (tmp_path / "b.csv").write_text("lon,lat,t,w,u\n2,2,2024-01-01,1,5\n2,2,2024-01-03,3,6\n")
+    raw = ChartSpec("raw", "scatter", "v", "lat", binned=False)
+    saved = AnalysisSpec(
+        sources=(csv_source("a", str(tmp_path / "a.csv")), csv_source("b", str(tmp_path / "b.csv"))),
+        analyses=(SourceAnalysis("a", (Field("v", "number"),), rule("v", "gte", 1),
+                                 (SavedChart(raw), SavedChart(ChartSpec("two", "scatter", "v", "v", binned=False), (SeriesMap("b", "w", "u"),)))),),
+        coloring={"a": {"field": "k", "overrides": {"x": "#010203"}}, "b": {"field": "w", "bins": 2}})
+    run = run_analysis(spark, saved, str(tmp_path / "out"))
+    assert sorted(run.charts["a", "raw"].columns) == ["row", "x", "y"] and run.charts["a", "raw"].count() == 2
+    assert {r[0]: r[1] for r in run.charts["a", "two"].groupBy("source_id").count().collect()} == {"a": 2, "b": 2}
+    assert sorted(r.color for r in run.colors["a"].collect())[:2] == ["#010203", "#010203"] and run.colors["b"].select("color").distinct().count() == 2
+    assert run.imports["a"].totals["rejected"] == 1 and run.imports["b"].totals["imported"] == 2
+    assert not run.reports["a"].first().truncated
+
+
 def test_round_trip_and_defaults():
     s = spec()
     assert AnalysisSpec.from_json(s.to_json()) == s or json.loads(AnalysisSpec.from_json(s.to_json()).to_json()) == json.loads(s.to_json())

@@ -64,6 +64,14 @@ def test_every_row_is_accounted_for(spark, write):
     assert "2 of 8 data rows imported; 6 rejected" in load.summary()
 
 
+def test_text_that_cannot_be_read_is_refused(spark, write):
+    with pytest.raises(LoadError, match="carriage return"):
+        load_csv(spark, config(write("lon,lat\r1,2\r3,4\r")))
+    with pytest.raises(LoadError, match="UTF-8"):
+        load_csv(spark, config(write(b"lon,lat,s\n1,2,ok\n3,4,\xff\xfe\n")))
+    assert rows(load_csv(spark, config(write('lon,lat,s\r\n1,2,"a\rb"\r\n'))), "s") == [("a\rb",)]
+
+
 def test_only_five_example_lines(spark, write):
     load = load_csv(spark, config(write("lon,lat\n1,2\n" + "x,1\n" * 9)))
     assert issues(load) == {"Longitude and latitude must be decimal numbers": (9, [3, 4, 5, 6, 7])}
