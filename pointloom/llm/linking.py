@@ -2,9 +2,10 @@
 
 A member is known by the key of its set. Groups are compared exhaustively by signatures; groups above
 a limit are cut into blocks. What the signatures let pass is confirmed on full texts in two passes:
-first a spanning forest of each block, and of each block with the first; then every pair whose ends
-are not connected yet, in all pairs of blocks. A large group of copies costs work in proportion to its
-size in the first pass and none in the second.
+first a spanning forest of each block, and of each block with the first, pair by pair; then every pair
+whose ends are not connected yet, in all pairs of blocks, where the block's members meet with their
+texts and only a forest of what is confirmed leaves. A large group of copies costs work in proportion
+to its size in the first pass and none in the second, and no pass emits all pairs of a group.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pointloom.llm.components import components
-from pointloom.llm.shingles import compare
+from pointloom.llm.shingles import compare, shingle_set
 from pointloom.session import checkpoint
 
 #: Members of a group that are compared in one piece.
@@ -42,42 +43,88 @@ def _forest(order: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarr
     return first
 
 
-def _pairs(least: float, ratio: float, forest: bool):
+def _alike(members: list[dict], cross: bool, least: float, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """Share of equal signature numbers, and the pairs that are to be looked at, above the diagonal."""
+    signatures = np.array([np.frombuffer(m["signature"], "<u4") for m in members])
+    size = np.array([m["n_shingles"] for m in members], np.int64)
+    names = np.array([m["label"] for m in members], object)
+    block = np.array([m["block"] for m in members])
+    share = np.stack([(signatures == s).mean(axis=1) for s in signatures])
+    good = np.triu(share >= least, 1) & (np.minimum.outer(size, size) >= ratio * np.maximum.outer(size, size))
+    good &= names[:, None] != names[None, :]
+    if cross:
+        good &= block[:, None] != block[None, :]
+    return share, good
+
+
+def _forest_pairs(least: float, ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for members, cross in zip(batch.column("members"), batch.column("cross"), strict=True):
                 rows = sorted(members.as_py(), key=lambda m: m["key"])
-                signatures = np.array([np.frombuffer(m["signature"], "<u4") for m in rows])
-                size = np.array([m["n_shingles"] for m in rows], np.int64)
-                names = np.array([m["label"] for m in rows], object)
-                block = np.array([m["block"] for m in rows])
-                alike = np.stack([(signatures == s).mean(axis=1) for s in signatures])
-                good = np.triu(alike >= least, 1) & (np.minimum.outer(size, size) >= ratio * np.maximum.outer(size, size))
-                good &= names[:, None] != names[None, :]
-                if cross.as_py():
-                    good &= block[:, None] != block[None, :]
+                share, good = _alike(rows, cross.as_py(), least, ratio)
                 a, b = np.nonzero(good)
-                if forest:
-                    kept = _forest(np.argsort(-alike[a, b], kind="stable"), a, b, len(rows))
-                    a, b = a[kept], b[kept]
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i]["key"] for i in a], pa.binary()), pa.array([rows[i]["key"] for i in b], pa.binary())],
+                kept = _forest(np.argsort(-share[a, b], kind="stable"), a, b, len(rows))
+                yield pa.RecordBatch.from_arrays([pa.array([rows[i]["key"] for i in a[kept]], pa.binary()), pa.array([rows[i]["key"] for i in b[kept]], pa.binary())],
                                                  names=["a", "b"])
     return run
 
 
-def candidate_pairs(groups: DataFrame, sets: DataFrame, least: float, ratio: float, limit: int = LIMIT, labels: DataFrame | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of members of a group.
+def _open_members(least: float, ratio: float):
+    """The members that have somebody of another label to be compared with."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, members, cross in zip(batch.column("group"), batch.column("members"), batch.column("cross"), strict=True):
+                rows = members.as_py()
+                _, good = _alike(rows, cross.as_py(), least, ratio)
+                chosen = [r for r, asked in zip(rows, (good | good.T).any(axis=1), strict=True) if asked]
+                n = len(chosen)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group.as_py()] * n, pa.int64()), pa.array([cross.as_py()] * n, pa.bool_()), pa.array([r["block"] for r in chosen], pa.int32()),
+                     *(pa.array([r[c] for r in chosen], pa.binary()) for c in ("key", "label"))], names=["group", "cross", "block", "m_key", "label"])
+    return run
+
 
-    ``groups`` holds (grp, n, key): a group, its size and a member; ``sets`` holds (key, n_shingles,
-    signature). Pairs must agree in a share of ``least`` of their signatures, and the smaller set must
-    have ``ratio`` of the larger one's size. Without labels, a spanning forest of the blocks; with
-    labels (node, label), every pair of different labels.
+def _linked_labels(percent: int):
+    """A forest of the labels that a confirmed link joins."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, cross in zip(batch.column("members"), batch.column("cross"), strict=True):
+                rows, apart = sorted(members.as_py(), key=lambda m: m["key"]), cross.as_py()
+                sets, root, a, b = [shingle_set(m["text"]) for m in rows], {}, [], []
+
+                def find(x: bytes) -> bytes:
+                    while root.setdefault(x, x) != x:
+                        x = root[x]
+                    return x
+
+                for i, one in enumerate(rows):
+                    for j in range(i):
+                        other = rows[j]
+                        x, y = find(one["label"]), find(other["label"])
+                        small, large = sorted((len(sets[i]), len(sets[j])))
+                        if x == y or apart and one["block"] == other["block"] or 100 * small < percent * large:
+                            continue
+                        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                        if 100 * both >= percent * (small + large - both):
+                            root[x] = y
+                            a.append(one["label"])
+                            b.append(other["label"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    return run
+
+
+def _meetings(groups: DataFrame, sets: DataFrame, limit: int, labels: DataFrame | None = None) -> DataFrame:
+    """group, cross and members of the pairs of blocks that are to be compared.
+
+    Without labels each block meets itself and the first; with labels all pairs of blocks of the
+    groups that hold different labels.
     """
     placed = groups.withColumn("blocks", F.ceil(F.col("n") / F.lit(limit)).cast("int")).withColumn(
         "block", F.pmod(F.xxhash64("grp", "key"), F.col("blocks")).cast("int"))
     if labels is None:
         placed = placed.withColumn("label", F.col("key"))
-        # A block meets itself and the first; the first meets all.
+        # The first block meets all.
         others = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
     else:
         named = placed.join(labels.select(F.col("node").alias("l_node"), F.col("label").alias("l_label")), F.col("key") == F.col("l_node"), "left").withColumn(
@@ -89,8 +136,7 @@ def candidate_pairs(groups: DataFrame, sets: DataFrame, least: float, ratio: flo
         "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "label", F.col("key").alias("m_key"))
     members = met.join(sets.select("key", "n_shingles", "signature"), F.col("m_key") == F.col("key"))
     rows = members.groupBy("grp", "i", "j").agg(F.collect_list(F.struct("key", "n_shingles", "signature", "block", "label")).alias("members"))
-    return rows.where(F.size("members") > 1).select("members", (F.col("i") != F.col("j")).alias("cross")).mapInArrow(
-        _pairs(least, ratio, labels is None), "a binary, b binary").distinct()
+    return rows.where(F.size("members") > 1).select(F.xxhash64("grp", "i", "j").alias("group"), (F.col("i") != F.col("j")).alias("cross"), "members")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -102,23 +148,22 @@ def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 def link_groups(groups: DataFrame, sets: DataFrame, texts_of, least: float, percent: int, limit: int = LIMIT) -> DataFrame:
     """node and label of every key that is linked with another: 100 * intersection >= percent * union.
 
-    ``texts_of(keys)`` gives (key, text) for a table of keys ``w``; it is asked once, for the keys that
-    the signatures let pass.
+    ``groups`` holds (grp, n, key): a group, its size and a member; ``sets`` holds (key, n_shingles,
+    signature). Pairs are looked at if they agree in a share of ``least`` of their signatures and the
+    smaller set has ``percent`` of the larger one's size. ``texts_of(keys)`` gives (key, text) for a
+    table of keys ``w``; it is asked once, for the keys that the signatures let pass.
     """
-    groups = checkpoint(groups)
-    pairs = checkpoint(candidate_pairs(groups, sets, least, percent / 100, limit))
+    groups, ratio = checkpoint(groups), percent / 100
+    pairs = checkpoint(_meetings(groups, sets, limit).select("members", "cross").mapInArrow(_forest_pairs(least, ratio), "a binary, b binary").distinct())
     texts = checkpoint(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()))
     first = checkpoint(components(_confirm(pairs, texts, percent)))
-    la, lb = (first.select(F.col("node").alias(f"n_{s}"), F.col("label").alias(f"l_{s}")) for s in "ab")
-    tried = pairs.select(F.col("a").alias("t_a"), F.col("b").alias("t_b"))
-    left = candidate_pairs(groups, sets, least, percent / 100, limit, first).join(
-        tried, (F.col("a") == F.col("t_a")) & (F.col("b") == F.col("t_b")), "left_anti")
-    left = checkpoint(left.join(la, F.col("a") == F.col("n_a"), "left").join(lb, F.col("b") == F.col("n_b"), "left").select(
-        "a", "b", F.coalesce("l_a", "a").alias("l_a"), F.coalesce("l_b", "b").alias("l_b")))
-    if left.isEmpty():
+    left = _meetings(groups, sets, limit, first).mapInArrow(
+        _open_members(least, ratio), "group long, cross boolean, block int, m_key binary, label binary")
+    asked = left.join(texts, F.col("m_key") == F.col("key")).groupBy("group", "cross").agg(
+        F.collect_list(F.struct("key", "label", "block", "text")).alias("members"))
+    more = checkpoint(asked.mapInArrow(_linked_labels(percent), "a binary, b binary").distinct())
+    if more.isEmpty():
         return first
-    more = _confirm(left, texts, percent).select(F.col("a").alias("x"), F.col("b").alias("y")).join(
-        left, (F.col("x") == F.col("a")) & (F.col("y") == F.col("b"))).select(F.col("l_a").alias("a"), F.col("l_b").alias("b"))
     second = checkpoint(components(more)).select(F.col("node").alias("s_node"), F.col("label").alias("s_label"))
     every = first.unionByName(second.select(F.col("s_node").alias("node"), F.col("s_node").alias("label")).join(
         first.select(F.col("node").alias("known")), F.col("node") == F.col("known"), "left_anti"))
