@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pointloom.llm.common import text_of
-from pointloom.session import checkpoint
+from pointloom.session import checkpoint, scratch_folder
 
 #: Leading tokens that the tree branches on, runs one of which may vary, and the fewest tokens of a line for that.
 DEPTH = 3
@@ -66,22 +66,22 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["id", "h", "line", "keys"])
 
 
-def _document() -> Column:
-    """A document is its id and text; null ids come last."""
-    return F.struct(F.col("id").isNull().alias("nobody"), "id", "h")
-
-
 def dropped_lines(rows: DataFrame) -> DataFrame:
     """id, h and the numbers (from 0) of the lines to drop, for rows of id, h (of the text) and text."""
     id_type = rows.schema["id"].dataType.simpleString()
-    lines = checkpoint(rows.select("id", "h", "text").mapInArrow(_lines, f"id {id_type}, h long, line int, keys array<long>"))
-    keyed = lines.select(_document().alias("doc"), "line", F.explode("keys").alias("key"))
-    recurring = checkpoint(keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first != last").select(
-        F.col("key").alias("r_key"), "first"))
-    again = keyed.join(recurring, F.col("key") == F.col("r_key")).where(F.col("doc") != F.col("first"))
+    # Keys do not compress as rows of a checkpoint; as a table they take a third of it.
+    folder = scratch_folder(rows.sparkSession)
+    rows.select("id", "h", "text").mapInArrow(_lines, f"id {id_type}, h long, line int, keys array<long>").write.parquet(folder)
+    lines = rows.sparkSession.read.parquet(folder)
+    keyed = lines.select("id", "h", "line", F.explode("keys").alias("key"))
+    same = F.xxhash64("id", "h")
+    # Plain numbers keep the rows that are shuffled short; most keys have one document, and then lo and hi agree.
+    recurring = checkpoint(keyed.groupBy("key").agg(F.min("id").alias("first_id"), F.min(same).alias("lo"), F.max(same).alias("hi"))
+                           .where("lo != hi").select(F.col("key").alias("r_key"), "first_id"))
+    again = keyed.join(recurring, F.col("key") == F.col("r_key")).where(~F.col("id").eqNullSafe(F.col("first_id")))
     # A line is met at most once for each of its keys; a document has no more entries than lines.
-    return again.groupBy("doc").agg(F.collect_set("line").alias("dropped")).select(
-        F.col("doc.id").alias("d_id"), F.col("doc.h").alias("d_h"), "dropped")
+    return again.groupBy("id", "h").agg(F.collect_set("line").alias("dropped")).select(
+        F.col("id").alias("d_id"), F.col("h").alias("d_h"), "dropped")
 
 
 def _cut(others: list[str]):
@@ -106,7 +106,8 @@ def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column
 
     Lines end at ``\\n`` only. A null text is an empty one, which has one empty line. Lines of fewer
     than three tokens are never dropped. Rows alike in id and text are one document, so they do not
-    make their lines recur; null ids come after all others. ``has_text`` is false where dropping left
+    make their lines recur. Null ids come after all others; rows that share the first id, or have no
+    id where nobody has one, all keep the line. ``has_text`` is false where dropping left
     nothing but white space. Kept columns must not be named like the others.
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), *keep).withColumn("h", F.xxhash64("text"))
