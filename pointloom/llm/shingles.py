@@ -49,19 +49,22 @@ def word_hashes(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` words, in order."""
+    rows = max(0, len(h) - width + 1)
+    total = np.full(rows, width, np.uint64)
+    for i in range(width):
+        total += h[i:i + rows] * _PLACES[i]
+    return _mix(total)
+
+
 def shingle_set(text: str, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; with fewer words, of the whole sequence; none without words."""
     words = words_of(text)
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    width = min(k, n)
-    rows = n - width + 1
-    total = np.full(rows, width, np.uint64)
-    for i in range(width):
-        total += h[i:i + rows] * _PLACES[i]
-    return np.unique(_mix(total))
+    return np.unique(window_hashes(word_hashes(words), min(k, n)))
 
 
 class Minwise:
@@ -72,6 +75,12 @@ class Minwise:
         self._a = rng.integers(0, 1 << 64, functions, dtype=np.uint64) | np.uint64(1)
         self._b = rng.integers(0, 1 << 64, functions, dtype=np.uint64)
 
+    def within(self, shingles: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """One row for each slice edges[0]:edges[1], edges[2]:edges[3], ... of ``shingles``, none of them empty."""
+        longer = np.append(shingles, np.uint64(0))
+        least = [np.minimum.reduceat(longer * a + b, edges)[::2] for a, b in zip(self._a, self._b, strict=True)]
+        return _mix(np.stack(least, axis=1)) >> np.uint64(32)
+
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         least = np.full(len(self._a), np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(shingles), CHUNK):
@@ -85,6 +94,13 @@ def set_key(shingles: np.ndarray) -> bytes:
     return shingles.sum(dtype=np.uint64).tobytes() + mixed.sum(dtype=np.uint64).tobytes()
 
 
+def keys_within(shingles: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Two numbers for each slice, as in ``set_key``; repeats within a slice count."""
+    longer = np.append(shingles, np.uint64(0))
+    sums = [np.add.reduceat(x, edges)[::2] for x in (longer, _mix(longer + np.uint64(0x632BE59BD9B4E019)))]
+    return np.stack(sums, axis=1)
+
+
 def sketch(rows: DataFrame, functions: int, seed: int) -> DataFrame:
     """Replace the ``text`` column by n_shingles, set_key and signature (little-endian 32-bit numbers); null without words."""
     others = [f for f in rows.schema if f.name != "text"]
