@@ -151,15 +151,18 @@ def link_groups(groups: DataFrame, sets: DataFrame, texts_of, least: float, perc
     ``groups`` holds (grp, n, key): a group, its size and a member; ``sets`` holds (key, n_shingles,
     signature). Pairs are looked at if they agree in a share of ``least`` of their signatures and the
     smaller set has ``percent`` of the larger one's size. ``texts_of(keys)`` gives (key, text) for a
-    table of keys ``w``; it is asked once, for the keys that the signatures let pass.
+    table of keys ``w``; it is asked for the keys that the signatures let pass, and again for those that
+    only the second pass lets meet, in blocks other than the first.
     """
     groups, ratio = checkpoint(groups), percent / 100
     pairs = checkpoint(_meetings(groups, sets, limit).select("members", "cross").mapInArrow(_forest_pairs(least, ratio), "a binary, b binary").distinct())
     texts = checkpoint(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()))
     first = checkpoint(components(_confirm(pairs, texts, percent)))
-    left = _meetings(groups, sets, limit, first).mapInArrow(
-        _open_members(least, ratio), "group long, cross boolean, block int, m_key binary, label binary")
-    asked = left.join(texts, F.col("m_key") == F.col("key")).groupBy("group", "cross").agg(
+    left = checkpoint(_meetings(groups, sets, limit, first).mapInArrow(
+        _open_members(least, ratio), "group long, cross boolean, block int, m_key binary, label binary"))
+    unread = left.select(F.col("m_key").alias("w")).distinct().join(texts.select(F.col("key").alias("known")), F.col("w") == F.col("known"), "left_anti")
+    read = texts.unionByName(checkpoint(texts_of(unread)))
+    asked = left.join(read, F.col("m_key") == F.col("key")).groupBy("group", "cross").agg(
         F.collect_list(F.struct("key", "label", "block", "text")).alias("members"))
     more = checkpoint(asked.mapInArrow(_linked_labels(percent), "a binary, b binary").distinct())
     if more.isEmpty():

@@ -5,9 +5,12 @@ import re
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointloom.llm.components import components
+from pointloom.llm.linking import link_groups
 from pointloom.llm.near_dedup import near_duplicates, one_of_each
+from pointloom.llm.shingles import sketch
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -101,3 +104,22 @@ def test_one_row_of_each_component_stays(spark):
     named = [g[0] for g in got if shingles(g[1]) and g[0] is not None]
     assert sorted(named) == sorted(heads)
     assert [t for d, t in got if d is None and shingles(t)] == ["a text of nobody at all here"]
+
+
+def test_links_between_any_blocks_of_a_large_node(spark):
+    rng = random.Random(4)
+    texts = []
+    for i in range(40):  # unlike sets, each with one near copy
+        base = [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+        texts += [" ".join(base), " ".join([*base[:-1], f"end{i}"])]
+    sets = sketch(spark.createDataFrame([(t, t) for t in texts], "text string, t string"), 64, 5).withColumnRenamed("set_key", "key")
+    sets = spark.createDataFrame(sets.collect(), sets.schema)
+    groups = sets.select(F.lit(1).alias("grp"), F.lit(len(texts)).alias("n"), "key")
+
+    def texts_of(keys):
+        return keys.join(sets, F.col("w") == F.col("key")).select("key", F.col("t").alias("text"))
+
+    label = {bytes(r.node): r.label for r in link_groups(groups, sets, texts_of, .6, 85, limit=8).collect()}
+    key = {r.t: bytes(r.key) for r in sets.collect()}
+    lost = [i for i in range(40) if key[texts[2 * i]] not in label or label[key[texts[2 * i]]] != label.get(key[texts[2 * i + 1]])]
+    assert not lost and len(set(label.values())) == 40
