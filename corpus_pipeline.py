@@ -29,7 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines whose template an earlier document has; a document of which nothing is left goes."""
-    cut = drop_recurring_lines(docs, keep=("lang", "source")).where("has_text")
+    cut = drop_recurring_lines(docs, keep=("lang", "source"), short=True).where("has_text")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

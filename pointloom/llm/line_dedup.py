@@ -6,6 +6,7 @@ itself, and, for longer lines, the masked line with one of five equal runs of th
 leading ones left open, so that a field may vary there too. Two lines of one template thus differ in
 tokens with digits and in at most a fifth of the others. A template found in two documents or more
 recurs. Its lines stay in the first of these documents (the smallest id) and are dropped from the rest.
+Lines of one or two tokens have no tree to walk; the queries key them word for word.
 
 Templates are keys, so a leaf is never gathered in one place: each key is summed up as its first and
 last document before anything is shuffled.
@@ -27,19 +28,19 @@ from pointloom.session import checkpoint, scratch_folder
 DEPTH = 3
 RUNS = 5
 LEAST_FOR_RUNS = 8
-#: Shorter lines are never templates.
+#: Shorter lines are no templates; where they are asked for, they recur word for word.
 LEAST_TOKENS = 3
 
 _number = re.compile(r"\d").search
 
 
-def template_keys(line: str) -> list[int]:
-    """64-bit keys of the templates of a line; none for a short line."""
+def template_keys(line: str, short: bool = False) -> list[int]:
+    """64-bit keys of the templates of a line; for a line of one or two tokens, of the line as it is, if ``short``, or none."""
     tokens = line.split()
     n = len(tokens)
-    if n < LEAST_TOKENS:
+    if n < LEAST_TOKENS and not (short and n):
         return []
-    if _number(line):
+    if n >= LEAST_TOKENS and _number(line):
         tokens = ["<*>" if _number(t) else t for t in tokens]
     lead = f"{n} " + " ".join(tokens[:DEPTH]) + "\n"
     key = lambda run, text: xxhash.xxh3_64_intdigest(f"{lead}{run} {text}".encode("utf-8", "surrogatepass")) - (1 << 63)
@@ -52,26 +53,28 @@ def template_keys(line: str) -> list[int]:
     return keys
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        of, numbers, keys = [], [], []
-        for i, text in enumerate(batch.column("text")):
-            for number, line in enumerate(text.as_py().split("\n")):
-                if found := template_keys(line):
-                    of.append(i)
-                    numbers.append(number)
-                    keys.append(found)
-        at = pa.array(of, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("h").take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                                         names=["id", "h", "line", "keys"])
+def _lines(short: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, numbers, keys = [], [], []
+            for i, text in enumerate(batch.column("text")):
+                for number, line in enumerate(text.as_py().split("\n")):
+                    if found := template_keys(line, short):
+                        of.append(i)
+                        numbers.append(number)
+                        keys.append(found)
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("h").take(at), pa.array(numbers, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
+                                             names=["id", "h", "line", "keys"])
+    return run
 
 
-def dropped_lines(rows: DataFrame) -> DataFrame:
+def dropped_lines(rows: DataFrame, short: bool = False) -> DataFrame:
     """id, h and the numbers (from 0) of the lines to drop, for rows of id, h (of the text) and text."""
     id_type = rows.schema["id"].dataType.simpleString()
     # Keys do not compress as rows of a checkpoint; as a table they take a third of it.
     folder = scratch_folder(rows.sparkSession)
-    rows.select("id", "h", "text").mapInArrow(_lines, f"id {id_type}, h long, line int, keys array<long>").write.parquet(folder)
+    rows.select("id", "h", "text").mapInArrow(_lines(short), f"id {id_type}, h long, line int, keys array<long>").write.parquet(folder)
     lines = rows.sparkSession.read.parquet(folder)
     keyed = lines.select("id", "h", "line", F.explode("keys").alias("key"))
     same = F.xxhash64("id", "h")
@@ -101,24 +104,24 @@ def _cut(others: list[str]):
     return run
 
 
-def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = (), short: bool = False) -> DataFrame:
     """Every row with what is left of its text: id, kept columns, text, n_lines, n_dropped, has_text.
 
     Lines end at ``\\n`` only. A null text is an empty one, which has one empty line. Lines of fewer
-    than three tokens are never dropped. Rows alike in id and text are one document, so they do not
+    than three tokens are dropped only if ``short``, and then where the same tokens recur. Rows alike in id and text are one document, so they do not
     make their lines recur. Null ids come after all others; rows that share the first id, or have no
     id where nobody has one, all keep the line. ``has_text`` is false where dropping left
     nothing but white space. Kept columns must not be named like the others.
     """
     rows = docs.select(F.col(id_column).alias("id"), text_of(text_column).alias("text"), *keep).withColumn("h", F.xxhash64("text"))
-    drops = dropped_lines(rows)
+    drops = dropped_lines(rows, short)
     both = rows.join(drops, F.col("id").eqNullSafe(F.col("d_id")) & (F.col("h") == F.col("d_h")), "left").select("id", *keep, "text", "dropped")
     kept = both.select("id", *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return both.mapInArrow(_cut(kept.columns), f"{schema}, text string, n_lines long, n_dropped long, has_text boolean").withColumnRenamed("id", id_column)
 
 
-def line_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def line_report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", short: bool = False) -> DataFrame:
     """One row per document: id, n_lines, n_dropped, n_chars_left and text_sha256 of the text that is left."""
-    cut = drop_recurring_lines(docs, id_column, text_column)
+    cut = drop_recurring_lines(docs, id_column, text_column, short=short)
     return cut.select(id_column, "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))

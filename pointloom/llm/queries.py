@@ -52,7 +52,7 @@ def kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), short=True)
 
 
 def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

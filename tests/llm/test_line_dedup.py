@@ -4,7 +4,11 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
+import corpus_pipeline
 from pointloom.llm.line_dedup import drop_recurring_lines, line_report
+from pointloom.llm.queries import QUERIES
 
 DIGIT = re.compile(r"\d")
 
@@ -80,3 +84,13 @@ def test_fields_vary(spark):
 
 def test_nothing(spark):
     assert line_report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_lines_recur_word_for_word(spark, tmp_path):
+    rows = [(1, "Haanth.\nsome line of its own\nPage 3"), (2, "Haanth.\nsome line of its own\nPage 3"), (3, "Haanth.\nPage 4\n\nhaanth."), (4, "  Page\t4 \nHaanth. Page")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).withColumn("source", F.lit("s"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = {r.doc_id: (r.n_lines, r.n_dropped) for r in QUERIES["op4_line_dedup"](spark, str(tmp_path)).collect()}
+    assert left == {1: (3, 0), 2: (3, 3), 3: (4, 1), 4: (2, 1)}
+    staged = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert staged == {1: rows[0][1], 3: "Page 4\n\nhaanth.", 4: "Haanth. Page"}
