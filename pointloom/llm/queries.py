@@ -56,7 +56,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"), whole=True)
 
 
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
