@@ -15,6 +15,7 @@ from pointloom.llm.license_scan import scan_licenses
 from pointloom.llm.line_dedup import line_report
 from pointloom.llm.mixing import mix_report
 from pointloom.llm.near_dedup import near_duplicates
+from pointloom.llm.packing import pack_documents
 from pointloom.llm.passage_dedup import repeated_passages
 from pointloom.llm.quality import quality_report
 from pointloom.llm.toxicity import toxicity_report
@@ -63,6 +64,12 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_byte_bpe": byte_bpe,
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": license_scan,
     "op9_kd_search": kd_search,
     "op10_toxicity": toxicity,
+    "op11_packing": packing,
     "pipeline": corpus_pipeline.run,
 }
 
