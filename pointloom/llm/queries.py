@@ -17,6 +17,7 @@ from pointloom.llm.mixing import mix_report
 from pointloom.llm.near_dedup import near_duplicates
 from pointloom.llm.packing import pack_documents
 from pointloom.llm.passage_dedup import repeated_passages
+from pointloom.llm.periodic_runs import periodic_runs, planted
 from pointloom.llm.quality import quality_report
 from pointloom.llm.toxicity import toxicity_report
 
@@ -70,6 +71,10 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(planted(table(spark, sf_dir, "documents")), with_runs=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_byte_bpe": byte_bpe,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_kd_search": kd_search,
     "op10_toxicity": toxicity,
     "op11_packing": packing,
+    "op12_periodic_runs": runs,
     "pipeline": corpus_pipeline.run,
 }
 
