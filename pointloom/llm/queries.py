@@ -20,6 +20,7 @@ from pointloom.llm.passage_dedup import repeated_passages
 from pointloom.llm.periodic_runs import periodic_runs, planted
 from pointloom.llm.quality import quality_report
 from pointloom.llm.toxicity import toxicity_report
+from pointloom.llm.vector_codes import ENTRIES, PARTS, ROUNDS, compress_vectors
 
 
 def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +76,41 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(planted(table(spark, sf_dir, "documents")), with_runs=False)
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def _vector_codes_sql() -> str:
+    """All distances of a round in one join; the rounds one after another."""
+    ctes = [
+        """v AS MATERIALIZED (SELECT vec_id, label, [floor(1024 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0)""",
+        f"""w AS MATERIALIZED (SELECT vec_id, label, p AS part, e[p * len(e) // {PARTS} + 1 : (p + 1) * len(e) // {PARTS}] AS x
+            FROM v, range({PARTS}) r(p))""",
+        "d AS MATERIALIZED (SELECT part, x, count(*) AS n FROM w GROUP BY part, x)",
+        f"""b0 AS MATERIALIZED (SELECT part, entry, x AS c FROM w JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry
+            FROM v ORDER BY vec_id LIMIT {ENTRIES}) f USING (vec_id))""",
+    ]
+
+    def nearest(k: int) -> str:
+        return f"""a{k} AS MATERIALIZED (SELECT part, x, any_value(n) AS n, min(struct_pack(away := away, entry := entry)) AS near FROM (
+            SELECT d.part, d.x, d.n, entry, list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c) AS away
+            FROM d JOIN b{k} USING (part)) GROUP BY part, x)"""
+
+    for k in range(ROUNDS):
+        ctes.append(nearest(k))
+        ctes.append(f"""m{k} AS (SELECT part, entry, list(mean ORDER BY i) AS c FROM (
+            SELECT part, near.entry AS entry, i, floor(sum(n * x[i]) / sum(n)) AS mean FROM a{k}, range(1, 4097) r(i) WHERE i <= len(x) GROUP BY ALL) GROUP BY part, entry)""")
+        ctes.append(f"b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (part, entry))")
+    ctes.append(nearest(ROUNDS))
+    ctes.append(f"""g AS (SELECT sha256(string_agg(list_aggregate([y::BIGINT for y in c], 'string_agg', ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+            FROM b{ROUNDS})""")
+    ctes.append(f"""r AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', near.entry), '' ORDER BY part) AS code, sum(near.away)::BIGINT AS error
+            FROM w JOIN a{ROUNDS} a USING (part, x) GROUP BY vec_id)""")
+    return "WITH " + ",\n".join(ctes) + """
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM r, g"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing,
     "op2_byte_bpe": byte_bpe,
@@ -88,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": toxicity,
     "op11_packing": packing,
     "op12_periodic_runs": runs,
+    "op13_vector_codes": vector_codes,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -105,6 +142,7 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op13_vector_codes": _vector_codes_sql(),
 }
 
 if corpus_pipeline.ORACLE_SQL:
