@@ -9,9 +9,11 @@ open sequence is left, which falls into sequences of powers of two, as those tak
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,13 +55,14 @@ class _Pieces(dict):
     def __init__(self, tokenizer) -> None:
         from tokenizers.pre_tokenizers import ByteLevel
 
-        self._bytes = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        of = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # Lower case of characters below the limit stays below it, but for the dot above.
+        self._letters = {c: of(chr(c))[0][0] for c in [*range(LIMIT), 0x307]}
         self._merge = tokenizer.model.tokenize
         self.characters = 0
 
     def __missing__(self, piece: str) -> bytes:
-        [(letters, _)] = self._bytes(piece)
-        ids = np.array([t.id for t in self._merge(letters)], "<u4").tobytes()
+        ids = array("I", [t.id for t in self._merge(piece.translate(self._letters))]).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
             self.characters += len(piece)
@@ -99,6 +102,17 @@ class Encoder:
         return b"".join(map(self._pieces.__getitem__, self._split(text.lower())))
 
 
+_WORKER: dict[str, Encoder] = {}
+
+
+def _worker_encoder(vocabulary: str, key: str) -> Encoder:
+    """One encoder for all tasks of a worker, with what it remembers."""
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = Encoder(vocabulary)
+    return _WORKER[key]
+
+
 class Tournament:
     """Room of a row of bins; a match of two neighbours is won by the larger room."""
 
@@ -227,10 +241,11 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_column:
     most = max([end_id, *steps["model"]["vocab"].values(), *(t["id"] for t in steps.get("added_tokens", []))])
     transit = "<u2" if most < 1 << 16 else "<u4"
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a vocabulary, of fixed size
+    key = hashlib.sha256(vocabulary.encode()).hexdigest()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(shared.value)
+        encode = _worker_encoder(shared.value, key)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
