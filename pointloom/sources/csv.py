@@ -98,6 +98,17 @@ def _raw_lines(spark: SparkSession, path: str | Sequence[str], patterns: _Patter
         (~quoted | F.rlike("value", F.lit(patterns.stays))).alias("stays"))
 
 
+def bare_return(line: Column) -> Column:
+    """In a line that starts outside quotes: a carriage return with text after it that does not stand inside quotes either."""
+    closed = F.regexp_replace(line, '"[^"]*+"', "q")
+    return F.contains(line, F.lit("\r")) & F.rlike(F.regexp_replace(closed, '(?s)".*', "q"), F.lit("\r[^\r]"))
+
+
+def _bare_returns_fail(file: str | None) -> None:
+    if file is not None:
+        raise LoadError(f"{file} ends lines with a carriage return alone; convert them to line feeds first")
+
+
 def _number_lines(lines: DataFrame, patterns: _Patterns) -> tuple[DataFrame, DataFrame, int, bool]:
     """Lines with ``file_no``, ``line`` and the header's line; the block table, its size, and if quotes span lines.
 
@@ -110,8 +121,7 @@ def _number_lines(lines: DataFrame, patterns: _Patterns) -> tuple[DataFrame, Dat
         F.min(F.when(filled, F.col("at"))).alias("filled"), F.min_by("value", F.when(filled, F.col("at"))).alias("head"),
         F.bool_or(F.col("opens") | ~F.col("stays")).alias("spans"),
         F.bool_or(~F.is_valid_utf8("value")).alias("damaged"),
-        # Inside quotes a carriage return is text; elsewhere it would be a line end that is not seen.
-        F.bool_or(~F.contains("value", F.lit('"')) & F.rlike("value", F.lit("\r[^\r]"))).alias("bare_returns"))
+        F.bool_or(bare_return(F.col("value"))).alias("bare_returns"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file")
     base = F.coalesce(F.sum("lines").over(earlier), F.lit(0))
@@ -127,8 +137,8 @@ def _number_lines(lines: DataFrame, patterns: _Patterns) -> tuple[DataFrame, Dat
         F.countDistinct(F.when(F.col("filled") == F.col("header"), F.rtrim("head", F.lit("\r")))).alias("heads")).first()
     if size["damaged"]:
         raise LoadError(f"{size['damaged']} holds bytes that are not UTF-8")
-    if size["bare_returns"]:
-        raise LoadError(f"{size['bare_returns']} ends lines with a carriage return alone; convert them to line feeds first")
+    if not size["spans"]:  # else some lines start inside quotes; they are judged when that is known
+        _bare_returns_fail(size["bare_returns"])
     if size["heads"] > 1:
         raise LoadError("The files of one load do not have the same header")
     starts = hint_if_small(blocks.select("file", "block", "first", "base", "header", "file_no"), size["n"])
@@ -170,8 +180,15 @@ def _records(lines: DataFrame, block_count: int) -> DataFrame:
         .withColumn("open", F.when(F.col("inside"), F.col("stays")).otherwise(F.col("opens")))
         .select("file_no", "block", "line", "header", "value", "inside", "open"))
 
+    # Of a line that starts inside quotes only what follows the closing quote can end a record.
+    closing = '(?s)^[^"]*+(?:""[^"]*+)*+"'
+    outside = F.when(~F.col("inside"), F.col("value")).when(F.rlike("value", F.lit(closing)), F.regexp_replace("value", closing, "q"))
     unfinished = state.groupBy("file_no").agg(F.max_by("open", "line").alias("open"),
-                                              F.max(F.when(~F.col("inside"), F.col("line"))).alias("from"))
+                                              F.max(F.when(~F.col("inside"), F.col("line"))).alias("from"),
+                                              F.min(F.when(bare_return(outside), F.col("line"))).alias("bare"))
+    bare = unfinished.where("bare IS NOT NULL").limit(1).collect()
+    if bare:
+        _bare_returns_fail(f"A file (line {bare[0]['bare']})")
     left = unfinished.where("open").limit(1).collect()
     if left:
         raise LoadError(f"Nothing was loaded: a quote is never closed, in a record starting on CSV line {left[0]['from']}")

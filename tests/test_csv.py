@@ -128,13 +128,21 @@ def test_mistakes_fail_the_load(spark, write):
         load_csv(spark, config(write('lon,lat,n\n1,2,x\n1,2,"open\n3,4,y\n')))
     with pytest.raises(LoadError, match="Every one of the 2"):
         load_csv(spark, config(write("lon,lat\nx,y\n,\n")))
-    with pytest.raises(LoadError, match='"lon" was not found'):
+    with pytest.raises(LoadError, match="longitude column lon is not in the header"):
         load_csv(spark, config(write("x,lat\n1,2\n")))
     for bad in (dict(delimiter="|"), dict(geometry_mode="polygon"), dict(longitude_field=""), dict(path="")):
         with pytest.raises(ValueError):
             config(write("lon,lat\n1,2\n")).__class__(**{**config("p").to_dict(), **bad}).check()
 
 
+def test_lone_carriage_returns_are_refused_beside_quotes(spark, write):
+    for text in ('"lon",lat\r1,2\r3,4\r', 'lon,lat,n\n1,2,x\r3,4,"y"\r5,6,z\n', 'lon,lat,n\n1,2,"a\nb"\r3,4,c\n', 'lon,lat\r1,2\r3,4\r', 'lon,lat,n\n1,2,"a\nb,"\r3,4,c\n'):
+        with pytest.raises(LoadError, match="carriage return"):
+            load_csv(spark, config(write(text)))
+    for text in ('"lon",lat,n\r\n1,2,"a\rb"\r\n', '"lon",lat,n\r\n1,2,"a\r\nb\rc"\r\n3,4,x\r\n', 'lon,lat,n\n1,2,"a""\rb"\n'):
+        assert load_csv(spark, config(write(text))).totals["rejected"] == 0
+
+
 def test_headers_only_need_the_first_record(spark, write):
     assert csv_headers(spark, write('﻿\n "a" ,b\n'.replace(' "a" ', '"a\nx"') + "1,2\n")) == ["a\nx", "b"]
     assert csv_headers(spark, write("a\tb c\n1\t2\n"), "\t") == ["a", "b c"]
