@@ -7,6 +7,7 @@ a function handed in: a live service, or a folder of saved answers.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import urllib.parse
@@ -248,11 +249,11 @@ class PagedRequest:
             out["sortBy"] = f"{self.sort} A"
         return out
 
-    def page(self, fetch: Fetch, offset: int, count: int) -> tuple[str, int]:
-        """The answer for one page and how many features it holds."""
+    def page(self, fetch: Fetch, offset: int, count: int) -> tuple[str, int, str]:
+        """The answer for one page, how many features it holds, and their signature."""
         size = "count" if self.version == "2.0.0" else "maxFeatures"
         text = fetch(self.params(outputFormat=self.format, startIndex=str(offset), **{size: str(count)}))
-        return text, feature_count(text)
+        return text, *describe_page(text)
 
     def hits(self, fetch: Fetch) -> int | None:
         """The advertised total; older services have none that can be trusted."""
@@ -266,13 +267,17 @@ class PagedRequest:
             return None  # totals are advisory, so a service without them is no error
 
 
-def feature_count(text: str) -> int:
+def describe_page(text: str) -> tuple[int, str]:
+    """How many features a page holds, and a digest of its first and last one; what else the page says may differ."""
     if text.lstrip().startswith("{"):
-        return len(json.loads(text).get("features") or [])
-    root = ET.fromstring(text)
-    raise_service_error(root)
-    single = [m for m in root if _local(m.tag) in ("member", "featureMember")]
-    return len(single) + sum(len(m) for m in root if _local(m.tag) == "featureMembers")
+        features = json.loads(text).get("features") or []
+        ends = [json.dumps(f, sort_keys=True) for f in (features[:1] + features[-1:])]
+    else:
+        root = ET.fromstring(text)
+        raise_service_error(root)
+        features = [f for m in root if _local(m.tag) in ("member", "featureMember", "featureMembers") for f in m]
+        ends = [ET.tostring(f, encoding="unicode").strip() for f in (features[:1] + features[-1:])]
+    return len(features), hashlib.sha256("\n".join(ends).encode()).hexdigest() if features else ""
 
 
 def plan_ranges(start: int, total: int | None, page_size: int, limit: int | None, parts: int) -> list[PageRange]:
@@ -291,23 +296,26 @@ def plan_ranges(start: int, total: int | None, page_size: int, limit: int | None
     return [PageRange(s, min(s + step, end)) for s in range(start, end, step)]
 
 
-def read_range(fetch: Fetch, request: PagedRequest, span: PageRange) -> Iterator[tuple[int, int, int, str]]:
-    """Pages of one range as ``(offset, requested, features, text)``.
+def read_range(fetch: Fetch, request: PagedRequest, span: PageRange, before: str = "") -> Iterator[tuple[int, int, int, str, str]]:
+    """Pages of one range as ``(offset, requested, features, text, signature)``.
 
     A service may return fewer features than asked, so each request starts where the
     last answer really ended. The page that ends the data ends the range: an empty one,
-    which is kept as a row without features, or on request a short one.
+    which is kept as a row without features, or on request a short one. So does a page
+    with the signature of the one before it (``before`` is that of the page in front of
+    the range): a service that ignores offsets would give it for ever.
     """
     at = span.start
     while at < span.end:
         wanted = min(request.page_size, span.end - at)
-        text, count = request.page(fetch, at, wanted)
+        text, count, signature = request.page(fetch, at, wanted)
         if count > wanted:
             raise LoadError(f"A page of {count} features was sent for a request of {wanted}")
-        yield at, wanted, count, text
+        yield at, wanted, count, text, signature
         at += count
-        if count == 0 or request.stop_on_short and count < wanted:
+        if count == 0 or signature == before or request.stop_on_short and count < wanted:
             return
+        before = signature
 
 
 class _Span(InputPartition):
@@ -315,18 +323,18 @@ class _Span(InputPartition):
         self.span = span
 
 
-PAGE_ROWS = "page bigint, requested int, features int, payload string"
+PAGE_ROWS = "page bigint, requested int, features int, payload string, signature string"
 
 
-def service_source(fetch: Fetch, request: PagedRequest, spans: Sequence[PageRange]) -> type[DataSource]:
-    """A data source class whose rows are pages: ``page, requested, features, payload``."""
+def service_source(fetch: Fetch, request: PagedRequest, spans: Sequence[PageRange], before: str = "") -> type[DataSource]:
+    """A data source class whose rows are pages; ``before`` is the signature of the page in front of the first range."""
 
     class Reader(DataSourceReader):
         def partitions(self):
             return [_Span(s) for s in spans]
 
         def read(self, partition):
-            yield from read_range(fetch, request, partition.span)
+            yield from read_range(fetch, request, partition.span, before if partition.span == spans[0] else "")
 
     class Pages(DataSource):
         @classmethod
@@ -342,16 +350,24 @@ def service_source(fetch: Fetch, request: PagedRequest, spans: Sequence[PageRang
     return Pages
 
 
-def stage_pages(spark: SparkSession, fetch: Fetch, request: PagedRequest, first: tuple[str, int], parts: int, folder: str) -> DataFrame:
+def chained_repeats(pages: DataFrame) -> DataFrame:
+    """Offsets of pages that begin where another one with the same signature ends."""
+    ends = pages.where("features > 0").select((F.col("page") + F.col("features")).alias("next"), F.col("signature").alias("before"))
+    return pages.join(ends, (F.col("page") == F.col("next")) & (F.col("signature") == F.col("before"))).select("page")
+
+
+def stage_pages(spark: SparkSession, fetch: Fetch, request: PagedRequest, first: tuple[str, int, str], parts: int, folder: str) -> DataFrame:
     """Write every page once, in waves of parallel ranges, and read back one contiguous run of them.
 
     ``first`` is the answer at offset zero, which is not asked for again. A service that
     gives fewer features than asked is asked for as many as it gives. Pages behind the
-    first page that ends the data are left out, whichever range they came from.
+    first page that ends the data are left out, whichever range they came from. Pages are
+    compared with the ones before them as waves arrive, so a service that repeats a page
+    fails the load before the next wave is planned.
     """
-    text, count = first
+    text, count, before = first
     wanted = min(request.page_size, request.limit or request.page_size)
-    spark.createDataFrame([(0, wanted, count, text)], PAGE_ROWS).write.parquet(folder)
+    spark.createDataFrame([(0, wanted, count, text, before)], PAGE_ROWS).write.parquet(folder)
     ended = count == 0 or request.stop_on_short and count < wanted
     total = None if ended else request.hits(fetch)
     if 0 < count < wanted:
@@ -359,15 +375,20 @@ def stage_pages(spark: SparkSession, fetch: Fetch, request: PagedRequest, first:
     at, end = count, count if ended else None
     while end is None and (request.limit is None or at < request.limit):
         spans = plan_ranges(at, total, request.page_size, request.limit, parts)
-        spark.dataSource.register(service_source(fetch, request, spans))
+        spark.dataSource.register(service_source(fetch, request, spans, before))
         spark.read.format("feature_service_pages").load().write.mode("append").parquet(folder)
+        arrived = spark.read.schema(PAGE_ROWS).parquet(folder)
+        repeated = chained_repeats(arrived.where((F.col("page") >= at) | (F.col("page") + F.col("features") == at))).agg(F.min("page")).first()[0]
+        if repeated is not None:
+            raise LoadError(f"Page {repeated} repeats the one before it; offsets are not supported")
         # One number: where the first page that ends the data leaves off.
         last = F.col("features") == 0
         if request.stop_on_short:
             last |= F.col("features") < F.col("requested")
-        end = (spark.read.schema(PAGE_ROWS).parquet(folder).where(last & (F.col("page") >= at))
-               .agg(F.min(F.col("page") + F.col("features"))).first()[0])
+        end = arrived.where(last & (F.col("page") >= at)).agg(F.min(F.col("page") + F.col("features"))).first()[0]
         at = spans[-1].end
+        ahead = arrived.where(F.col("page") + F.col("features") == at).select("signature").first()
+        before = ahead[0] if ahead else ""
     pages = spark.read.schema(PAGE_ROWS).parquet(folder).where("features > 0")
     return pages if end is None else pages.where(F.col("page") < end)
 
@@ -398,10 +419,10 @@ def read_feature_service(spark: SparkSession, config: SourceConfig, fetch: Fetch
     validate_load_rules(config.load_rules, hints or None)
     request = PagedRequest.of(config, push_service_filter(config.version, bounds, names, config.load_rules))
     wanted = min(config.page_size, config.limit or config.page_size)
-    first, count = request.page(fetch, 0, wanted)
+    first, count, signature = request.page(fetch, 0, wanted)
     if count > wanted:
         raise LoadError(f"A page of {count} features was sent for a request of {wanted}")
-    staged = stage_pages(spark, fetch, request, (first, count), config.max_parallel_requests, folder or scratch_folder(spark))
+    staged = stage_pages(spark, fetch, request, (first, count, signature), config.max_parallel_requests, folder or scratch_folder(spark))
     pages = staged.select("page", "payload")
     time = names.time.split(":")[-1]
     # The first page settles the schema; offsets become row ids.
@@ -426,7 +447,7 @@ def _by_offset(features: DataFrame) -> DataFrame:
 
 
 def check_service_load(load: ServiceLoad) -> None:
-    """Fail a load that overlaps, repeats pages or leaves the globe. Pages are compared by their features."""
+    """Fail a load that overlaps, repeats pages or leaves the globe. Pages are compared by their features, as they were while loading."""
     check_page_overrun(load.pages, "page", "requested")
     check_repeated_page(page_signatures(load.features, "__page", "__ordinal", ["__id", "__lon", "__lat", "__properties"]), "__page")
     check_duplicate_ids(load.table)

@@ -13,7 +13,7 @@ from pointloom.operators.integrity import (LoadError, check_coordinates, check_d
 from pointloom.sources.bounds import LoadBounds
 from pointloom.sources.config import SourceConfig
 from pointloom.sources.pages import (geojson_points, gml_layout, gml_points, infer_gml_schema, infer_json_schema, page_total, read_geojson_pages, read_gml_pages, saved_pages)
-from pointloom.sources.service import (PagedRequest, PageRange, QueryFields, check_service_load, plan_ranges, push_service_filter, read_feature_service, read_range,
+from pointloom.sources.service import (PagedRequest, PageRange, QueryFields, check_service_load, describe_page, plan_ranges, push_service_filter, read_feature_service, read_range,
                                        service_catalog, service_schema, service_url)
 from pointloom.table import Field
 
@@ -236,6 +236,41 @@ def test_a_service_without_offsets_is_noticed_whatever_else_a_page_says(spark):
         check_service_load(read_feature_service(spark, service(limit=8), stuck))
 
 
+@pytest.mark.parametrize("hits", [True, False])
+@pytest.mark.parametrize("features", [4, 1])
+def test_a_service_without_offsets_and_limit_ends_within_a_wave(spark, tmp_path, hits, features):
+    log = tmp_path / "asked"
+
+    def stuck(params, log=str(log)):
+        if params.get("resultType") == "hits":
+            if not hits:
+                raise OSError("no hits")
+            return '<FeatureCollection numberMatched="4000"/>'
+        with open(log, "a") as out:
+            out.write("x\n")
+        return collection([feature(i) for i in range(features)], timeStamp=params["startIndex"])
+
+    with pytest.raises(LoadError, match="repeats"):
+        read_feature_service(spark, service(), stuck)
+    assert len(log.read_text().split()) <= 1 + 2 * service().max_parallel_requests
+
+
+def test_a_repeat_between_two_waves_is_noticed(spark):
+    def late(params, turn=36):
+        start = int(params.get("startIndex", 0))
+        return answers(400, hits=False)({**params, "startIndex": str(min(start, turn))})
+
+    with pytest.raises(LoadError, match="repeats"):
+        read_feature_service(spark, service(max_parallel_requests=1), late)
+
+
+def test_gml_pages_are_compared_by_their_features():
+    member = '<wfs:member><obs id="o.{0}"><s>{0}</s></obs></wfs:member>'
+    page_of = lambda ids, stamp: f'<c xmlns:wfs="w" at="{stamp}">' + "".join(member.format(i) for i in ids) + "</c>"
+    assert describe_page(page_of([1, 2, 3], 1)) == describe_page(page_of([1, 2, 3], 2)) and describe_page(page_of([1, 2, 3], 1))[0] == 3
+    assert describe_page(page_of([1, 2, 3], 1))[1] != describe_page(page_of([1, 2, 4], 1))[1] and describe_page(page_of([], 1)) == (0, "")
+
+
 def test_long_preambles_hide_nothing(spark):
     padding = "<!-- " + "x" * 20_000 + " -->"
     layout = gml_layout('<FeatureCollection><member><obs><geom><Point><pos>1 2</pos></Point></geom></obs></member></FeatureCollection>')
