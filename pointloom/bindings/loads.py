@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import glob
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.integrity import (bad_coordinates, clamp_report, dataset_bounds, duplicate_ids, load_report, missing_id_warning, page_overruns,
@@ -18,6 +20,7 @@ from ..sources.generate import observations
 from ..sources.pages import (GmlLayout, geojson_points, gml_points, infer_gml_schema, infer_json_schema, page_total, read_geojson_pages,
                              read_gml_pages)
 from ..sources.roles import resolve_role_predictions
+from ..sources.service import check_service_load, read_feature_service, service_catalog
 from ..operators.picking import pick_rectangle
 from ..session import scratch_folder
 from ..table import Field
@@ -231,6 +234,53 @@ def json_schema(spark, folder):
     return names.select("name", F.element_at(F.create_map(*[F.lit(v) for pair in kinds.items() for v in pair]), F.col("name")).alias("kind"))
 
 
+class WrittenPages:
+    """A service over pages that Spark has written as one file for each offset; other offsets have no features."""
+
+    def __init__(self, folder: str, total: int):
+        self.folder, self.total = folder.removeprefix("file:"), total
+
+    def __call__(self, params) -> str:
+        if params.get("resultType") == "hits":
+            return f'<FeatureCollection numberMatched="{self.total}"/>'
+        at, size = int(params["startIndex"]), int(params["count"])
+        if at % PAGE or size != PAGE:
+            raise ValueError(f"asked for {size} features from {at} on")
+        found = glob.glob(f"{self.folder}/page={at // PAGE}/*.txt")
+        if not found:
+            return '{"type":"FeatureCollection","features":[]}'
+        with open(found[0], encoding="utf-8") as file:
+            return file.read()
+
+
+@register("read_feature_service", f"SELECT row_id, point_id, lon, lat, category, reading, date_trunc('milliseconds', ts) AS ts, active, value, "
+                                  f"'{{\"k\":' || CAST(k::BIGINT AS VARCHAR) || '}}' AS nested FROM {POINTS} p")
+def feature_service(spark, folder):
+    """All points by way of a paged service: pages made of them are asked for in parallel, staged, checked and typed."""
+    written = scratch_folder(spark)
+    geojson_pages(spark, folder).select("page", F.col("payload").alias("value")).repartition("page").write.partitionBy("page").text(written)
+    config = SourceConfig(id="pages", type="service", url="written pages", layer="obs", page_size=PAGE, max_parallel_requests=4)
+    load = read_feature_service(spark, config, WrittenPages(written, points(spark, folder).df.count()))
+    check_service_load(load)
+    return load.table.df
+
+
+@register("service_catalog", "SELECT 'obs:' || event_type AS name, CASE WHEN count(*) % 2 = 0 THEN 'Events of type ' || event_type ELSE 'obs:' || event_type END AS title, "
+                             "CASE WHEN event_type = 'error' THEN 'csv' ELSE 'gml,application/json' END AS formats FROM events GROUP BY event_type")
+def catalog(spark, folder):
+    """Layers of a capabilities document with a layer for each type of event; one has formats of its own."""
+    name = F.concat(F.lit("obs:"), F.col("event_type"))
+    title = F.when(F.col("n") % 2 == 0, F.concat(F.lit("<Title> Events of type "), F.col("event_type"), F.lit("</Title>"))).otherwise(F.lit(""))
+    formats = F.when(F.col("event_type") == "error", F.lit("<OutputFormats><Format>csv</Format></OutputFormats>")).otherwise(F.lit(""))
+    layers = read(spark, folder, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).agg(F.array_join(F.collect_list(F.concat(
+        F.lit("<FeatureType><Name>"), name, F.lit("</Name>"), title, formats, F.lit("</FeatureType>"))), "").alias("layers"))
+    shared = ('<ows:OperationsMetadata><ows:Operation name="GetFeature"><ows:Parameter name="outputFormat"><ows:AllowedValues><ows:Value>gml</ows:Value>'
+              "<ows:Value>application/json</ows:Value></ows:AllowedValues></ows:Parameter></ows:Operation></ows:OperationsMetadata>")
+    head = '<WFS_Capabilities xmlns="http://www.opengis.net/wfs/2.0" xmlns:ows="http://www.opengis.net/ows/1.1">'
+    document = layers.select(F.concat(F.lit(head + shared + "<FeatureTypeList>"), "layers", F.lit("</FeatureTypeList></WFS_Capabilities>")).alias("payload"))
+    return service_catalog(document).select("name", "title", F.array_join("formats", ",").alias("formats"))
+
+
 OBS = GmlLayout("obs", ("category", "reading", "ts", "active"), ("geom",))
 
 
