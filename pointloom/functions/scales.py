@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
 
@@ -47,18 +49,40 @@ def unscale_value(v: float, scale: str) -> float:
         return MAX_DOUBLE
 
 
+@dataclass(frozen=True)
+class _AxisRule:
+    """What an axis shows without a domain, the range it can show, and how one value becomes an interval."""
+
+    empty: tuple[float, float]
+    reach: tuple[float, float]
+    around: Callable[[float], tuple[float, float]]
+
+    def held(self, bound: float) -> float:
+        return sorted((self.reach[0], bound, self.reach[1]))[1]
+
+
+def _beside(margin: Callable[[float], float]) -> Callable[[float], tuple[float, float]]:
+    return lambda v: (v - margin(v), v + margin(v))
+
+
+#: A second beside a lone time, a twentieth (one at least) beside a lone number, half a decade on a logarithmic axis.
+_AXIS_RULES = {
+    (LINEAR, False): _AxisRule((0.0, 1.0), (-MAX_DOUBLE, MAX_DOUBLE), _beside(lambda v: max(abs(v) / 20, 1.0))),
+    (LINEAR, True): _AxisRule((0.0, 1.0), (-MAX_DOUBLE, MAX_DOUBLE), _beside(lambda v: 1000.0)),
+    (LOG10, False): _AxisRule((1.0, 10.0), (MIN_DOUBLE, MAX_DOUBLE), lambda v: (v / math.sqrt(10), v * math.sqrt(10))),
+}
+
+
 def axis_bounds(low: float | None, high: float | None, scale: str = LINEAR, date: bool = False) -> tuple[float, float]:
     """Bounds of an unbinned axis. A domain of one value is widened to both sides; without a domain a default stands in."""
-    default = {LOG10: (1.0, 10.0)}.get(scale, (0.0, 1.0))
-    if low is None or high is None or not (math.isfinite(scale_value(low, scale)) and math.isfinite(scale_value(high, scale))):
-        return default
-    if low < high or low > high:
-        return low, high
-    root = math.sqrt(10)
-    wide = 1000.0 if date else max(1.0, abs(low) * 0.05)
-    below, above = (low / root, low * root) if scale == LOG10 else (low - wide, low + wide)
-    least = MIN_DOUBLE if scale == LOG10 else -MAX_DOUBLE
-    return max(least, below), min(MAX_DOUBLE, above)
+    rule = _AXIS_RULES[scale, date and scale != LOG10]
+    placed = [v for v in (low, high) if v is not None and math.isfinite(scale_value(v, scale))]
+    if len(placed) < 2:
+        return rule.empty
+    if len(set(placed)) == 2:
+        return placed[0], placed[1]
+    least, most = rule.around(placed[0])
+    return rule.held(least), rule.held(most)
 
 
 def normalize_axis(v: Column, low: float, high: float) -> Column:

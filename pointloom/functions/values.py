@@ -201,8 +201,11 @@ def iso_from_millis(millis: int) -> str:
 
 
 def shown_from_millis(millis: int) -> str:
-    """Display text for a driver-side time literal."""
-    return iso_from_millis(millis).replace("T", " ").replace(".000Z", " UTC").replace("Z", " UTC")
+    """Display text for a driver-side time literal; milliseconds appear only when they are not zero."""
+    seconds, rest = divmod(int(millis), 1000)
+    stamp = datetime.fromtimestamp(0, timezone.utc) + timedelta(seconds=seconds)
+    day, clock = f"{stamp.year:04d}-{stamp.month:02d}-{stamp.day:02d}", f"{stamp.hour:02d}:{stamp.minute:02d}:{stamp.second:02d}"
+    return f"{day} {clock}{f'.{rest:03d}' if rest else ''} UTC"
 
 
 def literal_text(v: float) -> str:
