@@ -29,18 +29,26 @@ SLACK = 0.12
 SEED = 11
 
 
-def _paths(depth: int) -> Column:
-    """The node of each tree at a depth."""
-    return F.array(*(F.xxhash64(F.lit(t), *(F.substring("signature", (t * OWN_LEVELS + i) * 4 + 1, 4) for i in range(depth))) for t in range(TREES)))
+#: Bytes of the signature that belong to one tree.
+OWN_BYTES = 4 * OWN_LEVELS
+
+
+def _walks() -> Column:
+    """For each tree the tokens that a class is sent along by, level by level."""
+    return F.array(*(F.substring("signature", t * OWN_BYTES + 1, OWN_BYTES) for t in range(TREES)))
 
 
 def settled_nodes(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(grp, n, key) of every node of two or more classes at which branching ended."""
-    open_ = classes.select("key", F.posexplode(_paths(DEPTHS[0])).alias("tree", "path"))
+    """(grp, n, key) of every node of two or more classes at which branching ended.
+
+    A class goes down each tree with its own tokens, so that nothing is looked up on the way.
+    """
+    walking = classes.select("key", F.posexplode(_walks()).alias("tree", "walk"))
     done = None
     for i, depth in enumerate(DEPTHS):
+        open_ = walking.withColumn("path", F.xxhash64("tree", F.substring("walk", 1, 4 * depth)))
         sizes = open_.groupBy(F.col("tree").alias("s_tree"), F.col("path").alias("s_path")).agg(F.count("*").alias("n")).where("n > 1")
-        shared = checkpoint(open_.join(sizes, (F.col("tree") == F.col("s_tree")) & (F.col("path") == F.col("s_path"))).select("key", "tree", "path", "n"))
+        shared = checkpoint(open_.join(sizes, (F.col("tree") == F.col("s_tree")) & (F.col("path") == F.col("s_path"))).select("key", "tree", "path", "walk", "n"))
         last = i == len(DEPTHS) - 1
         here = (shared if last else shared.where(F.col("n") <= limit)).select(
             F.struct(F.lit(depth).alias("depth"), "tree", "path").alias("grp"), "n", "key")
@@ -48,8 +56,7 @@ def settled_nodes(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
         large = shared.where(F.col("n") > limit)
         if last or large.isEmpty():
             return done
-        open_ = large.select(F.col("key").alias("o_key"), "tree").join(classes.select("key", "signature"), F.col("o_key") == F.col("key")).select(
-            "key", "tree", F.element_at(_paths(DEPTHS[i + 1]), F.col("tree") + 1).alias("path"))
+        walking = large.select("key", "tree", "walk")
     raise AssertionError
 
 
