@@ -31,6 +31,9 @@ LEAST_FOR_RUNS = 8
 #: Shorter lines are no templates; where they are asked for, they recur word for word.
 LEAST_TOKENS = 3
 
+#: Texts that a worker handles at a time.
+ROWS = 256
+
 _number = re.compile(r"\d").search
 
 
@@ -53,9 +56,14 @@ def template_keys(line: str, short: bool = False) -> list[int]:
     return keys
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from (whole.slice(at, ROWS) for at in range(0, whole.num_rows, ROWS))
+
+
 def _lines(short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             of, numbers, keys = [], [], []
             for i, text in enumerate(batch.column("text")):
                 for number, line in enumerate(text.as_py().split("\n")):
@@ -89,7 +97,7 @@ def dropped_lines(rows: DataFrame, short: bool = False) -> DataFrame:
 
 def _cut(others: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             lines, drops, texts, left = [], [], [], []
             for text, dropped in zip(batch.column("text"), batch.column("dropped"), strict=True):
                 before, gone = text.as_py().split("\n"), set(dropped.as_py() or ())

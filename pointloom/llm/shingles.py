@@ -14,8 +14,9 @@ from pointloom.llm.common import WORD
 
 #: Words in a shingle.
 SHINGLE = 5
-#: Words that a worker remembers the hash of before it starts afresh.
-REMEMBERED = 500_000
+#: Words (of 64 characters at most) that a worker remembers the hash of before it starts afresh; texts that it works on at a time.
+REMEMBERED = 150_000
+ROWS = 256
 #: Shingles whose minima are taken at once.
 CHUNK = 2048
 
@@ -107,16 +108,18 @@ def sketch(rows: DataFrame, functions: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minwise = Minwise(functions, seed)
-        for batch in batches:
-            n, keys, signatures = [], [], []
-            for text in batch.column("text"):
-                s = shingle_set(text.as_py())
-                n.append(len(s))
-                keys.append(set_key(s) if len(s) else None)
-                signatures.append(minwise(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(f.name) for f in others), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
-                names=[*(f.name for f in others), "n_shingles", "set_key", "signature"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                n, keys, signatures = [], [], []
+                for text in batch.column("text"):
+                    s = shingle_set(text.as_py())
+                    n.append(len(s))
+                    keys.append(set_key(s) if len(s) else None)
+                    signatures.append(minwise(s).tobytes() if len(s) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(f.name) for f in others), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary())],
+                    names=[*(f.name for f in others), "n_shingles", "set_key", "signature"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
     return rows.mapInArrow(run, f"{schema}n_shingles long, set_key binary, signature binary")

@@ -29,6 +29,10 @@ SPARSITY = 2e-4
 COUNTERFACTUAL = 1.0
 STEPS = 400
 
+#: Words that a worker remembers the features of before it starts afresh; texts that it scores at a time.
+REMEMBERED = 150_000
+ROWS = 256
+
 _words = re.compile(r"[^\W\d_]+").findall
 _sentences = re.compile(r"[.!?\n]+").split
 
@@ -74,7 +78,7 @@ class Model:
     def score(self, text: str) -> float:
         met: set[str] = set()
         known = self._known
-        if len(known) > 500_000:
+        if len(known) > REMEMBERED:
             known.clear()
         for w in set(_words(text.lower())):
             found = known.get(w)
@@ -197,17 +201,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int =
 
 
 def score_documents(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """The kept columns and the score of every row; a null text scores as an empty one."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = pa.array([model.score(t.as_py()) for t in batch.column("_text")], pa.float64())
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), scores], names=[*names, "score"])
+    """The kept columns and the score of every row; a null text scores as an empty one.
 
+    A kept text travels once, and a few rows at a time come back.
+    """
     columns = list(dict.fromkeys([id_column, *keep]))
     kept = docs.select(*columns)
+    carried = text_column in columns and kept.schema[text_column].dataType.simpleString() == "string"
+    read = text_column if carried else "_text"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                scores = pa.array([model.score(t.as_py() or "") for t in batch.column(read)], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in columns), scores], names=[*columns, "score"])
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", score double"
-    return docs.select(*columns, text_of(text_column).alias("_text")).mapInArrow(run, schema)
+    return (kept if carried else docs.select(*columns, text_of(text_column).alias("_text"))).mapInArrow(run, schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_class: int = PER_CLASS,
