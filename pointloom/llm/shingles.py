@@ -80,7 +80,7 @@ class Minwise:
         """One row for each slice edges[0]:edges[1], edges[2]:edges[3], ... of ``shingles``, none of them empty."""
         longer = np.append(shingles, np.uint64(0))
         least = [np.minimum.reduceat(longer * a + b, edges)[::2] for a, b in zip(self._a, self._b, strict=True)]
-        return _mix(np.stack(least, axis=1)) >> np.uint64(32)
+        return _mix(np.stack(least, axis=1))
 
     def __call__(self, shingles: np.ndarray) -> np.ndarray:
         least = np.full(len(self._a), np.iinfo(np.uint64).max, np.uint64)
