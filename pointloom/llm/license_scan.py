@@ -1,7 +1,7 @@
 """Licence statements: phrases counted exactly, and templates found by a set-similarity join.
 
 A text block is a window of ``BLOCK`` words; windows start every half block, so every run of up to
-half a block of words lies in one of them whole. A block meets a template when it holds at least
+half a block of words lies in one of them whole. A block can meet a template only if it holds at least
 ``threshold`` of the template's distinct words. The join finds every such pair:
 
 * words are ordered by how many documents of the corpus hold them, rare first;
@@ -10,6 +10,10 @@ half a block of words lies in one of them whole. A block meets a template when i
 * length filter: a block with fewer than k distinct words cannot meet it;
 * positional filter: once too few of the template's words are left, counting stops.
 
+Words alike are not enough for short templates, so a pair that passes must also hold the words that name
+the licence, and the words that it shares must stand close together: in a stretch of ``SPREAD`` times the
+template's length. The containment is that of the best stretch.
+
 The templates are few and of fixed size, so they go to every task; documents never leave theirs.
 """
 
@@ -28,6 +32,8 @@ from pointloom.llm.common import lower_az, text_of
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BLOCK = 64
 THRESHOLD = 0.8
+#: Length of the stretch that must hold the words, in lengths of the template. Half a block holds the stretch of every template below.
+SPREAD = 1.4
 
 #: Phrases whose places are counted, with their labels. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -51,27 +57,51 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
+#: Words by which licences are told apart; a statement with one is found only where that word stands. Fixed values.
+NAMES = frozenset(("affero", "apache", "attribution", "commons", "creative", "gnu", "lesser", "mit", "mozilla", "nc", "sa"))
+
 
 @dataclass(frozen=True)
 class Template:
-    """Distinct words in global order, the number that must be met, and the words that are looked up."""
+    """Distinct words in global order, the number that must be met, the words that are looked up, those that must be there, and the stretch that holds them."""
 
     label: str
     words: tuple[str, ...]
     needed: int
     prefix: tuple[str, ...]
+    names: frozenset[str]
+    span: int
 
 
 def order_templates(templates: Sequence[tuple[str, str]], frequency: Mapping[str, int], threshold: float) -> list[Template]:
     """Put each template's words in the global order and cut its prefix."""
     out = []
     for label, text in templates:
-        words = tuple(sorted(set(re.findall(WORD, text)), key=lambda w: (frequency.get(w, 0), w)))
+        found = re.findall(WORD, text)
+        words = tuple(sorted(set(found), key=lambda w: (frequency.get(w, 0), w)))
         needed = max(1, math.ceil(threshold * len(words) - 1e-9))
-        out.append(Template(label, words, needed, words[:len(words) - needed + 1]))
+        out.append(Template(label, words, needed, words[:len(words) - needed + 1], NAMES & set(words), math.floor(SPREAD * len(found))))
     return out
 
 
+def closest(words: Sequence[str], t: Template) -> int:
+    """Most distinct words of the template that stand in one stretch of its span with all its names; 0 without such a stretch."""
+    places = [(i, w) for i, w in enumerate(words) if w in t.words]
+    inside: dict[str, int] = {}
+    best = first = 0
+    for i, w in places:
+        inside[w] = inside.get(w, 0) + 1
+        while places[first][0] <= i - t.span:
+            gone = places[first][1]
+            inside[gone] -= 1
+            if not inside[gone]:
+                del inside[gone]
+            first += 1
+        if len(inside) > best and t.names <= inside.keys():
+            best = len(inside)
+    return best
+
+
 def document_frequency(docs: DataFrame, words: Sequence[str], text_column: str = "text") -> dict[str, int]:
     """How many documents hold each of the given words: as many rows as words come to the driver."""
     held = F.array_intersect(F.regexp_extract_all(lower_az(text_of(text_column)), F.lit(WORD), F.lit(0)),
@@ -121,7 +151,8 @@ class Scanner:
                 for k in {min(b, last), max(0, min(b - 1, last))}:
                     candidates.setdefault(k, set()).update(self._rare[w])
         for k in sorted(candidates):
-            held = set(words[k * self._step:(k + 2) * self._step])
+            block = words[k * self._step:(k + 2) * self._step]
+            held = set(block)
             for i in sorted(candidates[k]):
                 t = self._templates[i]
                 if len(held) < t.needed:
@@ -132,6 +163,9 @@ class Scanner:
                     met += w in held
                     if met + left < t.needed:
                         break
+                if met < t.needed or not t.names <= held:
+                    continue
+                met = closest(block, t)
                 if met >= t.needed:
                     yield k * self._step, t.label, met / len(t.words)
 
@@ -158,7 +192,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     A-Z is lower-cased. ``n_base`` counts all places of the phrases, overlapping ones too. Labels are
     distinct, sorted and joined by commas; none give an empty string. ``score`` is 1 with a phrase,
     else the best containment of a block that meets a template, else 0. ``blocks`` lists every block
-    found: its first word, label and containment. A null or empty text has no words and finds nothing.
+    found: its first word, label and containment. A template with words of ``NAMES`` is met only where all of them stand. A null or empty text has no words and finds nothing.
     Repeated rows are scanned each; other columns are ignored.
     """
     known = {w for _, text in templates for w in re.findall(WORD, text)}

@@ -4,7 +4,7 @@ import random
 import re
 import string
 
-from pointloom.llm.license_scan import BLOCK, PHRASES, TEMPLATES, WORD, scan_licenses
+from pointloom.llm.license_scan import BLOCK, NAMES, PHRASES, SPREAD, TEMPLATES, WORD, scan_licenses
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -15,11 +15,13 @@ def brute(text):
     found = set()
     step = BLOCK // 2
     for at in range(0, max(1, len(words) - step), step):
-        held = set(words[at:at + BLOCK])
+        block = words[at:at + BLOCK]
         for label, t in TEMPLATES:
-            tokens = set(t.split())
-            if len(tokens & held) >= 0.8 * len(tokens) - 1e-9:
-                found.add((at, label, len(tokens & held) / len(tokens)))
+            tokens, width = set(t.split()), int(SPREAD * len(t.split()))
+            stretches = [set(block[i:i + width]) for i in range(len(block))]
+            met = max((len(tokens & s) for s in stretches if NAMES & tokens <= s), default=0)
+            if met >= 0.8 * len(tokens) - 1e-9:
+                found.add((at, label, met / len(tokens)))
     base = {label for _, label in places}
     starts = [i for i, _ in places]
     return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
@@ -49,6 +51,29 @@ def test_against_loops(spark):
     assert ours == theirs
 
 
+def test_every_stretch_fits_half_a_block():
+    assert max(int(SPREAD * len(t.split())) for _, t in TEMPLATES) <= BLOCK // 2
+
+
+def test_licences_are_told_apart(spark):
+    notice = "under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+    cases = [
+        ("This text is licensed under CC BY 4.0", "cc-by"),
+        ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc"),
+        ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa"),
+        (notice.format(""), "gpl"),
+        (notice.format("Lesser "), "gpl,lgpl"),
+        (notice.format("Affero "), "agpl,gpl"),
+        ("The album was released under the old license of the label", ""),
+        ("Released under the MIT license", "mit"),
+        ("Released, under the terms of, the MIT License", "mit"),
+        # The same words far apart.
+        ("released " + "x " * 20 + "under " + "x " * 20 + "the MIT " + "x " * 15 + "license", ""),
+    ]
+    out = scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"))
+    assert {r.doc_id: r.labels for r in out.collect()} == {i: label for i, (_, label) in enumerate(cases)}
+
+
 def test_nothing(spark):
     out = scan_licenses(spark.createDataFrame([], "doc_id long, text string"))
     assert out.collect() == []
