@@ -253,6 +253,15 @@ class RawScatter:
                  for side in (0, 1) for c in ("x", "y")]
         return self.rows.agg(*share)
 
+    def summary(self) -> DataFrame:
+        """Selected rows, how many have a place and how many have none, and the extent, in one scan."""
+        base = self.table.df if self.predicate is None else self.table.df.where(self.predicate)
+        placed = F.coalesce(_placed(self.table, self.x) & _placed(self.table, self.y), F.lit(False))
+        x0, y0, x1, y1 = self.bounds
+        at = {"x": _position(self.table, self.x, (x0, x1)), "y": _position(self.table, self.y, (y0, y1))}
+        share = [(F.min if side == 0 else F.max)(F.when(placed, (at[c] + 1) / 2)).alias(f"{c}{side}") for side in (0, 1) for c in ("x", "y")]
+        return base.agg(F.count(F.lit(1)).alias("selected"), F.count_if(placed).alias("plotted"), F.count_if(~placed).alias("missing"), *share)
+
     def fit(self) -> DataFrame:
         """The extent padded by 4 % of its size, at least a thousandth."""
         e = self.extent()

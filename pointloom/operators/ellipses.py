@@ -38,12 +38,13 @@ class EllipseConfig:
             raise ValueError(f"Units of ellipse axes are {UNITS}")
 
 
-def ellipse_params(table: PointTable, config: EllipseConfig) -> DataFrame:
-    """Axes in metres and orientation of every row; invalid ones stay as nulls.
+def _axes(table: PointTable, config: EllipseConfig) -> tuple[Column, Column, Column, Column]:
+    """Axes in metres, angle, and whether they make an ellipse."""
+    known = {f.name for f in table.fields}
 
-    Reversed axes are swapped and turned a quarter, so the directions are kept.
-    """
     def number(name: str) -> Column:
+        if name not in known:
+            return F.lit(None).cast("double")
         c = table.col(name)
         return to_number(c) if table.field(name).kind == STRING else c.cast("double")
 
@@ -52,6 +53,21 @@ def ellipse_params(table: PointTable, config: EllipseConfig) -> DataFrame:
     angle = number(config.orientation)
     longest = F.lit(math.pi * EARTH_RADIUS)
     valid = F.coalesce((a > 0) & (b > 0) & (a <= longest) & (b <= longest) & angle.isNotNull(), F.lit(False))
+    return a, b, angle, valid
+
+
+def has_ellipse(table: PointTable, config: EllipseConfig) -> Column:
+    """Whether a row's attributes make an ellipse."""
+    return _axes(table, config)[3]
+
+
+def ellipse_params(table: PointTable, config: EllipseConfig) -> DataFrame:
+    """Axes in metres and orientation of every row; invalid ones stay as nulls.
+
+    Reversed axes are swapped and turned a quarter, so the directions are kept.
+    An attribute that the table lacks leaves no row valid.
+    """
+    a, b, angle, valid = _axes(table, config)
     turned = F.when(b > a, angle + 90).otherwise(angle)
     return table.df.select(
         table.col(table.row).alias("row"), table.col(table.lon).alias("lon"), table.col(table.lat).alias("lat"),
@@ -127,7 +143,8 @@ def stride_sample(table: PointTable, stride: int) -> DataFrame:
     """
     if stride < 1:
         raise ValueError("Stride must be at least 1")
-    ordered = with_position(table.df, [table.col(table.row)], "__ordinal")
+    # Only the ids are put in order; the chosen rows are then looked up.
+    ordered = with_position(table.df.select(table.col(table.row).alias("__row")), [F.col("__row")], "__ordinal")
     last = ordered.agg(F.max("__ordinal")).first()[0]
     block = F.floor(F.col("__ordinal") / stride)
     word = F.lit(0xFFFFFFFF)
@@ -138,4 +155,5 @@ def stride_sample(table: PointTable, stride: int) -> DataFrame:
     h = h.bitwiseXOR(F.shiftrightunsigned(h, 15))
     # The last block may be short of its chosen row; then its last row stands in.
     chosen = F.least(block * stride + (h % stride if stride > 1 else F.lit(0)), F.lit(last))
-    return ordered.where(F.col("__ordinal") == chosen).drop("__ordinal")
+    kept = ordered.where(F.col("__ordinal") == chosen).select("__row")
+    return table.df.join(kept, table.col(table.row) == F.col("__row"), "left_semi")

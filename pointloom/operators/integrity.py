@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.geo import coordinates_ok, is_clamped
 from ..table import PointTable, quote
+from .ellipses import EllipseConfig, has_ellipse
 
 
 class LoadError(ValueError):
@@ -116,11 +117,12 @@ def union_bounds(bounds: Sequence[DataFrame]) -> DataFrame:
                                                      F.max("east").alias("east"), F.max("north").alias("north"))
 
 
-def load_report(table: PointTable, limit: int | None) -> DataFrame:
-    """Everything that is counted after a load, in one scan."""
+def load_report(table: PointTable, limit: int | None, ellipses: EllipseConfig | None = None) -> DataFrame:
+    """Everything that is counted after a load, in one scan; with ellipses also the rows that have none."""
+    invalid = [F.count_if(~has_ellipse(table, ellipses)).alias("invalid_ellipses")] if ellipses else []
     lon, lat, id = (table.col(c) for c in (table.lon, table.lat, table.id))
     loaded = F.count(F.lit(1))
     return table.df.agg(
         loaded.alias("loaded"), (F.lit(False) if limit is None else loaded == limit).alias("truncated"), F.count_if(is_clamped(lat)).alias("clamped"),
         F.coalesce(F.bool_or(id.isNull()), F.lit(False)).alias("missing_ids"), F.min(lon).alias("west"),
-        F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"))
+        F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"), *invalid)

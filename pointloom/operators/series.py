@@ -76,11 +76,15 @@ def combine_series(spec: ChartSpec, series: Sequence[Series], hidden: Iterable[s
     return shown_cells(both, [head], [f"element_at(array({names}), part + 1) AS source_id"])
 
 
+def raw_series(series: Sequence[Series], x_scale: str = "linear", y_scale: str = "linear",
+               hidden: Iterable[str] = ()) -> list[tuple[str, RawScatter]]:
+    """The unbinned scatter of every visible table, over bounds that all tables share."""
+    domains = shared_domains(series, True)
+    return [(s.source_id, scatter_raw(s.table, s.x, s.y, x_scale, y_scale, predicate=s.predicate, domains=domains))
+            for s in visible_series(series, hidden)]
+
+
 def combine_raw(series: Sequence[Series], x_scale: str = "linear", y_scale: str = "linear",
                 hidden: Iterable[str] = ()) -> DataFrame:
     """Unbinned scatter of several tables over shared bounds, one row per observation."""
-    domains = shared_domains(series, True)
-    parts: list[tuple[str, RawScatter]] = [
-        (s.source_id, scatter_raw(s.table, s.x, s.y, x_scale, y_scale, predicate=s.predicate, domains=domains))
-        for s in visible_series(series, hidden)]
-    return union_series((source, raw.rows) for source, raw in parts)
+    return union_series((source, raw.rows) for source, raw in raw_series(series, x_scale, y_scale, hidden))

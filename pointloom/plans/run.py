@@ -13,7 +13,7 @@ from ..operators.charts import ChartSpec, default_charts, run_charts, scatter_ra
 from ..operators.coloring import category_color, gradient_color
 from ..operators.expressions import applied
 from ..operators.integrity import load_report
-from ..operators.series import Series, combine_raw, combine_series
+from ..operators.series import Series, combine_series, raw_series, union_series
 from ..operators.timeline import pick_time_field, relative_window, timeline_extent
 from ..sources.bounds import LoadBounds
 from ..sources.config import SourceConfig
@@ -30,7 +30,9 @@ class AnalysisRun:
 
     ``results`` holds all single-table charts of a source, which share one scan;
     ``charts`` picks one chart out of them, or a comparison of several sources, or the
-    rows of an unbinned scatter. ``colors`` holds the colour of every row of a source,
+    rows of an unbinned scatter. ``plots`` holds, for the latter, how many selected rows of
+    each visible source have a place and how many have none, and the part of the plot that
+    they occupy. ``reports`` counts rows without a valid ellipse where a source has ellipses. ``colors`` holds the colour of every row of a source,
     ``imports`` what a CSV load accepted and rejected.
     """
 
@@ -39,6 +41,7 @@ class AnalysisRun:
     reports: dict[str, DataFrame]
     results: dict[str, DataFrame] = field(default_factory=dict)
     charts: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
+    plots: dict[tuple[str, str], DataFrame] = field(default_factory=dict)
     skipped_filters: list[str] = field(default_factory=list)
     colors: dict[str, DataFrame] = field(default_factory=dict)
     imports: dict[str, CsvLoad] = field(default_factory=dict)
@@ -83,7 +86,8 @@ def run_tables(spec: AnalysisSpec, tables: Mapping[str, PointTable]) -> Analysis
             run.skipped_filters.append(source)
         time = pick_time_field(table.fields, table.time_field)
         run.selections[source] = applied(table, expression, window=spec.window, time_field=time or None, box=spec.box)
-        run.reports[source] = load_report(table, configs[source].limit if source in configs and configs[source].type == "service" else None)
+        config = configs.get(source)
+        run.reports[source] = load_report(table, config.limit if config and config.type == "service" else None, config.ellipses() if config else None)
     for source, table in tables.items():
         a = analyses.get(source, SourceAnalysis(source))
         saved = a.charts or tuple(SavedChart(c) for c in default_charts(table.fields))
@@ -98,7 +102,9 @@ def run_tables(spec: AnalysisSpec, tables: Mapping[str, PointTable]) -> Analysis
                 run.charts[source, c.spec.id] = _compare(run, source, c)
             elif not c.spec.binned:
                 s = c.spec
-                run.charts[source, s.id] = scatter_raw(table, s.x, s.y, s.x_scale, s.y_scale, predicate=run.selections[source]).rows
+                raw = scatter_raw(table, s.x, s.y, s.x_scale, s.y_scale, predicate=run.selections[source])
+                run.charts[source, s.id] = raw.rows
+                run.plots[source, s.id] = union_series([(source, raw.summary())])
         if source in spec.coloring:
             run.colors[source] = _colored(table, spec.coloring[source])
     return run
@@ -119,7 +125,9 @@ def _compare(run: AnalysisRun, source: str, chart: SavedChart) -> DataFrame:
     members = [(source, spec.x, spec.y)] + [(s.source, s.x, s.y) for s in chart.series if s.source in run.tables]
     series = [Series(i, run.tables[i], x, y, run.selections[i]) for i, x, y in members]
     if not spec.binned:
-        return combine_raw(series, spec.x_scale, spec.y_scale, chart.hidden)
+        parts = raw_series(series, spec.x_scale, spec.y_scale, chart.hidden)
+        run.plots[source, spec.id] = union_series((s, raw.summary()) for s, raw in parts)
+        return union_series((s, raw.rows) for s, raw in parts)
     return combine_series(spec, series, chart.hidden)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field, fields
 
+from ..operators.ellipses import EllipseConfig
 from ..table import DATE, KINDS
 
 # Limits of a source.
@@ -45,9 +46,23 @@ class SourceConfig:
     time_field: str = ""
     geometry_field: str = ""
     load_rules: Sequence[Mapping] = ()
+    # uncertainty ellipses: all three attributes or none
+    major_field: str = ""
+    minor_field: str = ""
+    orientation_field: str = ""
+    major_unit: str = "m"
+    minor_unit: str = "m"
+
+    def ellipses(self) -> EllipseConfig | None:
+        """Attributes and units of the ellipses, if the source has any."""
+        chosen = EllipseConfig(self.major_field, self.minor_field, self.orientation_field, self.major_unit, self.minor_unit)
+        return chosen if chosen.major else None
 
     def check(self) -> "SourceConfig":
         """Raise on the first setting that cannot work."""
+        if not all(isinstance(n, str) for n in (self.major_field, self.minor_field, self.orientation_field)):
+            raise ValueError("Ellipse attributes are given by name")
+        self.ellipses()
         if self.type == "csv":
             check_type_overrides(self.field_types, None, self.time_field)
             if not self.path:

@@ -64,6 +64,36 @@ def test_unbinned_charts_colours_and_import_reports_are_kept(spark, tmp_path):
     assert sorted(r.color for r in run.colors["a"].collect())[:2] == ["#010203", "#010203"] and run.colors["b"].select("color").distinct().count() == 2
     assert run.imports["a"].totals["rejected"] == 1 and run.imports["b"].totals["imported"] == 2
     assert not run.reports["a"].first().truncated
+    alone, = run.plots["a", "raw"].collect()
+    assert (alone.source_id, alone.selected, alone.plotted, alone.missing) == ("a", 2, 2, 0) and (alone.x0, alone.x1) == (0.5, 1.0)
+    assert {r.source_id: (r.selected, r.plotted, r.missing) for r in run.plots["a", "two"].collect()} == {"a": (2, 2, 0), "b": (2, 2, 0)}
+
+
+def test_rows_without_a_place_and_without_an_ellipse_are_counted(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("lon,lat,t,v,w,major,minor,turn\n1,1,2024-01-01,1,5,10,2,90\n1,1,2024-01-01,2,,10,0,90\n1,1,2024-01-01,3,7,3,1,\n"
+                                    "1,1,2024-01-01,-1,8,2,1,0\n1,1,2024-01-01,9,9,2e9,1,0\n")
+    axes = {"major_field": "major", "minor_field": "minor", "orientation_field": "turn"}
+    saved = AnalysisSpec(
+        sources=(csv_source("a", str(tmp_path / "a.csv"), minor_unit="nm", **axes), csv_source("b", str(tmp_path / "a.csv"), **{**axes, "minor_field": "nowhere"}),
+                 csv_source("c", str(tmp_path / "a.csv"))),
+        analyses=(SourceAnalysis("a", (), rule("v", "lt", 9), (SavedChart(ChartSpec("raw", "scatter", "v", "w", binned=False, x_scale="log10")),)),))
+    run = run_analysis(spark, AnalysisSpec.from_json(saved.to_json()), str(tmp_path / "out"))
+    assert run.reports["a"].first().invalid_ellipses == 3 and run.reports["b"].first().invalid_ellipses == 5
+    assert "invalid_ellipses" not in run.reports["c"].columns
+    plot, = run.plots["a", "raw"].collect()
+    assert (plot.selected, plot.plotted, plot.missing) == (4, 2, 2)
+    assert [round(v, 6) for v in (plot.x0, plot.y0, plot.x1, plot.y1)] == [0.0, 0.0, 0.5, 0.5]
+    empty = run_tables(AnalysisSpec(analyses=(SourceAnalysis("a", (), rule("v", "gt", 99), (SavedChart(ChartSpec("raw", "scatter", "v", "w", binned=False)),)),)), {"a": run.tables["a"]})
+    assert empty.plots["a", "raw"].first().selected == 0 and empty.plots["a", "raw"].first().x0 is None
+
+
+def test_ellipse_settings_come_whole():
+    for wrong in ({"major_field": "a"}, {"major_field": "a", "minor_field": "b", "orientation_field": 5}, {"minor_unit": "km"}):
+        with pytest.raises(ValueError):
+            csv_source("a", "p", **wrong).check()
+    old = csv_source("a", "p").to_dict()
+    del old["major_field"]
+    assert SourceConfig.from_dict(old).check().ellipses() is None
 
 
 def test_round_trip_and_defaults():
