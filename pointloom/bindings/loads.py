@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.integrity import (bad_coordinates, clamp_report, dataset_bounds, duplicate_ids, load_report, missing_id_warning, page_overruns,
                                    page_signatures, repeated_pages, schema_drift, truncation_flag, union_bounds)
-from ..plans.run import run_tables
-from ..plans.spec import AnalysisSpec, SavedChart, SourceAnalysis
+from ..plans.run import AnalysisRun, run_analysis, run_tables
+from ..plans.spec import AnalysisSpec, SavedChart, SeriesMap, SourceAnalysis
 from ..operators.charts import ChartSpec
 from ..sinks.bundle import export_bundle, import_bundle
 from ..sinks.export import write_points
@@ -21,13 +21,14 @@ from ..sources.pages import (GmlLayout, geojson_points, gml_points, infer_gml_sc
                              read_gml_pages)
 from ..sources.roles import resolve_role_predictions
 from ..sources.service import check_service_load, read_feature_service, service_catalog
+from ..operators.expressions import rule
 from ..operators.picking import pick_rectangle
 from ..session import scratch_folder
 from ..table import Field
-from .charts import customer
+from .charts import CUSTOMER, customer
 from .filters import NESTED, NESTED_SQL
-from .rows import PLACED
-from .tables import LINEITEM, POINTS, categories_sql, histogram_sql, lineitem, points, read, register
+from .rows import PLACED, VALID
+from .tables import LINEITEM, POINTS, categories_sql, edges_sql, histogram_sql, inside, lineitem, points, read, register
 
 # --- rows of text, some of them damaged -----------------------------------
 
@@ -463,3 +464,95 @@ def saved_analysis(spark, folder):
     spec = AnalysisSpec.from_json(SPEC.to_json())
     run = run_tables(spec, {"events": points(spark, folder)})
     return run.results["events"].withColumn("value", F.round("value", 4))
+
+
+# --- saved analyses from CSV files to charts and reports ------------------
+
+def _run_from_csv(spark, folder) -> AnalysisRun:
+    """Events, some without a usable longitude, and customers as CSV files, loaded and charted by a saved analysis."""
+    n = F.col("row_id")
+    events = points(spark, folder).df.select(
+        F.when(n % 31 == 3, F.lit("nowhere")).otherwise(F.col("lon").cast("string")).alias("lon"), "lat", n.alias("event_id"), "category", "value", "reading", "k",
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("ts"))
+    customers = customer(spark, folder).df.select("lon", "lat", "c_custkey", "c_acctbal", "c_nationkey")
+    placed = dict(type="csv", longitude_field="lon", latitude_field="lat")
+    spec = AnalysisSpec(
+        sources=(SourceConfig(id="events", name="events", path=write_text(spark, events), time_field="ts", major_field="reading", minor_field="k",
+                              orientation_field="value", major_unit="nm", **placed),
+                 SourceConfig(id="customers", name="customers", path=write_text(spark, customers), **placed)),
+        analyses=(SourceAnalysis("events", (Field("category", "string"), Field("value", "number"), Field("ts", "date")), NESTED,
+                                 (SavedChart(ChartSpec("plot", "scatter", "reading", "ts", binned=False)),
+                                  SavedChart(ChartSpec("pairs", "scatter", "value", "k", binned=False), (SeriesMap("customers", "c_acctbal", "c_nationkey"),)),
+                                  SavedChart(ChartSpec("both", "bar", "value", bins=12), (SeriesMap("customers", "c_acctbal"),)))),
+                  SourceAnalysis("customers", (Field("c_nationkey", "number"),), rule("c_nationkey", "lt", 10), (SavedChart(ChartSpec("nations", "bar", "c_nationkey", bins=5)),))))
+    return run_analysis(spark, AnalysisSpec.from_json(spec.to_json()), scratch_folder(spark))
+
+
+GOOD = f"(SELECT *, (epoch_us(ts) // 1000) AS ms FROM {POINTS} p WHERE row_id % 31 <> 3)"
+_COUNTED = ("count(*) AS loaded, FALSE AS truncated, count(*) FILTER (abs(lat) > 85.05112878) AS clamped, FALSE AS missing_ids, min(lon) AS west, min(lat) AS south, "
+            "max(lon) AS east, max(lat) AS north")
+
+
+@register("run_analysis_report",
+          f"SELECT 'events' AS source, (SELECT count(*) FROM events) AS total, count(*) AS imported, (SELECT count(*) FROM events) - count(*) AS rejected, 0::BIGINT AS filtered, "
+          f"{_COUNTED}, count(*) FILTER (NOT coalesce({VALID}, FALSE)) AS invalid_ellipses FROM (SELECT lon, lat, reading * 1852 AS a, k AS b, value AS t FROM {GOOD} g) e "
+          f"UNION ALL SELECT 'customers', count(*), count(*), 0::BIGINT, 0::BIGINT, {_COUNTED}, NULL FROM {CUSTOMER} c")
+def analysis_reports(spark, folder):
+    """What each source's load accepted, rejected and left out, its bounds, and its rows without an ellipse."""
+    run = _run_from_csv(spark, folder)
+    parts = []
+    for source, report in run.reports.items():
+        totals = [F.lit(run.imports[source].totals[k]).cast("bigint").alias(k) for k in ("total", "imported", "rejected", "filtered")]
+        parts.append(report.select(F.lit(source).alias("source"), *totals, "*"))
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
+@register("run_analysis_raw", f"WITH d AS (SELECT min(reading) AS x0, max(reading) AS x1, min(ms) AS y0, max(ms) AS y1 FROM {GOOD} g) "
+                              "SELECT row_id::DOUBLE AS event_id, round((reading - x0) / (x1 - x0) * 2 - 1, 6) AS x, round((ms - y0) / (y1 - y0) * 2 - 1, 6) AS y "
+                              f"FROM {GOOD} g, d WHERE reading IS NOT NULL AND {NESTED_SQL}")
+def analysis_raw(spark, folder):
+    """Every selected observation that has a place in the unbinned chart, from its CSV cell on."""
+    run = _run_from_csv(spark, folder)
+    table = run.tables["events"]
+    known = table.df.select(table.col(table.row).alias("known"), "event_id")
+    return run.charts["events", "plot"].join(known, F.col("row") == F.col("known")).select("event_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+_SHARES = ", ".join(f"round({f}(({c} - {c}0) / ({c}1 - {c}0)) FILTER (x IS NOT NULL AND y IS NOT NULL), 6) AS {c}{i}_" for i, f in enumerate(("min", "max")) for c in ("x", "y"))
+
+
+def _plots_sql(chart: str, every: str, chosen: str) -> str:
+    """Counts and extent per source of the chosen pairs, within the bounds of all."""
+    names = ", ".join(f"{c}{i}_ AS {c}{i}" for c in ("x", "y") for i in (0, 1))
+    return (f"SELECT chart_id, source_id, selected, plotted, missing, {names} FROM ("
+            f"WITH d AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM {every} e) "
+            f"SELECT '{chart}' AS chart_id, source_id, count(*) AS selected, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS plotted, "
+            f"count(*) FILTER (x IS NULL OR y IS NULL) AS missing, {_SHARES} FROM {chosen} c, d GROUP BY source_id)")
+
+
+_PAIRS = (f"SELECT 'events' AS source_id, value AS x, k AS y FROM {GOOD} g", "SELECT 'customers', c_acctbal::DOUBLE, c_nationkey::DOUBLE FROM customer")
+
+
+@register("run_analysis_plots", " UNION ALL ".join((
+    _plots_sql("plot", f"(SELECT reading AS x, ms AS y FROM {GOOD} g)", f"(SELECT 'events' AS source_id, reading AS x, ms AS y FROM {GOOD} g WHERE {NESTED_SQL})"),
+    _plots_sql("pairs", f"({_PAIRS[0]} UNION ALL {_PAIRS[1]})", f"({_PAIRS[0]} WHERE {NESTED_SQL} UNION ALL {_PAIRS[1]} WHERE c_nationkey < 10)"))))
+def analysis_plots(spark, folder):
+    """Selected, plotted and missing rows and the occupied part of every unbinned chart."""
+    run = _run_from_csv(spark, folder)
+    parts = [run.plots["events", c].select(F.lit(c).alias("chart_id"), "source_id", "selected", "plotted", "missing", *[F.round(s, 6).alias(s) for s in ("x0", "x1", "y0", "y1")])
+             for c in ("plot", "pairs")]
+    return parts[0].unionByName(parts[1])
+
+
+_BALANCES = (f"SELECT 'events' AS source_id, value AS v FROM {GOOD} g", "SELECT 'customers', c_acctbal::DOUBLE FROM customer")
+
+
+@register("run_analysis_compare",
+          f"WITH bins AS {edges_sql(f'({_BALANCES[0]} UNION ALL {_BALANCES[1]})', 'v', 12)}, s AS ({_BALANCES[0]} WHERE {NESTED_SQL} UNION ALL {_BALANCES[1]} WHERE c_nationkey < 10), "
+          f"n AS (SELECT 'events' AS source_id UNION ALL SELECT 'customers' UNION ALL SELECT NULL), c AS (SELECT s.source_id, b.i FROM s JOIN bins b ON {inside('v')}) "
+          "SELECT n.source_id, 'both' AS chart_id, b.i AS cell, b.i AS x_bin, 0::BIGINT AS y_bin, "
+          "(SELECT count(*) FROM c WHERE c.i = b.i AND (n.source_id IS NULL OR c.source_id = n.source_id)) AS count, NULL::DOUBLE AS value FROM n CROSS JOIN bins b "
+          "UNION ALL SELECT n.source_id, 'both', -1, NULL, NULL, (SELECT count(*) FROM s WHERE v IS NULL AND (n.source_id IS NULL OR s.source_id = n.source_id)), NULL FROM n")
+def analysis_compare(spark, folder):
+    """Two loaded sources, each under its own filter, on shared bins."""
+    return _run_from_csv(spark, folder).charts["events", "both"]
