@@ -203,15 +203,33 @@ def join_guard(report: DataFrame, options: JoinOptions) -> int:
     return rows
 
 
+def _place(id: Column) -> tuple[Column, Column]:
+    """The word that holds a row id's bit, and the number of the bit."""
+    return F.shiftright(id.cast("long"), 6), id.cast("long").bitwiseAND(F.lit(63)).cast("int")
+
+
+def row_bits(rows: DataFrame, row: str = "row") -> DataFrame:
+    """A row set as bits, ``__word`` and ``__bits``: one row says which of 64 ids in a row belong to it.
+
+    Words are combined before the shuffle. A dense set takes two bits per row of its table, a sparse
+    one 16 bytes per member. Repeated ids count once, missing ids are left out.
+    """
+    word, bit = _place(F.col(row))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return rows.where(F.col(row).isNotNull()).groupBy(word.alias("__word")).agg(F.bit_or(one).alias("__bits"))
+
+
 def semi_applied(table: PointTable, rows: DataFrame, predicate: Column | None = None, row: str = "row") -> DataFrame:
     """Rows of a row set that are also in the current selection.
 
-    A brushed set is usually small next to its table, so it is counted first: a set
-    within the bound is broadcast and the table stays where it is.
+    The set is computed once, as bits in the checkpoint folder. A set of few words is broadcast and
+    the table stays where it is; a word joins at most once, so no row is repeated.
     """
     base = table.df if predicate is None else table.df.where(predicate)
-    ids = rows.select(F.col(row).alias("__row"))
-    return base.join(hint_if_small(ids, ids.count()), table.col(table.row) == F.col("__row"), "left_semi")
+    bits = checkpoint(row_bits(rows, row))
+    word, bit = _place(table.col(table.row))
+    met = base.join(hint_if_small(bits, bits.count()), word == F.col("__word"))
+    return met.where(F.call_function("bit_get", F.col("__bits"), bit) == 1).drop("__word", "__bits")
 
 
 intersect_rows = semi_applied

@@ -15,7 +15,7 @@ from pointloom.operators.coloring import Coloring, category_color, category_pale
 from pointloom.operators.ellipses import EllipseConfig, ellipse_outlines, ellipse_params, ellipse_samples, invalid_ellipses, stride_sample, thinning_stride
 from pointloom.operators.expressions import compile_expression, rule
 from pointloom.operators.highlights import chart_rows, highlight_counts, highlight_scatter
-from pointloom.operators.joins import JoinOptions, join_guard, join_inner, join_left, join_preview, join_report, join_schema
+from pointloom.operators.joins import JoinOptions, join_guard, join_inner, join_left, join_preview, join_report, join_schema, row_bits, semi_applied
 from pointloom.operators.ordering import with_position
 from pointloom.operators.picking import grid_groups, pick_radius, pick_rectangle, viewport_rows, world_cells
 from pointloom.operators.records import get_records, load_limit, record_at, records_index, records_json, records_page, records_sort
@@ -307,3 +307,16 @@ def test_a_crowded_palette_settles_as_one_after_another(spark):
     assert [r.code for r in settle_codes(df).orderBy("rank").collect()] == want
     ends = spark.createDataFrame([("a", 0, COLOR_COUNT - 1), ("b", 1, COLOR_COUNT - 1), ("c", 2, 0), ("d", 3, 5)], "value string, rank bigint, code bigint")
     assert [r.code for r in settle_codes(ends).orderBy("rank").collect()] == [COLOR_COUNT - 1, 0, 1, 5]
+
+
+def test_row_sets_are_bits(spark, table):
+    t = table("v double", [(float(i % 7),) for i in range(3000)])
+    base = t.df.select(t.col(t.row)).toPandas().iloc[:, 0].tolist()
+    asked = [r for r in base if r % 3 == 0] * 2 + [10 ** 12, -1, -64, None]
+    ids = spark.createDataFrame([(r,) for r in asked], "row long")
+    words = {r["__word"]: r["__bits"] for r in row_bits(ids).collect()}
+    assert sorted(w * 64 + b for w, bits in words.items() for b in range(64) if bits >> b & 1) == sorted({r for r in asked if r is not None})
+    got = semi_applied(t, ids, t.col("v") < 3)
+    assert got.columns == t.df.columns
+    assert sorted(r[t.row] for r in got.collect()) == [r for i, r in enumerate(base) if r % 3 == 0 and i % 7 < 3]
+    assert semi_applied(t, ids.limit(0)).count() == 0
