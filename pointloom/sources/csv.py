@@ -255,6 +255,8 @@ class CsvRecords:
     headers: tuple[str, ...]
     rows: DataFrame
     config: SourceConfig
+    #: ``file_no, file``: one row per file that was read.
+    files: DataFrame | None = None
 
     def cell(self, name: str) -> Column:
         """Text of one column as it stands in the file."""
@@ -271,8 +273,8 @@ def read_records(spark: SparkSession, config: SourceConfig) -> CsvRecords:
     require_utc(spark)
     patterns = _Patterns(config.delimiter)
     headers = csv_headers(spark, config.path, config.delimiter)
-    numbered, _, blocks, spans = _number_lines(_raw_lines(spark, config.path, patterns), patterns)
-    records = _records(numbered, blocks) if spans else numbered.select("file_no", "line", "header", "value")
+    numbered, blocks, block_count, spans = _number_lines(_raw_lines(spark, config.path, patterns), patterns)
+    records = _records(numbered, block_count) if spans else numbered.select("file_no", "line", "header", "value")
     d = config.delimiter
     value, quoted = F.col("raw"), F.contains("raw", F.lit('"'))
     rows = (records.where((F.col("line") != F.col("header")) & ~F.rlike("value", F.lit(patterns.blank)))
@@ -292,7 +294,7 @@ def read_records(spark: SparkSession, config: SourceConfig) -> CsvRecords:
     cells = F.when(quoted, F.array(*[F.col(f"__parsed.c{i}") for i in range(len(headers))])).otherwise(F.col("__plain"))
     rows = rows.select("__row", "__file", "__line", "__problem", F.when(F.col("__problem").isNull(), cells).alias("__cells"),
                        F.rlike("raw", F.lit(patterns.padded)).alias("__padded"))
-    return CsvRecords(tuple(headers), with_texts(rows), config)
+    return CsvRecords(tuple(headers), with_texts(rows), config, blocks.select("file_no", "file").distinct())
 
 
 def with_texts(rows: DataFrame) -> DataFrame:
@@ -460,25 +462,33 @@ def stage_rows(judged: DataFrame, path: str, reason: str = "reject_reason", filt
     return judged.sparkSession.read.schema(schema).parquet(path)
 
 
-def import_report(staged: DataFrame, reason: str = "reject_reason", line: str = "line") -> tuple[DataFrame, DataFrame]:
+def import_report(staged: DataFrame, reason: str = "reject_reason", line: str = "line", row: str = "row_id",
+                  files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Totals of staged rows in one row, and per reason a count with its first five line numbers.
 
-    The line lists keep at most five per reason before the shuffle, so even a reason
+    The first are those of the first files. With a table of the files, ``files`` names the file of
+    each of ``lines``. The lists keep at most five per reason before the shuffle, so even a reason
     that covers most rows stays small.
     """
     outcome = F.col(OUTCOME)
     totals = staged.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(outcome == n).alias(n) for n in ("imported", "rejected", "filtered")])
-    bad = staged.where(outcome == "rejected").select(F.col(quote(reason)).alias("reason"), F.col(quote(line)).alias("line"))
-    counts = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("count"), F.min("line").alias("first_line"))
-    first = Window.partitionBy("reason").orderBy("line")
-    examples = (bad.withColumn("n", F.row_number().over(first)).where(F.col("n") <= EXAMPLE_LINES)
-                .groupBy("reason").agg(F.array_sort(F.collect_list("line")).alias("lines")))
-    return totals, counts.join(examples, "reason").orderBy("first_line").drop("first_line")
+    bad = staged.where(outcome == "rejected").select(
+        F.col(quote(reason)).alias("reason"), F.col(quote(line)).alias("line"), F.col(quote(row)).alias("row"))
+    counts = bad.groupBy("reason").agg(F.count(F.lit(1)).alias("count"), F.min("row").alias("first_row"))
+    first = Window.partitionBy("reason").orderBy("row")
+    examples = bad.withColumn("n", F.row_number().over(first)).where(F.col("n") <= EXAMPLE_LINES)
+    shown = ["lines"]
+    if files is not None:
+        examples = examples.join(files, F.shiftright("row", FILE_SHIFT) == F.col("file_no"))
+        shown.append("files")
+    places = F.array_sort(F.collect_list(F.struct("n", "line", *(["file"] if files is not None else []))))
+    listed = examples.groupBy("reason").agg(places.alias("places")).select("reason", *[F.col(f"places.{c[:-1]}").alias(c) for c in shown])
+    return totals, counts.join(listed, "reason").orderBy("first_row").drop("first_row")
 
 
 @dataclass(frozen=True)
 class CsvLoad:
-    """Result of a CSV load; ``staged`` holds every row with its outcome."""
+    """Result of a CSV load; ``staged`` holds every row with its outcome, ``issues`` the rejected ones by reason, with files and lines of the first."""
 
     table: PointTable
     staged: DataFrame
@@ -499,7 +509,7 @@ def load_csv(spark: SparkSession, config: SourceConfig, bounds: LoadBounds | Non
     id_of = lambda n: unique_name(n, names)
     reason, filtered, line = id_of("reject_reason"), id_of("filtered"), id_of("line")
     staged = stage_rows(validate_rows(records, fields, bounds), path or scratch_folder(spark), reason, filtered)
-    totals_df, issues = import_report(staged, reason, line)
+    totals_df, issues = import_report(staged, reason, line, id_of("row_id"), records.files)
     totals = totals_df.first().asDict()
     if totals["total"] and totals["rejected"] == totals["total"]:
         raise LoadError(f"Every one of the {totals['total']:,} CSV rows was rejected; first reason: {issues.first()['reason']}")

@@ -260,6 +260,19 @@ def test_several_files_with_the_same_header(spark, tmp_path, write):
     assert rows(load, "point_id", "n") == [("csv.2", "0"), ("csv.3", "x0"), ("csv.2.2", "1"), ("csv.2.3", "x1"), ("csv.3.2", "2"), ("csv.3.3", "x2")]
 
 
+def test_reported_lines_name_their_file(spark, tmp_path):
+    folder = tmp_path / "several"
+    folder.mkdir()
+    (folder / "a.csv").write_text('lon,lat,n\n1,1,1\n1,1,"two\nlines"\nx,1,2\n1,1\nx,1,3\n')
+    (folder / "b.csv").write_text("lon,lat,n\n" + "x,1,4\n" * 7 + "1,1,5\n")
+    (folder / "c.csv").write_text("lon,lat,n\n1,1\n")
+    found = [(r.reason, r["count"], [(f.rsplit("/", 1)[1], n) for f, n in zip(r.files, r.lines, strict=True)]) for r in load_csv(spark, config(str(folder))).issues.collect()]
+    assert found == [("Longitude and latitude must be decimal numbers", 9, [("a.csv", 5), ("a.csv", 7), ("b.csv", 2), ("b.csv", 3), ("b.csv", 4)]),
+                     ("Expected 3 columns; found 2", 2, [("a.csv", 6), ("c.csv", 2)])]
+    (folder / "d.csv").write_text("lon,lat,n\n")
+    assert load_csv(spark, config(str(folder / "d.csv"))).issues.count() == 0
+
+
 def test_roles(spark):
     cases = {"clear": [("x", 0.8), ("y", 0.1), (None, 0.1)], "close": [("x", 0.5), ("y", 0.45), (None, 0.05)], "none": [(None, 0.9), ("x", 0.1)],
              "margin": [("x", 0.56), ("y", 0.44), (None, 0.0)]}
