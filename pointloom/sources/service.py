@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -324,6 +325,12 @@ class _Span(InputPartition):
 
 
 PAGE_ROWS = "page bigint, requested int, features int, payload string, signature string"
+PAGE_BATCH = pa.schema([("page", pa.int64()), ("requested", pa.int32()), ("features", pa.int32()), ("payload", pa.string()), ("signature", pa.string())])
+
+
+def page_batch(row: tuple[int, int, int, str, str]) -> pa.RecordBatch:
+    """One page as a batch of its own; of plain rows a worker gathers thousands before it hands them over."""
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PAGE_BATCH)], schema=PAGE_BATCH)
 
 
 def service_source(fetch: Fetch, request: PagedRequest, spans: Sequence[PageRange], before: str = "") -> type[DataSource]:
@@ -334,7 +341,7 @@ def service_source(fetch: Fetch, request: PagedRequest, spans: Sequence[PageRang
             return [_Span(s) for s in spans]
 
         def read(self, partition):
-            yield from read_range(fetch, request, partition.span, before if partition.span == spans[0] else "")
+            yield from map(page_batch, read_range(fetch, request, partition.span, before if partition.span == spans[0] else ""))
 
     class Pages(DataSource):
         @classmethod

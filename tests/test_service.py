@@ -13,8 +13,8 @@ from pointloom.operators.integrity import (LoadError, check_coordinates, check_d
 from pointloom.sources.bounds import LoadBounds
 from pointloom.sources.config import SourceConfig
 from pointloom.sources.pages import (geojson_points, gml_layout, gml_points, infer_gml_schema, infer_json_schema, page_total, read_geojson_pages, read_gml_pages, saved_pages)
-from pointloom.sources.service import (PagedRequest, PageRange, QueryFields, check_service_load, describe_page, plan_ranges, push_service_filter, read_feature_service, read_range,
-                                       service_catalog, service_schema, service_url)
+from pointloom.sources.service import (PAGE_ROWS, PagedRequest, PageRange, QueryFields, check_service_load, describe_page, plan_ranges, push_service_filter, read_feature_service, read_range,
+                                       service_catalog, service_schema, service_source, service_url)
 from pointloom.table import Field
 
 # Workers do not import tests, so their functions travel by value.
@@ -329,3 +329,19 @@ def test_checks_on_tables(table, spark):
     variants = spark.range(1).select(F.parse_json(F.lit('{"a":1,"new":2}')).alias("p"))
     with pytest.raises(LoadError, match="new"):
         check_schema_drift(variants, "p", ["a"])
+
+
+def test_pages_leave_a_worker_one_at_a_time():
+    """Ten thousand pages of text must not gather in a worker before Spark gets them."""
+    asked = []
+
+    def fetch(params):
+        asked.append(params)
+        return answers(400)(params)
+
+    request = PagedRequest.of(service(), None)
+    reader = service_source(fetch, request, [PageRange(0, 400)])({}).reader(None)
+    given = reader.read(reader.partitions()[0])
+    batch = next(given)
+    assert len(asked) == 1 and batch.num_rows == 1 and batch.schema.names == [c.split()[0] for c in PAGE_ROWS.split(", ")]
+    assert 1 + sum(b.num_rows for b in given) == len(list(read_range(answers(400), request, PageRange(0, 400))))
