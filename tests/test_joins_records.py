@@ -15,6 +15,7 @@ from pointloom.operators.coloring import Coloring, category_color, category_pale
 from pointloom.operators.ellipses import EllipseConfig, ellipse_outlines, ellipse_params, ellipse_samples, invalid_ellipses, stride_sample, thinning_stride
 from pointloom.operators.expressions import compile_expression, rule
 from pointloom.operators.highlights import chart_rows, highlight_counts, highlight_scatter
+from pointloom.operators import joins, ordering
 from pointloom.operators.joins import JoinOptions, join_guard, join_inner, join_left, join_preview, join_report, join_schema, row_bits, semi_applied
 from pointloom.operators.ordering import with_position
 from pointloom.operators.picking import grid_groups, pick_radius, pick_rectangle, viewport_rows, world_cells
@@ -320,3 +321,28 @@ def test_row_sets_are_bits(spark, table):
     assert got.columns == t.df.columns
     assert sorted(r[t.row] for r in got.collect()) == [r for i, r in enumerate(base) if r % 3 == 0 and i % 7 < 3]
     assert semi_applied(t, ids.limit(0)).count() == 0
+
+
+# --- many pairs from few rows ---------------------------------------------
+
+MANY = [("hot" if i % 3 else f"k{i % 7}", float(i)) for i in range(300)] + [(None, -1.0), ("  ", -2.0), ("lonely", -3.0)]
+PARTNERS = [("hot" if i % 4 else f"k{i % 5}", f"n{i}") for i in range(200)] + [(None, "x")]
+
+
+def _expected(mode, left=MANY, right=PARTNERS, ids=None):
+    pairs = []
+    for i, (k, _) in enumerate(left):
+        met = [j for j, (o, _) in enumerate(right) if k is not None and k.strip() and o == k]
+        pairs += [((ids or range(len(left)))[i], j) for j in met] or ([((ids or range(len(left)))[i], None)] if mode == "left" else [])
+    return sorted(pairs, key=lambda p: (p[0], -1 if p[1] is None else p[1]))
+
+
+@pytest.mark.parametrize("mode", ["inner", "left"])
+def test_heavy_keys_are_joined_in_blocks(table, monkeypatch, mode):
+    """A key with many rows on both sides is dealt to many tasks, and each pair comes once."""
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 16)
+    left, right = table("key string, value double", MANY), table("key string, note string", PARTNERS)
+    rows = (join_inner if mode == "inner" else join_left)(left, right, JoinOptions("key", "key", mode)).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(((r.lrow, r.rrow) for r in rows), key=lambda p: (p[0], -1 if p[1] is None else p[1])) == _expected(mode)
+    hot = {r.lrow for r in rows if r["Dataset 1.key"] == "hot"}
+    assert len(hot) == 200 and len({r.task for r in rows if r.lrow in hot}) > 1
