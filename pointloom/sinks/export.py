@@ -9,10 +9,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.values import value_text
-from ..operators.joins import JoinOptions, join_guard, join_report, join_rows, join_schema
-from ..operators.ordering import with_position
+from ..operators.joins import JoinOptions, join_guard, join_report, join_schema, placed_join_rows
 from ..operators.picking import world_cell
-from ..operators.records import matching, record_column, records_order
+from ..operators.records import matching, ranked_order, record_column
 from ..operators.timeline import pick_time_field
 from ..table import BOOLEAN, DATE, Field, PointTable, quote, unique_name
 
@@ -59,7 +58,8 @@ def export_selection_csv(table: PointTable, path: str, predicate: Column | None
 def records_rows(table: PointTable, columns: Sequence[str], sort: str = "", descending: bool = False, search: str = "",
                  predicate: Column | None = None) -> DataFrame:
     """Chosen columns of matching records, in query order."""
-    ordered = matching(table, search, predicate).orderBy(*records_order(table, sort, descending))
+    rows, order = ranked_order(table, matching(table, search, predicate), sort, descending)
+    ordered = rows.orderBy(*order)
     shown, taken = [], []
     for key in columns:
         c, kind = record_column(table, key)
@@ -108,7 +108,7 @@ def save_joined(left: PointTable, right: PointTable, options: JoinOptions, path:
     carried = next((n for s, c, n, k in schema if s == "left" and c == time and k == DATE), "")
     fields = tuple(Field(n, k) for _, _, n, k in schema)
     # Left order, then right order; unmatched left rows come where they stand.
-    placed = with_position(join_rows(left, right, options), [F.asc("lrow"), F.asc_nulls_first("rrow")], "row_id")
+    placed = placed_join_rows(left, right, options, "row_id")
     placed.select("row_id", F.concat(F.lit("joined."), F.col("row_id").cast("string")).alias("point_id"),
                   *[F.col(quote(f.name)) for f in fields]).write.mode("errorifexists").parquet(path)
     saved = left.df.sparkSession.read.parquet(path)

@@ -346,3 +346,29 @@ def test_heavy_keys_are_joined_in_blocks(table, monkeypatch, mode):
     assert sorted(((r.lrow, r.rrow) for r in rows), key=lambda p: (p[0], -1 if p[1] is None else p[1])) == _expected(mode)
     hot = {r.lrow for r in rows if r["Dataset 1.key"] == "hot"}
     assert len(hot) == 200 and len({r.task for r in rows if r.lrow in hot}) > 1
+
+
+@pytest.mark.parametrize("mode", ["inner", "left"])
+def test_saved_join_is_numbered_without_sorting_pairs(table, monkeypatch, tmp_path, mode):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 16)
+    left, right = table("key string, value double", MANY), table("key string, note string", PARTNERS)
+    sorted_sizes = []
+    fixed = ordering._fixed
+    monkeypatch.setattr(ordering, "_fixed", lambda df, keys: (sorted_sizes.append(df.count()), fixed(df, keys))[1])
+    saved = save_joined(left, right, JoinOptions("key", "key", mode), str(tmp_path / "j")).df.orderBy("row_id").collect()
+    want = _expected(mode)
+    assert [r.row_id for r in saved] == list(range(len(want)))
+    assert [(r["Dataset 1.value"], r["Dataset 2.note"]) for r in saved] == [(MANY[i][1], None if j is None else PARTNERS[j][1]) for i, j in want]
+    assert max(sorted_sizes) <= len(MANY)  # of thousands of pairs none is sorted
+
+
+def test_saved_join_with_repeated_and_missing_row_ids(table, tmp_path):
+    left, right = table("key string, value double", MANY[:40]), table("key string, note string", PARTNERS[:40])
+    again = left.with_df(left.df.withColumn("row_id", F.when(F.col("row_id") % 10 != 0, F.floor(F.col("row_id") / 2))))
+    options = JoinOptions("key", "key", "left")
+    pairs = join_left(again, right, options).orderBy("lrow", F.asc_nulls_first("rrow")).collect()
+    saved = save_joined(again, right, options, str(tmp_path / "j")).df.orderBy("row_id").collect()
+    assert [r.row_id for r in saved] == list(range(len(pairs)))
+    place = {f"p{i}": (None if i % 10 == 0 else i // 2) for i in range(40)}
+    number = {n: i for i, (_, n) in enumerate(PARTNERS)}
+    assert [(place[r["Dataset 1.@id"]], number.get(r["Dataset 2.note"])) for r in saved] == [(r.lrow, r.rrow) for r in pairs]
