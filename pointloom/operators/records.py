@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.values import natural_key, search_text, value_text
 from ..table import BOOLEAN, DATE, NUMBER, STRING, PointTable
 from .joins import semi_applied
-from .ordering import with_position
+from .ordering import with_position, with_rank
 
 # Fixed values.
 MAX_PAGE = 100
@@ -51,6 +51,28 @@ def records_order(table: PointTable, sort: str = "", descending: bool = False) -
     return [key.desc_nulls_last() if descending else key.asc_nulls_last(), row]
 
 
+def ranked(rows: DataFrame, text: Column) -> DataFrame:
+    """Rows with ``__rank``, which orders them as the natural key of ``text`` does.
+
+    Comparing under a locale is slow, so only distinct texts are put in order by it; rows are then ordered by a number.
+    """
+    ranks = with_rank(rows.select(text.alias("__text")).where(F.col("__text").isNotNull()).distinct(),
+                      natural_key(F.col("__text")), "__rank")
+    return rows.withColumn("__text", text).join(ranks, "__text", "left").drop("__text")
+
+
+def ranked_order(table: PointTable, rows: DataFrame, sort: str = "", descending: bool = False) -> tuple[DataFrame, list[Column]]:
+    """Rows to be sorted as a whole and their :func:`records_order`, in which texts stand for their ranks in ``__rank``."""
+    order = records_order(table, sort, descending)
+    if len(order) == 1:
+        return rows, order
+    c, kind = record_column(table, sort)
+    if kind not in (STRING, BOOLEAN):
+        return rows, order
+    key = F.col("__rank")
+    return ranked(rows, value_text(c, kind)), [key.desc_nulls_last() if descending else key.asc_nulls_last(), order[-1]]
+
+
 def records_sort(table: PointTable, sort: str = "", descending: bool = False, search: str = "",
                  predicate: Column | None = None) -> DataFrame:
     """All matching records in order."""
@@ -91,7 +113,9 @@ def _rows_at(table: PointTable, start: int, count: int, sort: str, descending: b
     narrow = matching(table, search, predicate).select(row.alias("__row"), value.alias("__value"))
     kind = record_column(table, sort)[1] if keys else STRING
     if keys:
-        key = natural_key(value_text(F.col("__value"), kind)) if kind in (STRING, BOOLEAN) else F.col("__value")
+        key = F.col("__value")
+        if kind in (STRING, BOOLEAN):
+            narrow, key = ranked(narrow, value_text(key, kind)), F.col("__rank")
         keys = [key.desc_nulls_last() if descending else key.asc_nulls_last()]
     placed = with_position(narrow, [*keys, F.col("__row").asc()])
     page = placed.where(F.col("position").between(start, start + count - 1)).select("__row", "position")
@@ -101,7 +125,8 @@ def _rows_at(table: PointTable, start: int, count: int, sort: str, descending: b
 def records_index(table: PointTable, sort: str = "", descending: bool = False, search: str = "",
                   predicate: Column | None = None) -> DataFrame:
     """Records with their dense position; write it once to serve any page cheaply."""
-    return with_position(matching(table, search, predicate), records_order(table, sort, descending))
+    rows, order = ranked_order(table, matching(table, search, predicate), sort, descending)
+    return with_position(rows, order).drop("__rank")
 
 
 def record_at(table: PointTable, n: int, sort: str = "", descending: bool = False, search: str = "",

@@ -372,3 +372,21 @@ def test_saved_join_with_repeated_and_missing_row_ids(table, tmp_path):
     place = {f"p{i}": (None if i % 10 == 0 else i // 2) for i in range(40)}
     number = {n: i for i, (_, n) in enumerate(PARTNERS)}
     assert [(place[r["Dataset 1.@id"]], number.get(r["Dataset 2.note"])) for r in saved] == [(r.lrow, r.rrow) for r in pairs]
+
+
+def test_only_distinct_texts_are_compared_under_the_locale(table, monkeypatch, tmp_path):
+    texts = ["b10", "b9", "B9", "b09", None, "a", "é", "é", "e", "b10", ""] * 20
+    points = table("t string", [(t,) for t in texts])
+    sizes = []
+    fixed = ordering._fixed
+    monkeypatch.setattr(ordering, "_fixed", lambda df, keys: (sizes.append(df.count()), fixed(df, keys))[1])
+    for descending in (False, True):
+        want = [r.row_id for r in records_sort(points, "t", descending).collect()]
+        sizes.clear()
+        assert [r.row_id for r in records_index(points, "t", descending).orderBy("position").collect()] == want
+        assert sizes == [9, len(texts)]  # the locale is asked about nine texts, the rest are numbers
+        assert records_page(points, 30, 50, "t", descending, shallow=0)[0].select("row_id").collect() == [(i,) for i in want[30:80]]
+        path = str(tmp_path / f"e{descending}")
+        export_records_csv(points, path, ["t", "@id"], "t", descending, single=True)
+        with open(glob.glob(f"{path}/*.csv")[0]) as f:
+            assert [line.rstrip("\n").split(",")[-1] for line in f][1:] == [f"p{i}" for i in want]
