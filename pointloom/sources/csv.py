@@ -11,7 +11,7 @@ import io
 import re
 from collections.abc import Mapping, Sequence
 from csv import reader as csv_reader
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -504,6 +504,10 @@ class CsvLoad:
 def load_csv(spark: SparkSession, config: SourceConfig, bounds: LoadBounds | None = None, path: str | None = None) -> CsvLoad:
     """Types, validation and report of a CSV source, staged as Parquet under ``path``."""
     records = read_records(spark, config)
+    # Quotes are put together and cells cut out once; types and values then read the cells.
+    cells = scratch_folder(spark)
+    records.rows.write.parquet(cells)
+    records = replace(records, rows=spark.read.schema(records.rows.schema).parquet(cells))
     fields = describe_csv(records)
     names = [f.name for f in fields]
     id_of = lambda n: unique_name(n, names)

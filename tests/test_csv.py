@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.operators.integrity import LoadError
+from pointloom.sources import csv as csv_source
 from pointloom.sources.bounds import LoadBounds
 from pointloom.sources.config import SourceConfig
 from pointloom.sources.csv import csv_headers, describe_csv, load_csv, read_records
@@ -293,3 +294,14 @@ def test_files_with_other_headers_fail(spark, tmp_path):
     (folder / "b.csv").write_text("lat,lon,n\n1,1,1\n")
     with pytest.raises(LoadError, match="same header"):
         load_csv(spark, config(str(folder)))
+
+
+def test_cells_are_cut_out_once(spark, tmp_path, monkeypatch):
+    """Types are found from written cells, not by putting the text together another time."""
+    path = tmp_path / "spread.csv"
+    path.write_text('x,y,note\n1,2,"a\nb"\n3,4,c\n"5",6,"d ""e"",\r\nf"\n', newline="")
+    seen = []
+    monkeypatch.setattr(csv_source, "describe_csv", lambda records, found=csv_source.describe_csv: (seen.append(records.rows.inputFiles()), found(records))[1])
+    load = load_csv(spark, SourceConfig(id="s", type="csv", path=str(path), longitude_field="x", latitude_field="y"))
+    assert seen[0] and all(f.endswith(".parquet") for f in seen[0])
+    assert [(r.lon, r.lat, r.note) for r in load.table.df.orderBy("row_id").collect()] == [(1, 2, "a\nb"), (3, 4, "c"), (5, 6, 'd "e",\r\nf')]
