@@ -23,11 +23,11 @@ from pointloom.llm.common import text_of
 #: Byte b is written as this character plus b: letters without any meaning to sentencepiece.
 FIRST_CHARACTER = 0x4E00
 #: Pre-tokens whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 #: Rows are handled this many at a time.
 ROWS = 256
 #: Characters of remembered pre-tokens before the same.
-REMEMBERED_CHARACTERS = 16_000_000
+REMEMBERED_CHARACTERS = 4_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,6 +92,8 @@ class Codec:
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         letters = {_piece_text(bytes([b])): b for b in range(256)}
         self._bytes = [bytes(letters[c] for c in self._model.id_to_piece(i)) for i in range(len(ranks))]
+        # Remembered ids are these numbers, not one object for each time that an id occurs.
+        self._numbers = list(range(len(ranks)))
         self._known: dict[str, tuple[int, ...]] = {}
         self._characters = 0
 
@@ -100,7 +102,7 @@ class Codec:
         merged = self._model.encode([_piece_text(b) for b in raw], num_threads=1)
         for word, data, ids in zip(words, raw, merged, strict=True):
             rank = self._ranks.get(data)  # an entry of the vocabulary is one token, however it merges
-            self._known[word] = tuple(ids) if rank is None else (rank,)
+            self._known[word] = tuple(map(self._numbers.__getitem__, ids if rank is None else (rank,)))
             self._characters += len(word)
 
     def encode(self, text: str) -> list[int]:

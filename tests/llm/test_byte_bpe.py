@@ -55,3 +55,13 @@ def test_vocabularies_that_cannot_be_written_are_refused():
         model_bytes({b"a": 0, b"b": 2})
     with pytest.raises(ValueError, match="256"):
         model_bytes({b"a": 0, b"b": 1})
+
+
+def test_remembered_words_share_their_numbers_and_are_bounded(ranks):
+    codec = Codec(ranks, P.PATTERN)
+    first, second = codec.encode(" zzyzxqq zzyzxqv"), codec.encode(" zzyzxqw")
+    shared = {i for i in first if i > 256} & {i for i in second if i > 256}
+    assert shared and all(len({id(x) for x in [*first, *second] if x == i}) == 1 for i in shared)
+    for part in range(13):
+        codec.encode("".join(f" q{chr(97 + part)}{''.join(chr(97 + int(c)) for c in f'{i:05}')}" for i in range(10_000)))
+    assert len(codec._known) <= 110_000

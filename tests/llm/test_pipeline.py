@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pointloom.llm.byte_bpe import read_ranks
 from pointloom.llm.mixing import mix_report
+from pointloom.session import WORKER_ROWS
 
 WORDS = [a + b for a in "ka lo mi nu re sa to".split() for b in "ben dor fin gal hus".split()]
 
@@ -73,3 +75,22 @@ def test_no_documents(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder[0]}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_send_few_texts_at_a_time_to_workers(spark, folder):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "10000")
+        corpus_pipeline.byte_bpe(spark, spark.read.parquet(f"{folder[0]}/documents.parquet"), folder[0])
+
+        def sizes(batches):
+            yield from (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+
+        got = [r["n"] for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n long").collect()]
+        assert sum(got) == 3000 and max(got) <= WORKER_ROWS
+        spark.conf.set(name, "100")
+        corpus_pipeline.byte_bpe(spark, spark.read.parquet(f"{folder[0]}/documents.parquet"), folder[0])
+        assert spark.conf.get(name) == "100"
+    finally:
+        spark.conf.set(name, before)
