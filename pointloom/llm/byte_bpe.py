@@ -13,8 +13,9 @@ import base64
 import hashlib
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -22,10 +23,11 @@ from pointloom.llm.common import text_of
 
 #: Byte b is written as this character plus b: letters without any meaning to sentencepiece.
 FIRST_CHARACTER = 0x4E00
-#: Pre-tokens whose ids a worker remembers before it starts afresh.
+#: Pre-tokens whose ids a worker remembers before it forgets those that were not met since the last time.
 REMEMBERED = 100_000
-#: Rows are handled this many at a time.
+#: Rows are handled this many at a time, and fewer where they have more characters than these.
 ROWS = 256
+CHARACTERS = 1 << 18
 #: Characters of remembered pre-tokens before the same.
 REMEMBERED_CHARACTERS = 4_000_000
 
@@ -54,6 +56,8 @@ def _field(number: int, value: bytes | int | float) -> bytes:
     return _varint(number << 3) + _varint(value & (1 << 64) - 1)
 
 
+#: How ids are remembered.
+_ID = np.dtype("<i4")
 _LETTERS = {b: chr(FIRST_CHARACTER + b) for b in range(256)}
 
 
@@ -61,6 +65,13 @@ def _piece_text(token: bytes) -> str:
     return token.decode("latin-1").translate(_LETTERS)
 
 
+def _piece_texts(tokens: list[bytes]) -> list[str]:
+    """The same for many at once."""
+    letters = (np.frombuffer(b"".join(tokens), np.uint8).astype("<u2") + np.uint16(FIRST_CHARACTER)).tobytes().decode("utf-16-le")
+    ends = list(accumulate(map(len, tokens), initial=0))
+    return [letters[a:b] for a, b in pairwise(ends)]
+
+
 def model_bytes(ranks: dict[bytes, int]) -> bytes:
     """The serialised sentencepiece model of a vocabulary whose ranks are 0, 1, 2, ...
 
@@ -92,33 +103,62 @@ class Codec:
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
         letters = {_piece_text(bytes([b])): b for b in range(256)}
         self._bytes = [bytes(letters[c] for c in self._model.id_to_piece(i)) for i in range(len(ranks))]
-        # Remembered ids are these numbers, not one object for each time that an id occurs.
+        # Ids are these numbers, not one object for each time that an id occurs.
         self._numbers = list(range(len(ranks)))
-        self._known: dict[str, tuple[int, ...]] = {}
+        # Ids, as bytes, of pre-tokens met since the last time that there were too many, and in the stretch before it.
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
         self._characters = 0
 
     def _encode_new(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
-        merged = self._model.encode([_piece_text(b) for b in raw], num_threads=1)
-        for word, data, ids in zip(words, raw, merged, strict=True):
-            rank = self._ranks.get(data)  # an entry of the vocabulary is one token, however it merges
-            self._known[word] = tuple(map(self._numbers.__getitem__, ids if rank is None else (rank,)))
-            self._characters += len(word)
-
-    def encode(self, text: str) -> list[int]:
-        words = self._split(text)
+        merged = self._model.encode(_piece_texts(raw), num_threads=1)
+        for i, rank in enumerate(map(self._ranks.get, raw)):
+            if rank is not None:  # an entry of the vocabulary is one token, however it merges
+                merged[i] = (rank,)
+        ids = np.fromiter(chain.from_iterable(merged), _ID).tobytes()
+        ends = accumulate((_ID.itemsize * len(m) for m in merged), initial=0)
+        self._known.update(zip(words, (ids[a:b] for a, b in pairwise(ends)), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of all these words are known afterwards."""
         if len(self._known) > REMEMBERED or self._characters > REMEMBERED_CHARACTERS:
-            self._known.clear()
-            self._characters = 0
-        new = [w for w in set(words) if w not in self._known]
+            self._known, self._older, self._characters = {}, self._known, 0
+        words = words.difference(self._known)
+        self._characters += sum(map(len, words))
+        again = {w: self._older.pop(w) for w in words if w in self._older}
+        self._known.update(again)
+        new = list(words.difference(again))
         if new:
             self._encode_new(new)
-        return list(chain.from_iterable(map(self._known.__getitem__, words)))
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text; what is new in any of them is encoded at once."""
+        split = [self._split(t) for t in texts]
+        self._learn(set(chain.from_iterable(split)))
+        for words in split:
+            yield np.frombuffer(b"".join(map(self._known.__getitem__, words)), _ID)
+
+    def encode(self, text: str) -> list[int]:
+        return list(map(self._numbers.__getitem__, next(self.encode_many([text])).tolist()))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self._bytes.__getitem__, ids))
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The number of the first of several texts in a row that have up to ``CHARACTERS`` characters, and these; a larger text comes by itself."""
+    at, held, size = 0, [], 0
+    for number, text in enumerate(t.as_py() for t in texts):
+        if held and (len(held) == ROWS or size + len(text) > CHARACTERS):
+            yield at, held
+            at, held, size = number, [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield at, held
+
+
 _WORKER: dict[str, Codec] = {}
 
 
@@ -136,7 +176,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
     ``ids_sha256`` is over the decimal ids joined by commas, ``decoded_sha256`` over the decoded bytes.
     A null text is an empty text: no tokens, and the digests of nothing. ``ranks_path`` is a file of
     the driver; its entries (a vocabulary, of fixed size) travel to the executors as a broadcast.
-    Texts are encoded one by one, so a worker holds the ids of one text at a time besides the batch.
+    A worker splits some texts in a row, encodes what is new among their pre-tokens, and then holds the ids of
+    one text at a time besides the batch.
     """
     ranks = read_ranks(ranks_path)
     vocabulary = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -147,17 +188,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_column:
         codec = _worker_codec(vocabulary, key, pattern)
         decimal = [str(i) for i in range(len(codec._bytes))]
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                batch = whole.slice(at, ROWS)
+            for at, texts in _pieces(whole.column(1)):
+                batch = whole.slice(at, len(texts))
                 n, ids_sha, decoded_sha, all_ids, decoded = [], [], [], [], []
-                for text in batch.column(1):
-                    ids = codec.encode(text.as_py())
+                for array in codec.encode_many(texts):
+                    ids = array.tolist()
                     data = codec.decode(ids)
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     decoded_sha.append(hashlib.sha256(data).hexdigest())
                     if with_ids:
-                        all_ids.append(ids)
+                        all_ids.append(array)
                     if with_text:
                         decoded.append(data.decode("utf-8", "replace"))
                 columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]

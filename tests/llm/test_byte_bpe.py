@@ -65,3 +65,33 @@ def test_remembered_words_share_their_numbers_and_are_bounded(ranks):
     for part in range(13):
         codec.encode("".join(f" q{chr(97 + part)}{''.join(chr(97 + int(c)) for c in f'{i:05}')}" for i in range(10_000)))
     assert len(codec._known) <= 110_000
+
+
+def test_many_texts_are_encoded_as_one_and_met_words_stay_remembered(ranks, monkeypatch):
+    import pointloom.llm.byte_bpe as byte_bpe
+
+    codec, new = Codec(ranks, P.PATTERN), []
+    learn = codec._encode_new
+    monkeypatch.setattr(codec, "_encode_new", lambda words: (new.extend(words), learn(words)))
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 200)
+    common = [f" zq{chr(97 + i)}common" for i in range(26)]
+    for part in range(40):
+        words = [*common, *(f" rare{chr(97 + part % 26)}{chr(97 + part // 26)}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)), " \n", "12"]
+        texts = ["".join(words[:30]), "", "".join(words[30:])]
+        for text, ids in zip(texts, codec.encode_many(texts), strict=True):
+            assert codec.decode(ids.tolist()) == text.encode()
+        assert len(codec._known) <= 300 and len(codec._older) <= 300
+    # Words met in every part were encoded once, however many others came.
+    assert all(new.count(w) == 1 for w in common) and len(new) > 2_000
+
+
+def test_texts_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    import pointloom.llm.byte_bpe as byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "CHARACTERS", 10)
+    monkeypatch.setattr(byte_bpe, "ROWS", 3)
+    texts = ["a" * 4, "b" * 6, "c" * 30, "", "d", "e", "f", "", "", "g" * 11]
+    got = list(byte_bpe._pieces(pa.array(texts)))
+    assert [at for at, _ in got] == [0, 2, 3, 6, 9] and [t for _, piece in got for t in piece] == texts
