@@ -2,6 +2,7 @@
 
 import glob
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -362,6 +363,26 @@ def test_saved_join_is_numbered_without_sorting_pairs(table, monkeypatch, tmp_pa
     assert max(sorted_sizes) <= len(MANY)  # of thousands of pairs none is sorted
 
 
+def test_each_left_row_meets_lists_of_right_rows_in_order(table, monkeypatch):
+    """Pairs come as runs of one left row with right rows in a row, whose columns take little room; blocks grow with the pairs."""
+    assert [joins._left_rows(n) for n in (0, 2 * 1024 ** 2, 256 * 512 * 2000, 10 ** 12)] == [1024, 1024, 2000, 16_384]
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(joins, "LIST_ROWS", 16)
+    left, right = table("key string, value double", [("hot", 0.0)] * 100), table("key string, note string", [("hot", "n")] * 60)
+    pairs = [(r.lrow, r.rrow) for r in join_inner(left, right, JoinOptions("key", "key")).select("lrow", "rrow").collect()]
+    assert sorted(pairs) == [(i, j) for i in range(100) for j in range(60)]
+    at = 0
+    while at < len(pairs):
+        i, j = pairs[at]
+        size = min(16, 60 - j)
+        assert j % 16 == 0 and pairs[at:at + size] == [(i, j + k) for k in range(size)]
+        at += size
+    same = left.with_df(left.df.withColumn("row_id", F.lit(7).cast("bigint")).withColumn("point_id", F.lit("p")))
+    twice = right.with_df(right.df.withColumn("row_id", F.when(F.col("row_id") > 1, F.floor(F.col("row_id") / 2))))
+    rows = join_inner(same, twice, JoinOptions("key", "key")).select("lrow", "rrow").collect()
+    assert Counter((r.lrow, r.rrow) for r in rows) == {(7, None): 200, **{(7, j): 200 for j in range(1, 30)}}
+
+
 def test_saved_join_with_repeated_and_missing_row_ids(table, tmp_path):
     left, right = table("key string, value double", MANY[:40]), table("key string, note string", PARTNERS[:40])
     again = left.with_df(left.df.withColumn("row_id", F.when(F.col("row_id") % 10 != 0, F.floor(F.col("row_id") / 2))))
