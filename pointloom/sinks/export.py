@@ -21,6 +21,10 @@ MAX_NAME = 100
 # Any other line separator would also replace the line ends inside values.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "lineSep": "\n", "emptyValue": "", "nullValue": ""}
 
+#: Joined pairs are many and alike: numbers in a row are kept as differences, and pages are long enough to show what repeats.
+JOINED_OPTIONS = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.page.row.count.limit": str(1 << 20),
+                  "parquet.enable.dictionary#row_id": "false", "parquet.enable.dictionary#point_id": "false"}
+
 
 def cell_text(c: Column, kind: str) -> Column:
     """A stored value as it is exported; a missing value is an empty cell."""
@@ -110,6 +114,6 @@ def save_joined(left: PointTable, right: PointTable, options: JoinOptions, path:
     # Left order, then right order; unmatched left rows come where they stand.
     placed = placed_join_rows(left, right, options, "row_id")
     placed.select("row_id", F.concat(F.lit("joined."), F.col("row_id").cast("string")).alias("point_id"),
-                  *[F.col(quote(f.name)) for f in fields]).write.mode("errorifexists").parquet(path)
+                  *[F.col(quote(f.name)) for f in fields]).write.mode("errorifexists").options(**JOINED_OPTIONS).parquet(path)
     saved = left.df.sparkSession.read.parquet(path)
     return PointTable(saved, fields, "row_id", "point_id", lon, lat, "Joined", carried)

@@ -2,6 +2,7 @@
 
 import glob
 import json
+import os
 from collections import Counter
 
 import pytest
@@ -363,6 +364,13 @@ def test_saved_join_is_numbered_without_sorting_pairs(table, monkeypatch, tmp_pa
     assert max(sorted_sizes) <= len(MANY)  # of thousands of pairs none is sorted
 
 
+def test_saved_pairs_take_little_room(table, tmp_path):
+    """Pairs are written in the order of their numbers, so that numbers and ids are kept as differences (9 bytes a pair without)."""
+    left, right = table("key string, value double", [("hot", i / 7) for i in range(1200)]), table("key string, note string", [("hot", f"n{i}") for i in range(1000)])
+    save_joined(left, right, JoinOptions("key", "key"), str(tmp_path / "j"))
+    assert sum(os.path.getsize(f) for f in glob.glob(str(tmp_path / "j" / "*.parquet"))) < 1_200_000
+
+
 def test_each_left_row_meets_lists_of_right_rows_in_order(table, monkeypatch):
     """Pairs come as runs of one left row with right rows in a row, whose columns take little room; blocks grow with the pairs."""
     assert [joins._left_rows(n) for n in (0, 2 * 1024 ** 2, 256 * 512 * 2000, 10 ** 12)] == [1024, 1024, 2000, 16_384]
