@@ -43,6 +43,8 @@ CRS84 = "urn:ogc:def:crs:OGC:1.3:CRS84"
 
 #: Pages a range asks for in a wave whose end is not known.
 WAVE_PAGES = 8
+#: Pages are long texts, and a reader holds up to 4,096 rows of a row group at once: groups are cut at a few megabytes, page by page.
+PAGE_OPTIONS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 # --- requests -------------------------------------------------------------
@@ -374,7 +376,7 @@ def stage_pages(spark: SparkSession, fetch: Fetch, request: PagedRequest, first:
     """
     text, count, before = first
     wanted = min(request.page_size, request.limit or request.page_size)
-    spark.createDataFrame([(0, wanted, count, text, before)], PAGE_ROWS).write.parquet(folder)
+    spark.createDataFrame([(0, wanted, count, text, before)], PAGE_ROWS).write.options(**PAGE_OPTIONS).parquet(folder)
     ended = count == 0 or request.stop_on_short and count < wanted
     total = None if ended else request.hits(fetch)
     if 0 < count < wanted:
@@ -383,7 +385,7 @@ def stage_pages(spark: SparkSession, fetch: Fetch, request: PagedRequest, first:
     while end is None and (request.limit is None or at < request.limit):
         spans = plan_ranges(at, total, request.page_size, request.limit, parts)
         spark.dataSource.register(service_source(fetch, request, spans, before))
-        spark.read.format("feature_service_pages").load().write.mode("append").parquet(folder)
+        spark.read.format("feature_service_pages").load().write.mode("append").options(**PAGE_OPTIONS).parquet(folder)
         arrived = spark.read.schema(PAGE_ROWS).parquet(folder)
         repeated = chained_repeats(arrived.where((F.col("page") >= at) | (F.col("page") + F.col("features") == at))).agg(F.min("page")).first()[0]
         if repeated is not None:

@@ -1,9 +1,11 @@
 """Pages, the paged service source, its filter documents, schemas and catalogs."""
 
+import glob
 import json
 import sys
 import urllib.parse
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from pointloom.sources.bounds import LoadBounds
 from pointloom.sources.config import SourceConfig
 from pointloom.sources.pages import (geojson_points, gml_layout, gml_points, infer_gml_schema, infer_json_schema, page_total, read_geojson_pages, read_gml_pages, saved_pages)
 from pointloom.sources.service import (PAGE_ROWS, PagedRequest, PageRange, QueryFields, check_service_load, describe_page, plan_ranges, push_service_filter, read_feature_service, read_range,
-                                       service_catalog, service_schema, service_source, service_url)
+                                       service_catalog, service_schema, service_source, service_url, stage_pages)
 from pointloom.table import Field
 
 # Workers do not import tests, so their functions travel by value.
@@ -345,3 +347,24 @@ def test_pages_leave_a_worker_one_at_a_time():
     batch = next(given)
     assert len(asked) == 1 and batch.num_rows == 1 and batch.schema.names == [c.split()[0] for c in PAGE_ROWS.split(", ")]
     assert 1 + sum(b.num_rows for b in given) == len(list(read_range(answers(400), request, PageRange(0, 400))))
+
+
+def test_staged_pages_are_kept_in_small_row_groups(spark, tmp_path):
+    """A reader holds thousands of rows of a row group at once, and a row is a whole page."""
+    def fetch(params):
+        import random
+
+        if params.get("resultType") == "hits":
+            return '<c numberMatched="60"/>'
+        at, count = int(params["startIndex"]), int(params["count"])
+        numbers = random.Random(at)
+        ids = range(at, min(at + count, 60))
+        return json.dumps({"type": "FeatureCollection", "features": [{"type": "Feature", "id": f"f{i}", "properties": {"note": "%0250000x" % numbers.getrandbits(1_000_000)},
+                                                                      "geometry": {"type": "Point", "coordinates": [1, 2]}} for i in ids]})
+
+    request = PagedRequest.of(service(page_size=2), None)
+    pages = stage_pages(spark, fetch, request, request.page(fetch, 0, 2), 1, str(tmp_path / "p"))
+    assert pages.agg(F.sum("features")).first()[0] == 60
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(str(tmp_path / "p" / "*.parquet"))]
+    groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) >= 30 and max(groups) <= 16
